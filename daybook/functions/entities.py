@@ -6,6 +6,8 @@ look-around, so that other SQL engines read them alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +71,10 @@ def utr_reference(narration: Column) -> Column:
 
 def cash_type(narration: Column, is_debit: Column) -> Column:
     """CASH_DEPOSIT, CASH_WITHDRAWAL or null. The letters ATM count anywhere in a debit, even inside a word."""
-    t = without_noise(narration)
+    return bound(without_noise(narration), lambda t: _cash_of(t, is_debit))
+
+
+def _cash_of(t: Column, is_debit: Column) -> Column:
     up = F.upper(t)
     deposit, withdrawal = F.lit("CASH_DEPOSIT"), F.lit("CASH_WITHDRAWAL")
     return (
@@ -80,6 +85,11 @@ def cash_type(narration: Column, is_debit: Column) -> Column:
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _contains_any(text: Column, *words: str) -> Column:
     return F.greatest(*[text.contains(w).cast("int") for w in words], F.lit(0)) == 1
 
@@ -94,11 +104,13 @@ def _tokens(text: Column, split: str) -> Column:
 
 def party(narration: Column, is_debit: Column) -> Column:
     """struct(name, category) of the counterparty, null if no rule applies."""
-    t = without_noise(collapsed(narration))
-    up = F.upper(t)
-    said = lambda name, kind: F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), (F.lit(kind) if isinstance(kind, str) else kind).alias("category"))
-    cash = cash_type(t, is_debit)
+    cleaned = without_noise(collapsed(narration))
+    known = bound(cleaned, lambda t: F.struct(t.alias("t"), F.upper(t).alias("up"), _cash_of(t, is_debit).alias("cash")))
+    return bound(known, lambda k: _party_of(k["t"], k["up"], k["cash"], is_debit))
 
+
+def _party_of(t: Column, up: Column, cash: Column, is_debit: Column) -> Column:
+    said = lambda name, kind: F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), (F.lit(kind) if isinstance(kind, str) else kind).alias("category"))
     after_colon = F.trim(F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)\b(?:RTGS|NEFT)\s*(?:OUT|IN)?\s*:\s*[A-Z0-9]+\s*:\s*([^:/-]+)", 1)), IFSC, ""))
     paid_to = F.trim(F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)Paid To\s*:\s*(?:TO\s+)?([^:/-]+)", 1)), r"\bIZE\s+[0-9]+.*", ""))
     after_ize = F.trim(F.regexp_replace(F.trim(F.regexp_extract(t, r"(?i)\bIZE\s+[0-9]{5,8}\s+([^:/-]+)", 1)), IFSC, ""))

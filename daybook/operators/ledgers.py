@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import entities
 from daybook.functions.scalars import normalize_ledger_name
+from daybook.storage import written
 
 # Ledgers of statutory parties, and other names they go by.
 STATUTORY = ("Bank Charges", "Bank Interest Income", "Bank Interest Expense", "GST Input Tax Credit", "APY Contribution", "Clearing")
@@ -144,7 +145,8 @@ def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash
     Adds party_name, category, ledger_name, mapping_confidence, mapping_status and, for name tiers, up to five candidates.
     """
     found = entities.party(F.col("narration"), F.col("debit") > 0)
-    rows = tx.withColumn("party", found).withColumn("party_name", F.col("party.name")).withColumn("category", F.col("party.category")).drop("party")
+    # Several tiers start from these rows, so the rules that find the party run once.
+    rows = written(tx.withColumn("party", found), "parties").withColumn("party_name", F.col("party.name")).withColumn("category", F.col("party.category")).drop("party")
     rows = rows.withColumn("party_up", F.upper(F.trim("party_name"))).withColumn("party_norm", normalize_ledger_name(F.col("party_name")))
     rows = rows.withColumn("narration_up", F.upper("narration")).withColumn("tax", entities.gstin(F.col("narration")))
     rows = rows.withColumn("is_cash", entities.cash_type(F.col("narration"), F.col("debit") > 0).isNotNull() | (F.coalesce("party_up", F.lit("")) == "CASH"))

@@ -181,9 +181,9 @@ SELECT stmt_id, row_index, count(*) AS n_legs, CAST(sum(amount) AS DECIMAL(25,2)
 SELECT stmt_id, row_index, CASE WHEN a THEN 'Rent' ELSE ledger_name END AS ledger_name, CASE WHEN b THEN 'Contra' ELSE voucher_type END AS voucher_type, CASE WHEN b THEN 'edited' ELSE narration END AS narration,
   CASE WHEN a THEN 'User Confirmed' ELSE mapping_status END AS mapping_status, CASE WHEN a THEN 'VALID' ELSE validation_status END AS validation_status FROM e"""),
     "U2_targets": with_ctes(_N, _REVIEWED + """
-, sizes AS (SELECT stmt_id, count(*) AS n FROM reviewed GROUP BY stmt_id), asked AS (SELECT stmt_id, row_index - CASE WHEN stmt_id % 2 = 0 THEN 1 ELSE 0 END AS at, n FROM reviewed JOIN sizes USING (stmt_id) WHERE row_index <= 2),
-based AS (SELECT stmt_id, bool_or(at = 0) OR (bool_and(at >= 0 AND at < n) AND NOT bool_or(at = n)) AS zero FROM asked GROUP BY stmt_id)
-SELECT DISTINCT stmt_id, CAST(at + CASE WHEN zero THEN 1 ELSE 0 END AS INT) AS row_index FROM asked JOIN based USING (stmt_id) WHERE at + CASE WHEN zero THEN 1 ELSE 0 END <= n"""),
+, sizes AS (SELECT stmt_id, count(*) AS n FROM reviewed GROUP BY stmt_id), asked AS (SELECT stmt_id, row_index - CASE WHEN stmt_id % 2 = 0 THEN 1 ELSE 0 END AS place, n FROM reviewed JOIN sizes USING (stmt_id) WHERE row_index <= 2),
+based AS (SELECT stmt_id, bool_or(place = 0) OR (bool_and(place >= 0 AND place < n) AND NOT bool_or(place = n)) AS zero FROM asked GROUP BY stmt_id)
+SELECT DISTINCT stmt_id, CAST(place + CASE WHEN zero THEN 1 ELSE 0 END AS INT) AS row_index FROM asked JOIN based USING (stmt_id) WHERE place + CASE WHEN zero THEN 1 ELSE 0 END <= n"""),
     "U3_U4_assign": with_ctes(_N, _REVIEWED + """
 , picked AS (SELECT stmt_id, upper(party_name) AS p FROM reviewed WHERE stmt_id % 4 = 0 AND row_index = 1),
 hit AS (SELECT r.*, (r.stmt_id % 4 = 0 AND row_index = 1) OR EXISTS (SELECT 1 FROM picked q WHERE q.stmt_id = r.stmt_id AND q.p IS NOT NULL AND (upper(r.party_name) = q.p OR contains(upper(r.narration), q.p))) AS h FROM reviewed r)

@@ -30,7 +30,7 @@ SELECT stmt_id, k, row_index, tx_date, debit, credit,
   CAST(CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN true_balance + 0.50 WHEN k % 13 = 0 THEN true_balance - 2 * (credit - debit)
        WHEN k % 17 = 0 THEN true_balance + 37 ELSE true_balance END AS DECIMAL(15,2)) AS balance,
   CAST(CASE WHEN stmt_id % 3 = 0 THEN NULL ELSE 0 END AS DECIMAL(15,2)) AS opening,
-  CAST(1 + row_index / 12 AS INT) AS source_page
+  CAST(floor(1 + row_index / 12) AS INT) AS source_page
 FROM tx_balanced
 """
 
@@ -112,7 +112,7 @@ FROM customer
 """
 
 _LINES = """
-SELECT k AS doc_id, CAST(line_no AS INT) AS line_no, CAST(1 + line_no / 6 AS INT) AS page_number, line FROM (
+SELECT k AS doc_id, CAST(line_no AS INT) AS line_no, CAST(floor(1 + line_no / 6) AS INT) AS page_number, line FROM (
   SELECT stmt_id AS k, row_index * 3 AS line_no, concat(CASE WHEN k % 4 = 0 THEN concat('S', CAST(k AS STRING), ' ') ELSE '' END,
     lpad(CAST(EXTRACT(DAY FROM tx_date) AS STRING), 2, '0'), '/', lpad(CAST(EXTRACT(MONTH FROM tx_date) AS STRING), 2, '0'), '/', CAST(EXTRACT(YEAR FROM tx_date) AS STRING), ' ',
     narration, ' ', CAST(debit + credit AS STRING), CASE WHEN balance IS NULL THEN '' ELSE concat(' ', CAST(balance AS STRING), ' Cr') END) AS line FROM narrated WHERE stmt_id % 5 = 0
