@@ -335,43 +335,63 @@ def repeated_spans(documents: DataFrame, p: Repeats = Repeats(), id_col: str = "
     return flagged, spans, texts.select("key", "text")
 
 
-def _merged(solved: DataFrame, ranges: int = 4096) -> DataFrame:
+def _merged(solved: DataFrame, range_bytes: int = 8_000_000, least_ranges: int = 64, run_windows: int = 1_000_000) -> DataFrame:
     """(segment, a, b) of windows that other shards have too.
 
-    Each segment's digests are sorted and cut into runs by digest range; a range's
-    runs are joined and every digest is searched among all of them (binary search).
+    The digests of many segments are sorted together and cut into runs by digest
+    range, so a task gives one row for each range however many segments it read;
+    a range's runs are joined and every digest is searched among all of them
+    (binary search). The number of ranges follows the bytes of all digests.
     """
+    total = solved.agg(F.sum(F.octet_length("digests"))).first()[0] or 0
+    ranges = max(least_ranges, -(-int(total) // range_bytes))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        held: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+
+        def cut() -> pd.DataFrame:
+            d = np.concatenate([x[1] for x in held])
+            sizes = [len(x[1]) for x in held]
+            names = np.array([x[0] for x in held], "V16")
+            owner = np.repeat(np.arange(len(held)), sizes)
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            own = np.concatenate([x[2] for x in held])
+            order = np.lexsort((d[:, 1], d[:, 0]))
+            top = ((d[order, 0] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            edge = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]]))
             out = []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                part = order[i:j]
+                out.append((int(top[i]), names[owner[part]].tobytes(), d[part].tobytes(), at[part].tobytes(), own[part].tobytes()))
+            held.clear()
+            return pd.DataFrame(out, columns=["range", "segments", "digests", "at", "known"])
+
+        size = 0
+        for pdf in batches:
             for segment, digests, known in zip(pdf["segment"], pdf["digests"], pdf["known"], strict=True):
-                d = np.frombuffer(digests, ">u8").reshape(-1, 2)
-                own = np.frombuffer(known, bool)
-                order = np.lexsort((d[:, 1], d[:, 0]))
-                top = (d[order, 0] >> np.uint64(52)).astype(np.int64) % ranges
-                edge = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]]))
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    part = order[a:b]
-                    out.append((int(top[a]), bytes(segment), d[part].tobytes(), part.astype("<i4").tobytes(), own[part].tobytes()))
-            yield pd.DataFrame(out, columns=["range", "segment", "digests", "at", "known"])
+                held.append((bytes(segment), np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64), np.frombuffer(known, bool)))
+                size += len(known)
+                if size >= run_windows:
+                    yield cut()
+                    size = 0
+        if held:
+            yield cut()
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        digests = [np.frombuffer(x, ">u8").reshape(-1, 2).astype(np.uint64) for x in pdf["digests"]]
-        every = np.concatenate(digests)
-        every = every[np.lexsort((every[:, 1], every[:, 0]))]
-        out = []
-        for segment, d, at, known in zip(pdf["segment"], digests, pdf["at"], pdf["known"], strict=True):
-            low, high = np.searchsorted(every[:, 0], d[:, 0], "left"), np.searchsorted(every[:, 0], d[:, 0], "right")
-            times = high - low
-            for i in np.flatnonzero((times > 1) & ((every[low, 1] != d[:, 1]) | (every[high - 1, 1] != d[:, 1]))):  # first halves alike only
-                times[i] = np.count_nonzero(every[low[i] : high[i], 1] == d[i, 1])
-            places = np.frombuffer(at, "<i4")[(times > 1) & ~np.frombuffer(known, bool)]
-            out += [(bytes(segment), int(x), int(x)) for x in places]
-        return pd.DataFrame(out, columns=["segment", "a", "b"])
-
-    cut = solved.select("segment", "digests", "known").mapInPandas(runs, "range int, segment binary, digests binary, at binary, known binary")
-    return cut.groupBy("range").applyInPandas(search, "segment binary, a int, b int")
+        whole = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[c]])
+        d = whole("digests", np.uint64).reshape(-1, 2)
+        order = np.lexsort((d[:, 1], d[:, 0]))
+        every = d[order]
+        low, high = np.searchsorted(every[:, 0], d[:, 0], "left"), np.searchsorted(every[:, 0], d[:, 0], "right")
+        times = high - low
+        for i in np.flatnonzero((times > 1) & ((every[low, 1] != d[:, 1]) | (every[high - 1, 1] != d[:, 1]))):  # first halves alike only
+            times[i] = np.count_nonzero(every[low[i] : high[i], 1] == d[i, 1])
+        hit = np.flatnonzero((times > 1) & ~whole("known", bool))
+        at = whole("at", np.int32)[hit]
+        return pd.DataFrame({"segment": [x.tobytes() for x in whole("segments", "V16")[hit]], "a": at, "b": at})
+
+    parts = solved.select("segment", "digests", "known").mapInPandas(runs, "range int, segments binary, digests binary, at binary, known binary")
+    return parts.groupBy("range").applyInPandas(search, "segment binary, a int, b int")
 
 
 def _without(raw: bytes, starts: list, span: int) -> tuple[bytes, int, int]:
