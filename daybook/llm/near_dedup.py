@@ -9,10 +9,13 @@ No group emits its pairs. Equal sets are one node (only their smallest id is
 compared). In a bucket every node is compared with one hub, the node that has
 most company over all its buckets: of copies of one text that is as a rule the
 one they were made from, so one round links them all. Buckets whose nodes are
-then in different components get further rounds with the hubs of the components;
-in the end nodes of different components are compared one by one, unless their
-known distances to a common hub rule a link out (the Jaccard distance obeys the
-triangle inequality). So no link between different sets of one bucket is lost.
+then in different components get further rounds with the hubs of the components.
+In the end nodes of different components meet in blocks of their bucket, and a
+pair leaves the block only if its parity sketches allow a link: each shingle
+flips one bit of a sketch, so two sketches differ in no more bits than the sets
+differ in shingles. That bound is exact; no link between different sets of one
+bucket is lost, and near misses (copies of one text that are not close enough
+to each other) are told apart without being written out.
 
 A link of similarity s is missed if its sets share no band: with r rows and b
 bands that has the probability (1 - s^r)^b, below 3e-8 at 0.85 with 4 and 24.
@@ -48,14 +51,17 @@ class MinHash:
     seed: int = 20240
     #: Signatures that agree on a share this far below the threshold are not worth a full comparison (over 6 standard deviations).
     slack: float = 0.25
-    hub_rounds: int = 3
+    hub_rounds: int = 2
+    sketch_words: int = 32
+    #: Rows of a bucket that meet in one task.
+    block: int = 1024
 
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
 
 
-_CACHE_ROWS = 400_000
+_CACHE_ROWS = 100_000
 
 
 class _Words(dict):
@@ -105,8 +111,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
+def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` 64-bit words; every shingle flips the bit that its hash names."""
+    flips = np.bincount((shingles & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def signed(documents: DataFrame, p: MinHash, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, node, bands, signature): node is a 128-bit digest of the set, null if it is empty."""
+    """(id, n_shingles, node, bands, signature, sketch): node is a 128-bit digest of the set, null if it is empty."""
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(p)
@@ -116,17 +128,17 @@ def signed(documents: DataFrame, p: MinHash, id_col: str = "doc_id", text: str =
             for t in texts:
                 s = shingle_set(t, p.words)
                 if not len(s):
-                    out.append((0, None, None, None))
+                    out.append((0, None, None, None, None))
                     continue
                 minima = signature(s, a, b)
                 keys = np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
                 for column, salt in zip(minima.reshape(p.bands, p.rows).T.astype(np.uint64), salts, strict=True):
                     keys = (keys ^ column) * salt
                     keys ^= keys >> np.uint64(31)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64), minima.tobytes()))
-            yield pd.DataFrame(out, columns=["n_shingles", "node", "bands", "signature"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64), minima.tobytes(), parity_sketch(s, p.sketch_words)))
+            yield pd.DataFrame(out, columns=["n_shingles", "node", "bands", "signature", "sketch"])
 
-    run = F.pandas_udf(rows, "n_shingles long, node binary, bands array<long>, signature binary")
+    run = F.pandas_udf(rows, "n_shingles long, node binary, bands array<long>, signature binary, sketch array<long>")
     return documents.select(F.col(id_col).alias("id"), run(whole_text(text)).alias("r")).select("id", "r.*")
 
 
@@ -192,7 +204,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     """Per row of ``documents``: id, n_shingles, component_id (smallest id reachable) and kept (it is that id)."""
     rows = written(signed(documents, p, id_col, text), "signed")
     full = rows.where(F.col("node").isNotNull())
-    nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature")
+    nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature", "sketch")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -200,13 +212,12 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = written(members.join(company, "node").select("bucket", "node", F.struct("company", "node").alias("rank")), "members")
     inside = members.select("node").distinct()
-    known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature"), "nodes")
+    known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature", "sketch"), "nodes")
     texts = _texts_of(documents.select(F.col(id_col).alias("id"), whole_text(text).alias("text")), known.select("of_id", "node"), p)
 
     labels = members.select("node", F.col("node").alias("component")).distinct()
     links: DataFrame | None = None
     done: DataFrame | None = None
-    far: DataFrame | None = None  # the first round's sizes against the bucket's hub
     for turn in range(p.hub_rounds + 1):
         here = members if turn == 0 else members.join(labels, "node")
         if turn == 0:
@@ -227,14 +238,12 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
                     .select(F.col("node").alias("a"), F.col("second.hub.node").alias("b")).distinct()
                 )
             else:
-                pairs = _left_over(open_rows, hubs, far, p)
+                pairs = _left_over(open_rows, known, p)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         sized = written(verified(pairs, known, texts, p), f"sized-{turn}")
         done = sized.select("a", "b") if done is None else done.union(sized.select("a", "b"))
-        if turn == 0:
-            far = sized
         found = sized.where(F.col("both") * 100 >= F.col("either") * p.percent).select("a", "b")
         links = found if links is None else links.union(found)
         labels = members.select("node").distinct().join(components(links, f"links-{turn}"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -258,21 +267,23 @@ def _texts_of(texts: DataFrame, ids: DataFrame, p: MinHash) -> DataFrame:
     return written(found.where(F.pandas_udf(fits, "boolean")(F.col("text"), F.col("node"))).dropDuplicates(["node"]), "texts")
 
 
-def _left_over(open_rows: DataFrame, hubs: DataFrame, far: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs of different components in one bucket that their distances to the bucket's hub do not rule out.
+def _left_over(open_rows: DataFrame, known: DataFrame, p: MinHash) -> DataFrame:
+    """Pairs of different components in one bucket whose sizes and sketches allow a link.
 
-    With distances x and y to the hub, the pair's distance is at least |x - y|;
-    an unknown distance (ruled out by size or signature) leaves no bound.
+    A large bucket is dealt in blocks: each row stands in one block on the left
+    and in all on the right. With S the sum of the sizes, a link's sets differ in
+    at most (100 - percent) * S / (100 + percent) shingles.
     """
-    both = far.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    both = both.union(both.select("b", "a", "d")).select(F.col("a").alias("node"), F.col("b").alias("hub"), "d")
-    hub = hubs.withColumnRenamed("b", "hub")
-    rows = open_rows.join(hub, "bucket").join(both, ["node", "hub"], "left")
-    rows = rows.select("bucket", "node", "component", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
-    x = rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"))
-    y = rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"))
-    reach = F.lit((100 - p.percent) / 100 + 1e-9)
-    return x.join(y, "bucket").where((F.col("ca") < F.col("cb")) & (F.coalesce(F.abs(F.col("da") - F.col("db")), F.lit(0.0)) <= reach)).select("a", "b").distinct()
+    blocks = open_rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))
+    rows = open_rows.join(blocks, "bucket").join(known.select("node", "n_shingles", "sketch"), "node")
+    x = rows.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.lit(0)
+    for i in range(p.sketch_words):
+        apart = apart + F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))))
+    near = (apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
+    same = (x["bucket"] == y["bucket"]) & (x["part"] == y["part"])
+    return x.join(y, same & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
 
 
 def drop_near_duplicates(documents: DataFrame, p: MinHash = MinHash(words=5, percent=80), id_col: str = "doc_id") -> DataFrame:  # noqa: B008
