@@ -156,8 +156,8 @@ def header_roles(cells: Column) -> Column:
 
     numbered = F.transform(cells, lambda c, i: F.struct(F.upper(collapsed(F.coalesce(c, F.lit("")))).alias("cell"), i.alias("place")))
     found = F.aggregate(numbered, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")), step)
-    has = lambda *names: F.greatest(*[F.array_contains(F.map_keys(found), n).cast("int") for n in names]) == 1
-    return F.when(has("date") & (F.array_contains(F.map_keys(found), "debit") | has("credit", "amount", "narration")), found)
+    has = lambda *names: F.arrays_overlap(F.map_keys(found), F.array(*[F.lit(n) for n in names]))
+    return F.when(has("date") & has("debit", "credit", "amount", "narration"), found)
 
 
 _CELL_DATE = r"([0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}|[0-9]{1,2}[/.-](?:[0-9]{1,2}|[A-Za-z]{3,9})[/.-][0-9]{2,4}|[0-9]{1,2}\s+(?:[0-9]{1,2}|[A-Za-z]{3,9})\s+[0-9]{2,4})"
