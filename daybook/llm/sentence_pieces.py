@@ -58,6 +58,7 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i, p in enumerate(proto.pieces) if p.type == CONTROL}
         self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN}
+        self.surface = {str(i): p.replace(MARK, " ") for p, i in self.ids.items()}
         self.unknown_surface = trainer.unk_surface
         self.crosses = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.automaton = ahocorasick.Automaton()
@@ -105,9 +106,13 @@ class PieceModel:
 
     def pieces_of(self, run: str) -> list[str]:
         """The pieces of one run by backtracking."""
-        longest, fits, n = self.automaton.longest_prefix, self._fits, len(run)
-        # The automaton walks as far as any piece's beginning reaches; the longest whole piece lies within.
-        reach = lambda at: self._prefixes(run[at : at + max(1, longest(run[at:]))])
+        longest, compatible, shorter, n = self.automaton.longest_prefix, self.compatible, self.shorter, len(run)
+
+        def reach(at: int) -> list[str]:
+            # The automaton walks as far as any piece's beginning reaches; the longest whole piece lies within.
+            piece = run[at : at + (longest(run[at:]) or 1)]
+            return shorter.get(piece) or self._prefixes(piece)
+
         failed = 0  # bit i: nothing goes on from place i
         chosen: list[str] = []
         tries: list[tuple[int, Iterator[str]]] = [(0, iter(reach(0)))]
@@ -117,7 +122,13 @@ class PieceModel:
                 end = at + len(piece)
                 if failed >> end & 1:
                     continue
-                if (not chosen or fits(chosen[-1], piece)) and (len(piece) == 1 or chosen or self._whole(piece)):
+                if chosen:
+                    ok = compatible.get((chosen[-1], piece))
+                    if ok is None:
+                        ok = self._fits(chosen[-1], piece)
+                else:
+                    ok = len(piece) == 1 or self._whole(piece)
+                if ok:
                     chosen.append(piece)
                     if end == n:
                         return chosen
@@ -222,7 +233,28 @@ class _Runs(dict):
         return out
 
 
+class _Decoded(dict):
+    """A run's ids as text -> the run decoded from them; empties itself at its bound."""
+
+    def __init__(self, m: PieceModel) -> None:
+        super().__init__()
+        self.m = m
+
+    def __missing__(self, ids: str) -> str:
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        names = ids.split(",")
+        try:  # a run of plain pieces, the first of which begins with the mark
+            out = "".join(map(self.m.surface.__getitem__, names))
+        except KeyError:
+            out = " " + self.m.decode(list(map(int, names)))
+        self[ids] = out
+        return out
+
+
+#: By model file; they live as long as the Python worker, over its tasks.
 _RUNS: dict[str, _Runs] = {}
+_DECODED: dict[str, _Decoded] = {}
 
 
 def encode_texts(documents: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -253,21 +285,14 @@ def digests(documents: DataFrame, path: str, id_col: str = "doc_id", text: str =
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = model(path)
         runs = _RUNS.setdefault(path, _Runs(m))
-        back: dict[str, str] = {}
+        back = _DECODED.setdefault(path, _Decoded(m))
         for texts in batches:
             out = []
             for t in texts:
                 parts = list(map(runs.__getitem__, m.runs(t))) if t else []
                 ids = ",".join(parts)
-                said = []
-                for part in parts:  # a run begins with a mark, so runs decode one by one
-                    piece = back.get(part)
-                    if piece is None:
-                        if len(back) >= CACHE_ROWS:
-                            back.clear()
-                        piece = back[part] = " " + m.decode(list(map(int, part.split(","))))
-                    said.append(piece)
-                decoded = "".join(said)[1:]
+                # A run begins with a mark, so runs decode one by one.
+                decoded = "".join(map(back.__getitem__, parts))[1:]
                 out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
