@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the document with the smallest id stays."""
+    """Of each group linked by five-word shingles at 0.8 or more, one row stays: that of the smallest id, the first of equal ids."""
     return near_dedup.drop_near_duplicates(docs, near_dedup.MinHash(words=5, percent=80))
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: SQL can't express the sketches, the links and the packing; tests hold the stages against brute force.
+#: SQL can't express the sketches, the links and the packing; tests hold the operators, not run() as a whole, against brute force.
 ORACLE_SQL = None
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import whole_text, written
+from daybook.llm.common import own_name, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,13 @@ def _left_over(open_rows: DataFrame, known: DataFrame, p: MinHash) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame, p: MinHash = MinHash(words=5, percent=80), id_col: str = "doc_id") -> DataFrame:  # noqa: B008
-    """The rows of ``documents`` with the smallest id of their group, with their own columns."""
-    verdict = near_duplicates(documents, p, id_col)
-    gone = verdict.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
-    return documents.join(gone, documents[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The first row of each group, with its own columns: the smallest id (null after all others), then the row read first.
+
+    Rows are told apart by a number in a written table, since ids may be null or repeat.
+    """
+    row, key = own_name(documents, "row"), own_name(documents, "key")
+    numbered = written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.withColumn(key, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row")))
+    verdict = near_duplicates(keyed, p, key)
+    gone = verdict.where(~F.col("kept")).select(F.col(key)["row"].alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
