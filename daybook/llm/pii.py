@@ -5,7 +5,8 @@ features of a span's format and of its context score them; a threshold on the
 calibrated score selects spans. The base kinds (email, ip, card, phone) are
 exact patterns whose spans always stay; the method adds spans of the kinds
 ``contact`` (addresses written out), ``number`` (telephone and identity numbers
-without a plus) and ``secret`` (keys and tokens).
+without a plus) and ``secret`` (keys and tokens). Candidates have no greatest
+length; spans of one kind may overlap, as a list of numbers and each of them.
 
 The trees are fitted on the driver on ``Model.rows`` generated, labelled strings
 (a bounded sample with a fixed seed; no corpus rows are needed) and become CASE
@@ -105,11 +106,19 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": email_spans(text), "ip": ip_spans(text), "card": card_spans(text), "phone": phone_spans(text)}
 
 
-# Generators of further candidates: wide patterns of one bounded stretch each.
+# Generators of further candidates, several a kind, whose spans may overlap. Each unbounded stretch is of one
+# class and begins only where its class does (or at a digit), so long texts are walked once.
 _CANDIDATES = {
-    "contact": r"[A-Za-z0-9][A-Za-z0-9._-]{1,40} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,40} ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,12}",
-    "number": r"(?<![0-9A-Za-z.+-])[0-9(][0-9 ()./-]{6,24}[0-9](?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,128}(?![A-Za-z0-9_/+=-])",
+    "contact": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+ ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,}",),
+    "number": (
+        r"(?<![0-9A-Za-z.+-])(?=[( ]{0,3}[0-9])[0-9(][0-9 ()./-]{6,}[0-9](?![0-9A-Za-z])",  # a run of groups
+        r"(?<![0-9A-Za-z.+-])(?=\(?[0-9])[0-9(][0-9()./-]{6,}[0-9](?![0-9A-Za-z])",  # its parts without a space
+        r"(?<![0-9A-Za-z.+-])(?:\([0-9]{1,5}\) ?|[0-9]{3}[ .-])[0-9]{2,5}[ .-][0-9]{3,5}(?![0-9A-Za-z])",  # single numbers of three groups
+    ),
+    "secret": (
+        r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}",
+        r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}={0,2}",  # the value alone where a name and = stand before it
+    ),
 }
 _BEFORE = 24
 _SPEAKING = r"(?i)(?:tel|phone|call|mobile|fax|ssn|iban|account|passport|key|token|secret|password|passwd|pwd|api|auth|bearer|contact|mail|id)[a-z]{0,8}[\s:=#\"'.-]{0,6}$"
@@ -201,7 +210,8 @@ def more_spans(text: Column, model: Model = Model()) -> dict[str, Column]:  # no
             before = F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
             return trees.raw_column(_features(kind, s["found"], before)) >= limit
 
-        return F.filter(_spans(text, _CANDIDATES[kind]), keep)
+        found = [_spans(text, pattern) for pattern in _CANDIDATES[kind]]
+        return F.filter(F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0], keep)
 
     return {k: chosen(k) for k in MORE_KINDS}
 
