@@ -2,8 +2,8 @@
 
 Method: bulk-synchronous best fit over size classes. A length is at most the
 capacity, so sorting documents and gaps by range gives at most ``capacity``
-classes of each, whatever the number of rows. Supersteps run from the longest
-class to the shortest: a successor sweep finds the smallest gap class that
+classes of each, whatever the number of rows. The steps run on the driver, over
+the classes' counts, from the longest class to the shortest: a successor sweep finds the smallest gap class that
 holds the class, documents and gaps are matched by rank within their classes
 (rank k takes the k-th place, so no two rows claim one gap), gaps are updated,
 and what is left sweeps again; documents without a gap open sequences. The
@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,19 +46,40 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, object] = {}
+#: tiktoken's expression engine runs out of stack on a run of white space several times as long as this.
+LONG_GAP = 20_000
+_GAP = re.compile(rf"\s{{{LONG_GAP}}}")
 
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
 
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken: same vocabulary and merges, same ids, several times as fast."""
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids as ``tokenizers`` gives them with add_special_tokens=False.
+
+    Most texts are run by tiktoken: same vocabulary and merges, same ids, several
+    times as fast. Texts that hold an added token of the file, or a long run of
+    white space, go to the library itself.
+    """
     if path not in _ENCODERS:
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            said = json.load(f)
+        vocab, added = said["model"]["vocab"], [t["content"] for t in said["added_tokens"]]
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if all(c in letters for c in token) and not token.startswith("<|endof")}
-        _ENCODERS[path] = tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        fast = tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        library: list[Tokenizer] = []
+
+        def ids(text: str) -> list[int]:
+            if not any(t in text for t in added) and not (len(text) >= LONG_GAP and _GAP.search(text)):
+                return fast(text)
+            if not library:
+                library.append(Tokenizer.from_file(path))
+            return library[0].encode(text, add_special_tokens=False).ids
+
+        _ENCODERS[path] = ids
     return _ENCODERS[path]
 
 
@@ -73,7 +95,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, text:
     """One row per piece: piece, start, length, ids_crc32 beside the kept columns."""
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(tokenizer)
         for texts in batches:
             out = []
             for t in texts:
