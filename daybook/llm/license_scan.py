@@ -5,11 +5,13 @@ increasing subsequence of their places is aligned, and the gaps between its
 anchors are aligned in the same way, each with the words unique inside it. A
 template's coverage is the share of its words that end up aligned.
 
-The unit that is compared is a line of the text (and two or three lines on end,
-for templates that wrap): a license notice is a passage, and the words of a long
-text would not be unique in it.
+Compared are stretches of a text, since the words of a long text would not be
+unique in it: around each word that tells of a template a narrow and a wide
+window of words where the template would lie, whatever the line breaks, and each
+line (and two or three on end), for notices with much text in between. Of
+matches that share words the best one stays.
 
-A line is aligned only if it holds enough of the template's words to reach the
+A window is aligned only if it holds enough of the template's words to reach the
 coverage asked for; alignment cannot use words that are not there, so nothing is
 lost by that.
 
@@ -121,47 +123,62 @@ class Templates:
         self.vocabulary = {w for v in self.words.values() for w in v}
         # A word from the rarest of each template: enough words must be there, so of any `missing + 1` words one must.
         self.telling: set[str] = set()
+        self.places: dict[str, list[tuple[str, int]]] = {}
         common = Counter(w for v in self.bags.values() for w in v)
         for k, bag in self.bags.items():
             n = len(self.words[k])
             spare = n - -(-n * scan.percent // 100)
             for w in sorted(bag, key=lambda x: (common[x], -len(x), x)):
                 self.telling.add(w)
+                self.places.setdefault(w, []).extend((k, j) for j, x in enumerate(self.words[k]) if x == w)
                 spare -= bag[w]
                 if spare < 0:
                     break
         self.quick = re.compile("|".join(map(re.escape, sorted(self.telling))))
 
     def matches(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(template, first line, last line, coverage in percent) of the best match of each run of lines."""
-        found = []
+        """(template, first line, last line, coverage in percent) of the best match of each run of words."""
         lines = text.lower().split("\n")
         hit = [i for i, line in enumerate(lines) if self.quick.search(line)]
         if not hit:
             return []
-        starts = sorted({j for i in hit for j in range(max(0, i - self.scan.lines + 1), i + 1)})
-        for start in starts:
-            words: list[str] = []
-            for stop in range(start, min(start + self.scan.lines, len(lines))):
-                words += _WORD.findall(lines[stop])
-                have = Counter(w for w in words if w in self.vocabulary)
-                for k, bag in self.bags.items():
+        words: list[str] = []
+        line_of: list[int] = []
+        begins = [0]  # each line's first word
+        for i, line in enumerate(lines):
+            words += _WORD.findall(line)
+            line_of += [i] * (len(words) - len(line_of))
+            begins.append(len(words))
+        windows: dict[tuple[int, int], set[str]] = {}
+        for line in hit:
+            for i in range(begins[line], begins[line + 1]):
+                for k, j in self.places.get(words[i], ()):
                     n = len(self.words[k])
-                    if 100 * sum(min(c, have[w]) for w, c in bag.items() if w in have) < self.scan.percent * n:
-                        continue
-                    share = 100 * len(aligned(words, self.words[k])) // n
-                    if share >= self.scan.percent:
-                        found.append((k, start, stop, share))
-        # The best match of each place: most coverage, longest template, fewest lines, first name.
+                    for slack in (n // 4 + 1, 2 * n):
+                        windows.setdefault((max(0, i - j - slack), min(len(words), i - j + n + slack)), set()).add(k)
+            for start in range(max(0, line - self.scan.lines + 1), line + 1):
+                for stop in range(start + 1, min(start + self.scan.lines, len(lines)) + 1):
+                    windows[begins[start], begins[stop]] = set(self.bags)
+        found = []
+        for (a, b), names in windows.items():
+            have = Counter(w for w in words[a:b] if w in self.vocabulary)
+            for k in names:
+                n = len(self.words[k])
+                if 100 * sum(min(c, have[w]) for w, c in self.bags[k].items() if w in have) < self.scan.percent * n:
+                    continue
+                pairs = aligned(words[a:b], self.words[k])
+                if 100 * len(pairs) // n >= self.scan.percent:
+                    found.append((k, a + pairs[0][0], a + pairs[-1][0], 100 * len(pairs) // n))
+        # The best match of each place: most coverage, longest template, fewest words, first name.
         found.sort(key=lambda m: (-m[3], -len(self.words[m[0]]), m[2] - m[1], m[0], m[1]))
         taken: set[int] = set()
         out = []
         for m in found:
-            span = set(range(m[1], m[2] + 1))
-            if not span & taken:
-                taken |= span
+            span = range(m[1], m[2] + 1)
+            if taken.isdisjoint(span):
+                taken.update(span)
                 out.append(m)
-        return sorted(out, key=lambda m: m[1])
+        return [(k, line_of[a], line_of[b], share) for k, a, b, share in sorted(out, key=lambda m: m[1])]
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, scan: Scan = Scan(), text: str = "text", into: str = "licenses") -> DataFrame:  # noqa: B008
