@@ -9,16 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (local tests) a fresh temporary one is chosen and set."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Only a local master, whose tasks run on the driver's machine, may leave it
+    unset: then a fresh temporary folder is chosen and set. On a cluster that
+    would spread a table over the machines' own disks, so there it is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-daybook-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The place of this application's tables below the shared folder."""
+    return f"{shared_folder(spark)}/daybook-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read back: what follows several times does not run again, and lost executors cost no earlier work."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Delete all tables that this application wrote on its way. To be called when no DataFrame built on them is in use any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
