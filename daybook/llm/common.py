@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.storage import run_folder, written
+
+__all__ = ["WORD_GAP", "own_name", "run_folder", "table", "whole_text", "written"]
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -22,30 +23,6 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where it is unset (local tests) a fresh temporary folder is chosen and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-daybook-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it was running, not
-    the work behind the written table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def own_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken, name = {c.lower() for c in df.columns}, stem
