@@ -12,9 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from daybook.llm import near_dedup, packing, pii, quality_rules, suffix_dedup
-from daybook.llm.common import shared_folder, table
+from daybook.llm.common import run_folder, table
 from daybook.llm.queries import tokenizer
 
+#: Least length of a repeated passage. Passages of over 50 words have some 300 bytes (99 of 100 have 293 or more), so this lies just below.
+PASSAGE = 280
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules reject go."""
@@ -27,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out."""
-    return suffix_dedup.remove_repeats(docs)
+    """Passages of PASSAGE bytes or more that occur elsewhere are cut out."""
+    return suffix_dedup.remove_repeats(docs, suffix_dedup.Repeats(span=PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
