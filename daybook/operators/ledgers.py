@@ -1,14 +1,16 @@
 """Charts of accounts: filters, search, merging and matching transactions to ledgers.
 
 Matching never pairs all transactions with all ledgers. Exact tiers are equi
-joins; "is contained in" is an equi join on the first characters of the shorter
-text against the character runs of the longer, then checked; shared words are
-an equi join on words. Work is done once per distinct party or narration.
+joins; "is contained in" is an equi join on each short text's rarest run of
+characters, then checked; shared words are equi joins on rare words, and for
+words that very many names share on the few best names per set of such words.
+Work is done once per distinct party or narration, and of each one's candidates
+only the best few are kept, by a row limit that Spark applies before it shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions import entities
@@ -89,20 +91,77 @@ def _index(ledgers: DataFrame) -> DataFrame:
     return ledgers.groupBy(normalize_ledger_name(F.col("name")).alias("norm")).agg(F.max_by("name", "ord").alias("ledger"), F.min("ord").alias("ord"))
 
 
-def containing(needles: DataFrame, needle: str, texts: DataFrame, text: str, width: int = 3) -> DataFrame:
-    """Pairs where the text contains the needle, by an equi join on the needle's first characters."""
-    head = needles.where(F.col(needle) != "").withColumn("head", F.substring(needle, 1, width))
+#: Candidates kept for a party: five to show and one that may be the exact name.
+LISTED = 6
+#: A word that more names than this share is common.
+COMMON = 64
+#: Of a name's common words, so many (its most common ones) are looked up as sets; further ones count as rare.
+SETS_OF = 6
 
-    def grams(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n)))
 
-    every = F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, width + 1)])))
-    cut = texts.withColumn("head", F.explode(every))
-    return cut.join(head, "head").where(F.col(text).contains(F.col(needle))).drop("head")
+def containing(needles: DataFrame, needle: str, texts: DataFrame, text: str, width: int = 8) -> DataFrame:
+    """Pairs where the text contains the needle: an equi join on one run of ``width`` characters of the needle
+    (all of it if it is shorter), the one that fewest needles hold, then a check."""
+
+    def runs(c: str, n: Column | int) -> Column:
+        n = F.lit(n)
+        return F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, n))
+
+    own = needles.where(F.col(needle) != "").select(needle).distinct()
+    size = F.least(F.length(needle), F.lit(width))
+    held = own.select(needle, F.explode(F.array_distinct(runs(needle, size))).alias("run"))
+    times = held.groupBy("run").agg(F.count(F.lit(1)).alias("times"))
+    rarest = held.join(times, "run").groupBy(needle).agg(F.min(F.struct("times", "run")).alias("least")).select(needle, F.col("least.run").alias("run"))
+    keyed = needles.join(rarest, needle)
+    # Which lengths of runs there are: at most `width` rows.
+    sizes = sorted(r[0] for r in rarest.select(F.length("run")).distinct().collect())
+    if not sizes:
+        return texts.crossJoin(needles.limit(0))
+    every = F.array_distinct(F.concat(*[F.when(F.length(text) >= n, runs(text, n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    cut = texts.withColumn("run", F.explode(every))
+    return cut.join(keyed, "run").where(F.col(text).contains(F.col(needle))).drop("run")
+
+
+def _best(scored: DataFrame, key: str, n: int = LISTED) -> DataFrame:
+    """The first ``n`` rows of each key by minus, ord, ledger. Spark limits each task's rows before the shuffle."""
+    order = Window.partitionBy(key).orderBy("minus", "ord", "ledger")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+
+
+def _sharing(parties: DataFrame, index: DataFrame) -> DataFrame:
+    """(party_norm, norm, ledger, ord, words, names_words, common): names that share words with a party, enough of
+    them for its best ``LISTED``.
+
+    Names that share a rare word are found by it. What shares common words only
+    is found by the set of these words: of the names that hold a set and have one
+    number of words, no more than the first ``LISTED`` by ``ord`` can be among a
+    party's best, since all of them share at least as much with it.
+    """
+    cut = lambda df, c: df.withColumn("words", F.array_distinct(F.split(c, " ")))
+    names, p = cut(index, "norm"), cut(parties, "party_norm")
+    counts = names.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    ranked = names.select("norm", F.explode("words").alias("word")).join(counts, "word")
+    by_use = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("times"), "word"))
+    ranked = ranked.withColumn("is_set", (F.col("times") > COMMON) & (by_use <= SETS_OF))
+
+    rare = ranked.where(~F.col("is_set")).select("norm", "word").join(names, "norm")
+    by_rare = p.withColumn("word", F.explode("words")).join(rare.withColumnRenamed("words", "name_words"), "word")
+    by_rare = by_rare.select("party_norm", "words", "norm", "name_words", "ledger", "ord").distinct()
+
+    sets = ranked.where("is_set").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct(F.col("times"), "word"))).alias("used"))
+    picks = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("used")).cast("int") - 1), lambda i: F.filter(F.col("used"), lambda x, at: F.pmod(F.floor(i / F.pow(F.lit(2), at)), F.lit(2)) == 1))
+    named = sets.withColumn("pick", F.explode(picks)).join(names.withColumnRenamed("words", "name_words"), "norm")
+    # The key's rarest word comes first, so a key of many words is looked up by one that few keys begin with.
+    named = named.select(F.transform("pick", lambda x: x["word"]).alias("key"), "norm", "name_words", "ledger", "ord", F.size("name_words").alias("n"), F.lit(0).alias("minus"))
+    kept = _best(named.withColumn("group", F.struct("key", "n")), "group").withColumn("word", F.col("key")[0])
+    by_set = p.withColumn("word", F.explode("words")).join(kept, "word").where(F.size(F.array_except("key", "words")) == 0)
+    both = by_rare.unionByName(by_set.select("party_norm", "words", "norm", "name_words", "ledger", "ord")).where("party_norm <> norm").distinct()
+    return both.withColumn("common", F.size(F.array_intersect("words", "name_words")))
 
 
 def candidates(parties: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """(party_norm, exact, listed): the exact ledger of a party and its best other candidates as (score, ord, ledger), best first.
+    """(party_norm, exact, listed): the exact ledger of a party and its best ``LISTED`` other candidates as
+    (minus the score, ord, ledger), best first.
 
     Containment scores 88; shared words, at least half of the shorter name's,
     score 60 plus 25 times their share of the longer.
@@ -112,28 +171,23 @@ def candidates(parties: DataFrame, ledgers: DataFrame) -> DataFrame:
     exact = p.join(index, F.col("party_norm") == F.col("norm")).select("party_norm", F.col("ledger").alias("exact"))
     inside = containing(p, "party_norm", index, "norm").select("party_norm", "norm", "ledger", "ord")
     reverse = containing(index, "norm", p, "party_norm").select("party_norm", "norm", "ledger", "ord")
-    held = inside.unionByName(reverse).where("party_norm <> norm").select("party_norm", "norm", "ledger", "ord").distinct()
-    words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-    size = lambda c: F.size(F.array_distinct(F.split(c, " ")))
-    shared = words(p, "party_norm").join(words(index, "norm"), "word").where("party_norm <> norm").groupBy("party_norm", "norm", "ledger", "ord").agg(F.count(F.lit(1)).alias("common"))
-    shared = shared.where(F.col("common") >= F.least(size("party_norm"), size("norm")) * 0.5)
-    shared = shared.join(held.select("party_norm", "norm"), ["party_norm", "norm"], "left_anti")
-    score = F.round(60.0 + F.col("common") / F.greatest(size("party_norm"), size("norm")) * 25.0, 1)
-    scored = held.select("party_norm", "ledger", "ord", F.lit(88.0).alias("score")).unionByName(shared.select("party_norm", "ledger", "ord", score.alias("score")))
-    listed = scored.groupBy("party_norm").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "ord", "ledger"))).alias("listed"))
+    held = inside.unionByName(reverse).where("party_norm <> norm").select("party_norm", "ledger", "ord", F.lit(-88.0).alias("minus"))
+    shared = _sharing(p, index)
+    shorter, longer = F.least(F.size("words"), F.size("name_words")), F.greatest(F.size("words"), F.size("name_words"))
+    shared = shared.where((F.col("common") >= shorter * 0.5) & ~F.col("norm").contains(F.col("party_norm")) & ~F.col("party_norm").contains(F.col("norm")))
+    score = F.round(60.0 + F.col("common") / longer * 25.0, 1)
+    best = _best(held.unionByName(shared.select("party_norm", "ledger", "ord", (-score).alias("minus"))).distinct(), "party_norm")
+    listed = best.groupBy("party_norm").agg(F.array_sort(F.collect_list(F.struct("minus", "ord", "ledger"))).alias("listed"))
     return p.join(exact, "party_norm", "left").join(listed, "party_norm", "left")
 
 
 def narration_matches(narrations: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """(narration_up, ledger, score): the best ledger that is a segment of the narration (92) or stands in it, from five characters on (88)."""
+    """(narration_up, n_ledger, n_score): the best ledger that is a segment of the narration (92) or stands in it, from five characters on (88)."""
     index = _index(ledgers)
     n = narrations.select("narration_up").distinct()
     cut = n.withColumn("segment", F.explode(F.filter(F.transform(F.split("narration_up", "[/_:-]"), lambda x: F.trim(x)), lambda x: x != "")))
     segments = cut.join(index, F.col("segment") == F.col("norm")).select("narration_up", "ledger", "ord", F.lit(92.0).alias("score"))
-    five = index.where(F.length("norm") >= 5)
-    head = five.withColumn("head", F.substring("norm", 1, 5))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("narration_up") - 4, F.lit(1))), lambda i: F.substr(F.col("narration_up"), i, F.lit(5))))
-    inside = n.withColumn("head", F.explode(grams)).join(head, "head").where(F.col("narration_up").contains(F.col("norm"))).select("narration_up", "ledger", "ord", F.lit(88.0).alias("score"))
+    inside = containing(index.where(F.length("norm") >= 5), "norm", n, "narration_up").select("narration_up", "ledger", "ord", F.lit(88.0).alias("score"))
     best = segments.union(inside).groupBy("narration_up").agg(F.min(F.struct((-F.col("score")).alias("minus"), "ord", "ledger")).alias("b"))
     return best.select("narration_up", F.col("b.ledger").alias("n_ledger"), (-F.col("b.minus")).alias("n_score"))
 

@@ -75,8 +75,8 @@ def _tier(status: str, *scores: float):
 
 
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parties = relation(spark, sf_dir, "narrated").select(F.concat(F.lit("SUPPLIER "), F.lpad((F.col("k") % 40).cast("string"), 4, "0")).alias("party_norm")).distinct()
-    found = ledgers.candidates(parties, _ledgers(spark, sf_dir).where("ord <= 60"))
+    parties = relation(spark, sf_dir, "narrated").select(F.regexp_extract("narration", "(SUPPLIER [0-9]+)", 1).alias("party_norm")).where("party_norm <> ''").distinct()
+    found = ledgers.candidates(parties, _ledgers(spark, sf_dir))
     return found.select("party_norm", "exact", F.array_join(F.transform(F.slice("listed", 1, 5), lambda x: x["ledger"]), "|").alias("best"))
 
 
@@ -97,7 +97,7 @@ def p3_p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in ("narration", "party_name", "ledger_name", "reference", "mapping_status", "category"):
         hit = hit | F.lower(F.coalesce(c, F.lit(""))).contains("supplier 01")
     tab = F.when(F.col("mapping_status") == "Suspense", "SUSPENSE").otherwise("MAPPED")
-    return m.where(hit).groupBy(tab.alias("tab")).agg(F.count(F.lit(1)).alias("n"))
+    return m.where(hit).select("stmt_id", "row_index", tab.alias("tab"))
 
 
 QUERIES = {
@@ -164,7 +164,7 @@ f AS (SELECT normalized_name, arg_min(grp, ord) AS first_grp, min(ord) AS fo FRO
     "J8_J9_close_names": _tier_sql("Auto", "88, 92"),
     "J10_statutory": _tier_sql("Auto", "95, 92, 90"),
     "J12_candidates": with_ctes(("narrated", "ledgers"), f"""
-, few AS (SELECT * FROM ledgers WHERE ord <= 60), ix AS (SELECT {_NORM('name')} AS norm, arg_max(name, ord) AS ledger, min(ord) AS ord FROM few GROUP BY 1), ps AS (SELECT DISTINCT concat('SUPPLIER ', lpad(CAST(k % 40 AS STRING), 4, '0')) AS pn FROM narrated),
+, ix AS (SELECT {_NORM('name')} AS norm, arg_max(name, ord) AS ledger, min(ord) AS ord FROM ledgers GROUP BY 1), ps AS (SELECT DISTINCT regexp_extract(narration, '(SUPPLIER [0-9]+)', 1) AS pn FROM narrated WHERE regexp_extract(narration, '(SUPPLIER [0-9]+)', 1) <> ''),
 sc AS (SELECT pn, ledger, ord, CASE WHEN contains(norm, pn) OR contains(pn, norm) THEN 88.0 WHEN len(list_intersect(string_split(pn, ' '), string_split(norm, ' '))) >= least(2, len(list_distinct(string_split(norm, ' ')))) * 0.5
   THEN round(60.0 + len(list_intersect(string_split(pn, ' '), string_split(norm, ' ')))::DOUBLE / greatest(2, len(list_distinct(string_split(norm, ' ')))) * 25.0, 1) END AS score FROM ps JOIN ix ON pn <> norm),
 bs AS (SELECT pn, array_to_string(list(ledger ORDER BY score DESC, ord)[1:5], '|') AS best FROM sc WHERE score IS NOT NULL GROUP BY pn)
@@ -173,5 +173,5 @@ SELECT ps.pn AS party_norm, ix.ledger AS exact, best FROM ps LEFT JOIN ix ON ps.
     "P5_suspense_counts": with_ctes(_R, _MATCH + """
 SELECT stmt_id, count(*) FILTER (WHERE mapping_status = 'Suspense') AS suspense, count(*) FILTER (WHERE mapping_status <> 'Suspense') AS mapped, count(*) FILTER (WHERE mapping_status = 'Suspense') AS suspense_or_empty FROM told GROUP BY stmt_id"""),
     "P3_P4_review_search": with_ctes(_R, _MATCH + """
-SELECT CASE WHEN mapping_status = 'Suspense' THEN 'SUSPENSE' ELSE 'MAPPED' END AS tab, count(*) AS n FROM told WHERE contains(lower(concat_ws('~', narration, party_name, ledger_name, reference, mapping_status, category)), 'supplier 01') GROUP BY 1"""),
+SELECT stmt_id, row_index, CASE WHEN mapping_status = 'Suspense' THEN 'SUSPENSE' ELSE 'MAPPED' END AS tab FROM told WHERE contains(lower(concat_ws('~', narration, party_name, ledger_name, reference, mapping_status, category)), 'supplier 01')"""),
 }

@@ -50,7 +50,7 @@ def t9(spark, sf_dir):
 
 
 def t10(spark, sf_dir):
-    events = _jobs(spark, sf_dir).where("id % 4 = 0").select("user_id", "id", F.col("page_count").alias("pages"))
+    events = _jobs(spark, sf_dir).select("user_id", "id", F.col("page_count").alias("pages"))
     return usage.credit_ledger(events)
 
 
@@ -96,7 +96,7 @@ def j17(spark, sf_dir):
 
 def j19(spark, sf_dir):
     u = _users(spark, sf_dir)
-    appeals = _jobs(spark, sf_dir).where("id % 6 = 0").select("id", F.when(F.col("id") % 4 == 0, F.lit("gone")).otherwise(F.col("user_id")).alias("user_id"), "user_email")
+    appeals = _jobs(spark, sf_dir).select("id", F.when(F.col("id") % 4 == 0, F.lit("gone")).otherwise(F.col("user_id")).alias("user_id"), "user_email")
     by_id = u.where("account_status <> 'ACTIVE'").select(F.col("id").alias("uid"), F.col("account_status").alias("by_id"))
     by_email = u.where("account_status <> 'ACTIVE'").select(F.col("email").alias("mail"), F.col("account_status").alias("by_email"))
     both = appeals.join(by_id, F.col("user_id") == F.col("uid"), "left").join(by_email, F.lower("user_email") == F.lower("mail"), "left")
@@ -188,7 +188,7 @@ SELECT id, processed, p - processed AS skipped, least(processed, f) AS free_used
     "T9_page_states": with_ctes("jobs", """
 , n AS (SELECT id, unnest(range(1, page_count + 1)) AS page, coalesce(pages_processed, 0) AS d FROM jobs) SELECT id, CASE WHEN page <= d THEN 'PROCESSED' ELSE 'PENDING' END AS state, count(*) AS pages, CAST(max(page) AS INT) AS last_page FROM n GROUP BY 1, 2"""),
     "T10_credit_ledger": with_ctes("jobs", """
-, e AS (SELECT user_id, id, page_count AS pages, CAST(sum(page_count) OVER (PARTITION BY user_id ORDER BY id) AS BIGINT) AS new_balance FROM jobs WHERE id % 4 = 0) SELECT user_id, id, pages, new_balance - pages AS previous_balance, new_balance FROM e"""),
+, e AS (SELECT user_id, id, page_count AS pages, CAST(sum(page_count) OVER (PARTITION BY user_id ORDER BY id) AS BIGINT) AS new_balance FROM jobs) SELECT user_id, id, pages, new_balance - pages AS previous_balance, new_balance FROM e"""),
     "T4_trailing_counts": with_ctes("jobs", """
 , e AS (SELECT user_id, id, CAST(floor(epoch(created_at)) AS BIGINT) AS s FROM jobs) SELECT user_id, id AS event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_span FROM e"""),
     "W19_latest_active": with_ctes("jobs", """
@@ -217,7 +217,7 @@ SELECT id, processed, p - processed AS skipped, least(processed, f) AS free_used
     "J16_appended": with_ctes("users", " SELECT false AS is_new, count(*) AS n FROM users UNION ALL SELECT true, count(*) FROM users WHERE registered % 5 = 1"),
     "J17_overridden": with_ctes("users", _FRESH + " SELECT coalesce(f.id, u.id) AS id, coalesce(f.full_name, u.full_name) AS full_name, coalesce(f.account_status, u.account_status) AS account_status FROM users u FULL OUTER JOIN fresh f ON u.id = f.id"),
     "J19_appeals": with_ctes(_JU, """
-, a AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'gone' ELSE user_id END AS user_id, user_email FROM jobs WHERE id % 6 = 0), s AS (SELECT * FROM users WHERE account_status <> 'ACTIVE')
+, a AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'gone' ELSE user_id END AS user_id, user_email FROM jobs), s AS (SELECT * FROM users WHERE account_status <> 'ACTIVE')
 SELECT a.id, coalesce(x.account_status, y.account_status) AS suspension FROM a LEFT JOIN s x ON a.user_id = x.id LEFT JOIN s y ON lower(a.user_email) = lower(y.email)"""),
     "P2_authorized_pages": with_ctes("tx", " SELECT stmt_id, row_index FROM tx WHERE k % 10 = 0 OR source_page <= 1"),
     "P6_user_search": with_ctes("users", " SELECT id FROM users WHERE lower(email) LIKE '%12%' OR lower(coalesce(full_name, '')) LIKE '%12%' OR lower(coalesce(username, '')) LIKE '%12%' OR lower(id) LIKE '%12%' OR lower(coalesce(mobile_number, '')) LIKE '%12%'"),

@@ -34,7 +34,13 @@ SELECT stmt_id, k, row_index, tx_date, debit, credit,
 FROM tx_balanced
 """
 
-_PARTY = "concat('SUPPLIER ', lpad(CAST(k % 150 AS STRING), 4, '0'))"
+def _supplier(number: str) -> str:
+    """The name of a supplier: its number in four digits or more."""
+    return f"concat('SUPPLIER ', lpad(CAST({number} AS STRING), CAST(greatest(4, length(CAST({number} AS STRING))) AS INT), '0'))"
+
+
+#: Fifty parties more than there are suppliers, so some have no ledger.
+_PARTY = _supplier("party_no")
 _RRN = "lpad(CAST(k AS STRING), 12, '4')"
 
 _NARRATED = f"""
@@ -66,27 +72,30 @@ SELECT stmt_id, k, row_index, tx_date, debit, credit, balance, opening, source_p
     ELSE concat('TRANSFER 10', lpad(CAST(k % 9000 AS STRING), 4, '0'), ' TO BRANCH')
   END AS narration,
   CASE WHEN k % 5 = 0 THEN lpad(CAST(k % 1000000 AS STRING), 6, '0') WHEN k % 5 = 1 THEN concat('CHQ-', lpad(CAST(k % 1000000 AS STRING), 6, '0')) WHEN k % 5 = 2 THEN '' ELSE NULL END AS reference
-FROM tx
+FROM (SELECT tx.*, k % (SELECT count(*) + 50 FROM supplier) AS party_no FROM tx) AS numbered
 """
 
-_LEDGERS = """
+_DIGITS = "lpad(CAST(s_suppkey AS STRING), CAST(greatest(4, length(CAST(s_suppkey AS STRING))) AS INT), '0')"
+
+_LEDGERS = f"""
 SELECT CAST(s_suppkey AS INT) AS ord,
-  CASE WHEN s_suppkey % 4 = 1 THEN concat('Supplier ', lpad(CAST(s_suppkey AS STRING), 4, '0'), ' Pvt Ltd')
-       WHEN s_suppkey % 10 = 6 THEN concat('SUPPLIER  ', lpad(CAST(s_suppkey AS STRING), 4, '0'))
-       ELSE concat('Supplier ', lpad(CAST(s_suppkey AS STRING), 4, '0')) END AS name,
+  CASE WHEN s_suppkey % 4 = 1 THEN concat('Supplier ', {_DIGITS}, ' Pvt Ltd')
+       WHEN s_suppkey % 10 = 6 THEN concat('SUPPLIER  ', {_DIGITS})
+       ELSE concat('Supplier ', {_DIGITS}) END AS name,
   CASE WHEN s_suppkey % 9 = 0 THEN 'Bank Accounts' WHEN s_suppkey % 11 = 0 THEN 'Cash-in-Hand' WHEN s_suppkey % 13 = 0 THEN 'Bank Expense' ELSE n_name END AS grp,
   r_name AS parent_of_nation,
   CASE WHEN s_suppkey % 3 = 0 THEN concat('27ABCDE', lpad(CAST(s_suppkey % 40 AS STRING), 4, '0'), 'F1Z5') END AS gstin,
   CASE WHEN s_suppkey % 7 = 2 THEN concat('Supplier Alpha ', CAST(s_suppkey % 5 AS STRING)) END AS alias,
   CAST(CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_acctbal END AS DECIMAL(18,2)) AS opening_balance
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE s_suppkey <= 400
 """
 
-_RULES = """
-SELECT CAST(p_partkey AS INT) AS ord, CASE WHEN p_partkey = 3 THEN 'PATANJALI' ELSE concat('SUPPLIER ', lpad(CAST(p_partkey * 7 % 150 AS STRING), 4, '0'), CASE WHEN p_partkey % 2 = 0 THEN ' LATENCY' ELSE '' END) END AS pattern,
+#: One rule per part; most patterns stand in no narration, one in a hundred names a supplier.
+_RULES = f"""
+SELECT CAST(p_partkey AS INT) AS ord, CASE WHEN p_partkey = 3 THEN 'PATANJALI' WHEN p_partkey % 100 = 7 THEN {_supplier("p_partkey * 7 % (SELECT count(*) + 50 FROM supplier)")}
+    WHEN p_partkey % 100 = 8 THEN concat({_supplier("p_partkey * 7 % (SELECT count(*) + 50 FROM supplier)")}, ' LATENCY') ELSE concat('PART ', CAST(p_partkey AS STRING), ' STORE') END AS pattern,
   concat(p_brand, ' A/C') AS ledger
-FROM part WHERE p_partkey <= 12
+FROM part
 """
 
 _JOBS = """
@@ -115,12 +124,12 @@ _LINES = """
 SELECT k AS doc_id, CAST(line_no AS INT) AS line_no, CAST(floor(1 + line_no / 6) AS INT) AS page_number, line FROM (
   SELECT stmt_id AS k, row_index * 3 AS line_no, concat(CASE WHEN k % 4 = 0 THEN concat('S', CAST(k AS STRING), ' ') ELSE '' END,
     lpad(CAST(EXTRACT(DAY FROM tx_date) AS STRING), 2, '0'), '/', lpad(CAST(EXTRACT(MONTH FROM tx_date) AS STRING), 2, '0'), '/', CAST(EXTRACT(YEAR FROM tx_date) AS STRING), ' ',
-    narration, ' ', CAST(debit + credit AS STRING), CASE WHEN balance IS NULL THEN '' ELSE concat(' ', CAST(balance AS STRING), ' Cr') END) AS line FROM narrated WHERE stmt_id % 5 = 0
-  UNION ALL SELECT stmt_id, row_index * 3 + 1, concat('CONTD ', narration) FROM narrated WHERE stmt_id % 5 = 0 AND k % 3 = 0
-  UNION ALL SELECT stmt_id, row_index * 3 + 2, concat('Page No: ', CAST(row_index AS STRING), ' of 9') FROM narrated WHERE stmt_id % 5 = 0 AND k % 10 = 0
-  UNION ALL SELECT stmt_id, 1, 'Statement of Account' FROM narrated WHERE stmt_id % 5 = 0 AND row_index = 1
-  UNION ALL SELECT stmt_id, 2, 'DATE PARTICULARS WITHDRAWAL DEPOSIT BALANCE' FROM narrated WHERE stmt_id % 5 = 0 AND row_index = 1
-  UNION ALL SELECT stmt_id, 100000, 'STATEMENT SUMMARY' FROM narrated WHERE stmt_id % 5 = 0 AND row_index = 1
+    narration, ' ', CAST(debit + credit AS STRING), CASE WHEN balance IS NULL THEN '' ELSE concat(' ', CAST(balance AS STRING), ' Cr') END) AS line FROM narrated
+  UNION ALL SELECT stmt_id, row_index * 3 + 1, concat('CONTD ', narration) FROM narrated WHERE k % 3 = 0
+  UNION ALL SELECT stmt_id, row_index * 3 + 2, concat('Page No: ', CAST(row_index AS STRING), ' of 9') FROM narrated WHERE k % 10 = 0
+  UNION ALL SELECT stmt_id, 1, 'Statement of Account' FROM narrated WHERE row_index = 1
+  UNION ALL SELECT stmt_id, 2, 'DATE PARTICULARS WITHDRAWAL DEPOSIT BALANCE' FROM narrated WHERE row_index = 1
+  UNION ALL SELECT stmt_id, 100000, 'STATEMENT SUMMARY' FROM narrated WHERE row_index = 1
 ) AS every_line
 """
 
