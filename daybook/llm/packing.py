@@ -1,18 +1,19 @@
 """Best-fit packing of token sequences.
 
-Method: bulk-synchronous best fit over size classes. A length is at most the
-capacity, so sorting documents and gaps by range gives at most ``capacity``
-classes of each, whatever the number of rows. The steps run on the driver, over
-the classes' counts, from the longest class to the shortest: a successor sweep finds the smallest gap class that
-holds the class, documents and gaps are matched by rank within their classes
-(rank k takes the k-th place, so no two rows claim one gap), gaps are updated,
-and what is left sweeps again; documents without a gap open sequences. The
-result is that of best-fit decreasing, row by row.
-
-Only the histogram of lengths (at most ``capacity`` rows) and the resulting rank
-intervals are held on the driver. Rows are counted, ranked and placed by Spark:
-ranks come from row numbers in (length, salt) groups plus the counts of the
-salts before, so a length that a third of all rows share is spread over salts.
+Method: bulk-synchronous best fit. Lengths go from the longest band to the
+shortest. In a round the band's documents and the open gaps are sorted by range
+of size; a successor sweep from the largest size down gives each document the
+smallest gap that no document before it took (running sums over the sizes, of
+which there are at most ``capacity``); conflicts are resolved by rank, the k-th
+document that finds a size taking the k-th open gap; the gaps are updated in
+Spark, and what is left goes to the next round. Only when no gap holds any
+document of the band are sequences opened. A gap that holds several documents of
+the band offers as many slots, so a band takes few rounds (some 30 in all,
+whatever the number of rows).
+
+Documents and gaps stay in written tables; the driver sees a count per round.
+Ranks come from row numbers in (size, salt) groups plus the counts of the salts
+before, so a length that a third of all rows share is spread over salts.
 
 Defined results: a null text is the empty text (one piece with only the end
 id); repeated rows are packed as often as they occur; an empty table gives none.
@@ -20,7 +21,6 @@ id); repeated rows are packed as often as they occur; an empty table gives none.
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
 import zlib
@@ -108,82 +108,112 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, text:
     return documents.select(*cols, F.explode(run(whole_text(text))).alias("the_piece")).select(*cols, "the_piece.*")
 
 
-def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
-    """Rank intervals (length, first rank, count, first sequence, offset) of best-fit decreasing on size classes."""
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[list[int]]] = {}
-    sizes: list[int] = []  # gap classes in use, ascending
-    fresh = 0
-
-    def add(gap: int, first: int, count: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            if gaps[gap] and gaps[gap][-1][0] + gaps[gap][-1][1] == first:
-                gaps[gap][-1][1] += count
-            else:
-                gaps[gap].append([first, count])
-
-    for length in sorted((x for x, n in histogram.items() if n), reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                room = -(-left // (capacity // length))
-                add(capacity, fresh, room)
-                fresh += room
-                continue
-            gap = sizes[at]
-            per = gap // length  # after one of this class a gap that still holds one is again the best
-            first, count = gaps[gap][0]
-            full = min(count, left // per)
-            take, each = (full, per) if full else (1, left)
-            for layer in range(each):
-                out.append((length, rank, take, first, capacity - gap + layer * length))
-                rank += take
-            left -= take * each
-            if take == count:
-                gaps[gap].pop(0)
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(at)
-            else:
-                gaps[gap][0] = [first + take, count - take]
-            add(gap - each * length, first, take)
-    return np.array(out, np.int64).reshape(-1, 5)
-
-
-def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows_per_salt: int = 200_000) -> DataFrame:
-    """``parts`` with sequence_id and offset. ``parts`` must give the same rows each time it is read."""
-    salt, rank, before = own_name(parts, "salt"), own_name(parts, "rank"), own_name(parts, "before")
-    total = {int(r[0]): int(r[1]) for r in parts.groupBy(length).agg(F.count(F.lit(1))).collect()}  # at most `capacity` rows
-    if any(not 1 <= x <= capacity for x in total):
+def bands(capacity: int, ratio: float = 1.5) -> list[tuple[int, int]]:
+    """(lo, hi] of lengths, from the longest: first all that fill more than half, then each ``ratio`` shorter, doubled below a fifteenth."""
+    out, hi = [(capacity // 2, capacity)], capacity // 2
+    while hi:
+        lo = int(hi / (ratio if hi * 15 > capacity else ratio * 2))
+        out.append((lo, hi))
+        hi = lo
+    return out
+
+
+def _ranked(rows: DataFrame, key: str, salts: int, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with rank: their number, from 0, among the rows of one key. A key is dealt over ``salts`` by its first order column."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(order[0]), F.lit(salts)).cast("int"))
+    counts = salted.groupBy(key, "salt").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(key, "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order)) - 1
+    return salted.withColumn("rank", within).join(before, [key, "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
+
+
+def _classes(slots: DataFrame, left: DataFrame) -> DataFrame:
+    """(key, n_slots, depth) per size: its slots, and the slots of larger sizes that are open before it.
+
+    A successor sweep from the largest size down: a document takes the smallest
+    slot that holds it and that no document before it took. Sums and running
+    minima over at most ``capacity`` sizes tell how many slots are open at each.
+    """
+    counts = slots.groupBy("key").agg(F.sum("n").alias("n_slots"), F.lit(0).cast("long").alias("n_docs"))
+    counts = counts.unionByName(left.groupBy(F.col("length").alias("key")).agg(F.lit(0).cast("long").alias("n_slots"), F.count(F.lit(1)).alias("n_docs")))
+    sizes = counts.groupBy("key").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_docs").alias("n_docs"))
+    down = Window.orderBy(F.desc("key"))
+    upto, ahead = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    after = sizes.withColumn("after", F.sum(F.col("n_slots") - F.col("n_docs")).over(upto))
+    least = F.least(F.lit(0), F.coalesce(F.min("after").over(ahead), F.lit(0)))
+    told = after.withColumn("depth", F.col("after") - F.col("n_slots") + F.col("n_docs") - least)
+    return told.select("key", "n_slots", "depth")
+
+
+def _round(gaps: DataFrame, slots: DataFrame, left: DataFrame, classes: DataFrame, capacity: int, lo: int, salts: int) -> DataFrame:
+    """(row, length, bin, offset, gap): every row of ``left`` with its place (bin is null where no slot is left), and
+    every open gap after the round (row is null).
+
+    Conflicts are resolved by rank: a slot's level is the number of slots open
+    below it, and a document takes the slot on top. Rows meet by level, of which
+    each holds at most one slot and one document per size.
+    """
+    none = F.lit(None).cast("long")
+    each = slots.withColumn("layer", F.explode(F.sequence(F.lit(0), (F.col("per_bin") - 1).cast("int"))))
+    s = _ranked(each, "key", salts, ("bin", "layer")).join(classes.select("key", "depth"), "key")
+    s = s.select((F.col("depth") + F.col("rank") + 1).alias("level"), "key", F.lit(0).alias("kind"), none.alias("row"), F.struct("bin", "layer").alias("slot"))
+    d = _ranked(left.withColumn("key", F.col("length")), "key", salts, ("row",)).join(classes.select("key", "depth", "n_slots"), "key")
+    d = d.select((F.col("depth") + F.col("n_slots") - F.col("rank")).alias("level"), "key", F.lit(1).alias("kind"), "row", F.lit(None).cast("struct<bin:long,layer:int>").alias("slot"))
+    without = d.where("level < 1").select("row", F.col("key").alias("length"), none.alias("bin"), none.alias("offset"), none.alias("gap"))
+    at_level = Window.partitionBy("level").orderBy(F.desc("key"), "kind")
+    met = s.unionByName(d.where("level > 0")).withColumn("taken", F.lag("slot").over(at_level)).where("kind = 1").select("row", F.col("key").alias("length"), "taken.bin", "taken.layer", none.alias("gap"))
+    # The gap's own row stands before the documents of its bin.
+    own = gaps.where(F.col("gap") > lo).select(none.alias("row"), F.lit(0).cast("long").alias("length"), "bin", F.lit(-1).alias("layer"), "gap")
+    of_bin = Window.partitionBy("bin").orderBy("layer")
+    ahead = F.sum(F.coalesce("gap", F.lit(0)) - F.col("length")).over(of_bin.rowsBetween(Window.unboundedPreceding, -1))
+    rest = F.col("gap") - F.sum("length").over(Window.partitionBy("bin"))
+    told = own.unionByName(met).select("row", "length", "bin", F.when(F.col("row").isNotNull(), F.lit(capacity) - ahead).alias("offset"), F.when(F.col("row").isNull(), rest).alias("gap"))
+    small = gaps.where(F.col("gap") <= lo).select(none.alias("row"), none.alias("length"), "bin", none.alias("offset"), "gap")
+    return told.where("row IS NOT NULL OR gap > 0").unionByName(without).unionByName(small)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", rows_per_salt: int = 200_000) -> DataFrame:
+    """``parts`` with sequence_id and offset. Lengths must lie between 1 and the capacity."""
+    spark = parts.sparkSession
+    row = own_name(parts, "row")
+    rows = written(parts.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    docs = rows.select(F.col(row).alias("row"), F.col(length).cast("long").alias("length"))
+    steps = bands(capacity)
+    number = F.lit(len(steps))
+    for i, (lo, _) in reversed(list(enumerate(steps))):
+        number = F.when(F.col("length") > lo, i).otherwise(number)
+    totals = {r[0]: (r[1], r[2], r[3]) for r in docs.groupBy(number.alias("band")).agg(F.count(F.lit(1)), F.min("length"), F.max("length")).collect()}  # a row a band
+    if any(not 1 <= x <= capacity for _, a, b in totals.values() for x in (a, b)):
         raise ValueError("lengths must lie between 1 and the capacity")
-    salts = max(8, -(-max(total.values(), default=0) // rows_per_salt))
-    salted = parts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(length, salt).agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(length, salt, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
-    within = F.row_number().over(Window.partitionBy(length, salt).orderBy(*order)) - 1
-    ranked = salted.withColumn(rank, within).join(offsets, [length, salt]).withColumn(rank, F.col(rank) + F.col(before))
-
-    steps = plan(total, capacity)
-    steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
-    wide = np.int64(1) << 44
-    starts, first_rank, bins, offset = steps[:, 0] * wide + steps[:, 1], steps[:, 1], steps[:, 3], steps[:, 4]
-
-    def places(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for n, k in batches:
-            n, k = n.to_numpy(np.int64), k.to_numpy(np.int64)
-            at = np.searchsorted(starts, n * wide + k, "right") - 1
-            yield pd.DataFrame({"sequence_id": bins[at] + k - first_rank[at], "offset": offset[at]})
-
-    run = F.pandas_udf(places, "sequence_id long, offset long")
-    placed = ranked.withColumn("place", run(F.col(length).cast("long"), F.col(rank).cast("long")))
-    return placed.select(*[F.col(f"`{c}`") for c in parts.columns], "place.sequence_id", "place.offset")
+
+    # What fills more than half has a sequence of its own, numbered as its row; later sequences have negative numbers.
+    long = docs.where(F.col("length") > steps[0][0])
+    placed = [long.select("row", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    gaps = long.select(F.col("row").alias("bin"), (capacity - F.col("length")).alias("gap")).where("gap > 0")
+    widest, opened = capacity - totals[0][1] if 0 in totals else 0, 0
+    for i, (lo, hi) in enumerate(steps[1:], 1):
+        n, shortest, _ = totals.get(i, (0, 0, 0))
+        left = docs.where((F.col("length") > lo) & (F.col("length") <= hi))
+        while n:
+            if widest < shortest:  # no gap holds any of them: open as many sequences as they need
+                fresh = -(-n // (capacity // hi))
+                gaps = gaps.unionByName(spark.range(opened, opened + fresh).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).cast("long").alias("gap")))
+                opened += fresh
+            # A gap of several times `hi` offers as many slots, each of an equal part of it, so whatever takes them fits.
+            per_bin = F.greatest(F.lit(1), F.floor(F.col("gap") / hi))
+            slots = gaps.where(F.col("gap") > lo).select("bin", "gap", per_bin.alias("per_bin"), F.floor(F.col("gap") / per_bin).alias("key"), per_bin.alias("n"))
+            done = written(_round(gaps, slots, left, _classes(slots, left), capacity, lo, max(1, -(-n // rows_per_salt))), "round")
+            placed.append(done.where("row IS NOT NULL AND bin IS NOT NULL").select("row", "bin", "offset"))
+            gaps, left = done.where("row IS NULL").select("bin", "gap"), done.where("bin IS NULL").select("row", "length")
+            n, shortest, widest = done.agg(F.count_if(F.col("bin").isNull()), F.min(F.when(F.col("bin").isNull(), F.col("length"))), F.coalesce(F.max("gap"), F.lit(0))).first()
+    whole = placed[0]
+    for more in placed[1:]:
+        whole = whole.unionByName(more)
+    whole = whole.select(F.col("row").alias(row), F.col("bin").alias("sequence_id"), "offset")
+    return rows.join(whole, row).drop(row)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """All pieces of ``documents`` with their places."""
-    return pack(written(pieces(documents, tokenizer, capacity), "pieces"), capacity)
+    return pack(pieces(documents, tokenizer, capacity), capacity)

@@ -94,3 +94,21 @@ def repeats(rows, span=400):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         out.append((i, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def best_fit_decreasing(histogram, capacity):
+    """Number of sequences that best fit opens when it goes from the longest to the shortest."""
+    import bisect
+
+    gaps, opened = [], 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            at = bisect.bisect_left(gaps, length)
+            if at == len(gaps):
+                opened += 1
+                gap = capacity
+            else:
+                gap = gaps.pop(at)
+            if gap > length:
+                bisect.insort(gaps, gap - length)
+    return opened
