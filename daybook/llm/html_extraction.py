@@ -2,13 +2,20 @@
 
 Method: the standard library's ``HTMLParser`` streams events into blocks ("lines").
 Each block has a text-to-tag ratio: its characters over one plus its tags. The
-ratios are smoothed with a Gaussian kernel and split into two clusters by an
-iterated mean threshold; the blocks of the high cluster select the content
-regions. Blocks below elements that never hold an article (menus, forms,
-scripts, ...) take part in no region.
-
-Defined results: a null or empty page gives an empty text; repeated rows give
-repeated results; other columns stay as they are when ``extract_pages`` is used.
+ratios are smoothed with a Gaussian kernel along each region, weighted by what the markup says of
+the block's place, and split into two clusters by an iterated mean threshold;
+the regions with a block in the high cluster are the article.
+
+A region is what stands in one ``<article>`` or ``<main>``, else in one
+container (``div``, ``section``, table cell, page). Markup alone selects nothing:
+an ``<article>`` with most of the text weighs more and one among several less, and
+a container whose class is that of an advert, sidebar or comments weighs little,
+inside an article a quarter. Only elements that never hold an article (menus,
+forms, scripts, ...) and hidden ones take part in no region.
+
+Defined results: a null or empty page gives an empty text, as does one with
+nothing outside menus, forms and marked containers; repeated rows give repeated
+results; other columns stay as they are when ``extract_pages`` is used.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,48 +40,78 @@ BLOCKS = frozenset(
 )
 NEVER_CONTENT = frozenset(
     "head title script style noscript template iframe object embed svg math canvas audio video map nav menu footer aside form "
-    "button select textarea input option optgroup datalist fieldset label dialog search header".split()
+    "button select textarea input option optgroup datalist fieldset dialog search header".split()
 )
 ENDS_PARAGRAPH = BLOCKS - frozenset("head html body title".split())
 HOLDERS = frozenset("article main".split())
-#: Words in class, id or role that mark a part as something else than the article.
-OTHER_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|menus|breadcrumbs?|"
-    r"header|masthead|footer|sidebars?|side-bar|aside|widgets?|comments?|comment-list|respond|replies|discussion|disqus|cookies?|consent|gdpr|"
-    r"notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
-    r"recommendations|pagination|pager|toolbar|search|form|legal|copyright|disclaimer|complementary|contentinfo|hidden|"
-    r"visually-hidden|sr-only|skip-link)(?=$|[\s_-]|\d)",
-    re.I,
+CONTAINERS = frozenset("article main section div table td th tr ul ol dl details body html".split())
+#: Containers that a class may mark; other elements, headings and paragraphs among them, keep their text whatever their class.
+MARKABLE = frozenset("div section ul ol dl table td details span".split())
+#: Roles of parts that are not the article.
+OTHER_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
+#: Class names of other parts: as a whole, or as first or last word of a name with hyphens or underscores.
+OTHER_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "footer sidebar sidebars widget widgets comment comments respond replies disqus cookie cookies consent gdpr notice notices popup modal overlay "
+    "newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar".split()
 )
-#: A page's own frame may carry such a word, as in <body class="has-sidebar">.
-FRAME = frozenset("html body article main".split())
+#: Class names of other parts only as a whole.
+OTHER_NAMES = frozenset("header site-header page-header masthead search form legal copyright disclaimer alert alerts discussion hidden visually-hidden sr-only skip-link".split())
+
+#: Weights of a block's score by its place.
+MOST_TEXT, ONE_OF_SEVERAL, MARKED, MARKED_INSIDE = 4.0, 0.5, 0.05, 0.25
+
+
+def other_part(classes: str) -> bool:
+    """Whether a class attribute names an advert, menu, sidebar, comment list or the like."""
+    for name in classes.lower().split():
+        words = re.split("[-_]+", name)
+        if name in OTHER_NAMES or words[0] in OTHER_PARTS or words[-1] in OTHER_PARTS:
+            return True
+    return False
+
+
+class _State(NamedTuple):
+    """What holds for the text inside an element: excluded, number of the article it stands in, number of its container, marked."""
+
+    excluded: bool = False
+    holder: int = 0
+    container: int = 0
+    marked: bool = False
+
+
+class _Block(NamedTuple):
+    text: str
+    tags: int
+    place: _State
 
 
 class _Blocks(HTMLParser):
-    """Collects blocks as (text parts, tags, excluded, holder)."""
+    """Collects the blocks of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, excluded, holder
-        self.blocks: list[tuple[str, int, bool, int]] = []
+        self.open: list[tuple[str, _State]] = []
+        self.blocks: list[_Block] = []
         self.parts: list[str] = []
         self.tags = 0
         self.holders = 0
+        self.containers = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _state(self) -> _State:
+        return self.open[-1][1] if self.open else _State()
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, self.tags, *self._state()))
+            self.blocks.append(_Block(text, self.tags, self._state()))
             self.tags = 0
         self.parts = []
 
     def _close(self, name: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == name:
-                if name in BLOCKS or any(x[1] for x in self.open[at:]):
+                if name in BLOCKS or any(x[1].excluded or x[1].marked for x in self.open[at:]):
                     self._cut()
                 del self.open[at:]
                 return
@@ -97,23 +135,28 @@ class _Blocks(HTMLParser):
                     break
                 if self.open[at][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                     break
-        excluded, holder = self._state()
-        given = {k: v or "" for k, v in attrs}
-        apart = tag in NEVER_CONTENT and not (tag == "header" and holder)
-        if not apart and attrs and tag not in FRAME:
-            marks = " ".join((given.get("class", ""), given.get("id", ""), given.get("role", "")))
-            apart = bool(marks.strip() and OTHER_PARTS.search(marks)) or "hidden" in given or given.get("aria-hidden") == "true"
+        now = self._state()
+        apart = tag in NEVER_CONTENT and not (tag == "header" and now.holder)
+        marked = now.marked
+        if attrs and not apart:
+            given = {k: v or "" for k, v in attrs}
+            apart = given.get("role", "").lower() in OTHER_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             apart = apart or "display:none" in given.get("style", "").replace(" ", "").lower()
-        if tag in BLOCKS or apart and not excluded:
+            marked = marked or tag in MARKABLE and other_part(given.get("class", ""))
+        if tag in BLOCKS or (apart, marked) != (False, now.marked):
             self._cut()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        if tag in HOLDERS and not excluded and not holder:
+        holder, container = now.holder, now.container
+        if tag in HOLDERS and not now.excluded and not holder:
             self.holders += 1
-            holder = self.holders
-        self.open.append((tag, excluded or apart, holder))
+            holder, marked = self.holders, False
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
+        self.open.append((tag, _State(now.excluded or apart, holder, container, marked)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash except on void elements
@@ -160,37 +203,44 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.close()
     parser._cut()
     blocks = parser.blocks
-    if not blocks:
+    plain = [b for b in blocks if not b.place.excluded and not b.place.marked]
+    if not plain:
         return ""
-    ratios = np.array([0.0 if b[2] else len(b[0]) / (1 + b[1]) for b in blocks])
-    score = smoothed(ratios, sigma)
-    allowed = np.array([not b[2] for b in blocks])
-    if not allowed.any():
-        return ""
-    chosen = allowed & (score >= two_clusters(score))
-    if not chosen.any():
-        chosen = allowed
-    # A region is a run of allowed blocks below the same holder, or in no holder;
-    # it is content if its blocks of the high cluster carry the text.
-    regions: dict[int, float] = {}
-    for b, yes in zip(blocks, chosen, strict=True):
-        if yes:
-            regions[b[3]] = regions.get(b[3], 0.0) + len(b[0])
-    held = {k: v for k, v in regions.items() if k}
-    if held and sum(held.values()) * 4 >= sum(regions.values()):
-        kept = [b[0] for b in blocks if not b[2] and b[3] in held]
-    else:
-        spans, run = [], []
-        for i, ok in enumerate(allowed):
-            if ok:
-                run.append(i)
-            elif run:
-                spans, run = [*spans, run], []
-        spans = [*spans, run] if run else spans
-        kept = [blocks[i][0] for run in spans if chosen[run].any() for i in run]
+    ratios = np.array([0.0 if b.place.excluded else len(b.text) / (1 + b.tags) for b in blocks])
+    region = lambda b: (True, b.place.holder) if b.place.holder else (False, b.place.container)
+    lines: dict[tuple[bool, int], list[int]] = {}
+    for i, b in enumerate(blocks):
+        lines.setdefault(region(b), []).append(i)
+    score = np.empty(len(blocks))
+    for at in lines.values():  # along the lines of a region, so that its neighbours don't shine in
+        score[at] = smoothed(ratios[at], sigma)
+    score *= weights(blocks)
+    high = score >= two_clusters(score)
+    chosen = {region(b) for b, yes in zip(blocks, high, strict=True) if yes and not b.place.excluded}
+    # A marked part of an article stays only if the clusters speak for it.
+    kept = [b.text for b, yes in zip(blocks, high, strict=True) if not b.place.excluded and region(b) in chosen and (yes or not b.place.marked)]
     return "\n\n".join(kept)
 
 
+def weights(blocks: list[_Block]) -> np.ndarray:
+    """How much each block's score counts, by the markup around it."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        if not b.place.excluded and not b.place.marked:
+            held[b.place.holder] = held.get(b.place.holder, 0) + len(b.text)
+    total = sum(held.values())
+
+    def weight(b: _Block) -> float:
+        if b.place.excluded:
+            return 0.0
+        if not b.place.holder:
+            return MARKED if b.place.marked else 1.0
+        own = MOST_TEXT if held.get(b.place.holder, 0) * 2 >= total else ONE_OF_SEVERAL
+        return own * MARKED_INSIDE if b.place.marked else own
+
+    return np.array([weight(b) for b in blocks])
+
+
 def extract_pages(pages: DataFrame, html: str = "html", into: str = "text", sigma: float = 1.0) -> DataFrame:
     """``pages`` with the main text of each page's whole html in ``into``."""
 
