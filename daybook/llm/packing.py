@@ -118,59 +118,51 @@ def bands(capacity: int, ratio: float = 1.5) -> list[tuple[int, int]]:
     return out
 
 
-def _ranked(rows: DataFrame, key: str, salts: int, order: tuple[str, ...]) -> DataFrame:
-    """``rows`` with rank: their number, from 0, among the rows of one key. A key is dealt over ``salts`` by its first order column."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(order[0]), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(key, "salt").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(key, "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order)) - 1
-    return salted.withColumn("rank", within).join(before, [key, "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
-
-
-def _classes(slots: DataFrame, left: DataFrame) -> DataFrame:
-    """(key, n_slots, depth) per size: its slots, and the slots of larger sizes that are open before it.
+def _levels(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind 0: slot, 1: document; key: its size; of, layer: what it belongs to; salt) with their level.
 
     A successor sweep from the largest size down: a document takes the smallest
-    slot that holds it and that no document before it took. Sums and running
-    minima over at most ``capacity`` sizes tell how many slots are open at each.
+    slot that holds it and that no document before it took. A slot's level is
+    the number of slots that are open below it, and a document is on the level
+    of the slot it takes, or on none (below 1). Sums and running minima over at
+    most two times ``capacity`` sizes tell how many slots are open at each size;
+    within a size the rank decides.
     """
-    counts = slots.groupBy("key").agg(F.sum("n").alias("n_slots"), F.lit(0).cast("long").alias("n_docs"))
-    counts = counts.unionByName(left.groupBy(F.col("length").alias("key")).agg(F.lit(0).cast("long").alias("n_slots"), F.count(F.lit(1)).alias("n_docs")))
-    sizes = counts.groupBy("key").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_docs").alias("n_docs"))
-    down = Window.orderBy(F.desc("key"))
-    upto, ahead = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
-    after = sizes.withColumn("after", F.sum(F.col("n_slots") - F.col("n_docs")).over(upto))
-    least = F.least(F.lit(0), F.coalesce(F.min("after").over(ahead), F.lit(0)))
-    told = after.withColumn("depth", F.col("after") - F.col("n_slots") + F.col("n_docs") - least)
-    return told.select("key", "n_slots", "depth")
-
-
-def _round(gaps: DataFrame, slots: DataFrame, left: DataFrame, classes: DataFrame, capacity: int, lo: int, salts: int) -> DataFrame:
+    key = ["kind", "key", "salt"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("minus", -F.col("key")).withColumn("change", F.col("n") * (1 - 2 * F.col("kind")))
+    down = Window.orderBy("minus")
+    upto, ahead, same = down.rangeBetween(Window.unboundedPreceding, 0), down.rangeBetween(Window.unboundedPreceding, -1), down.rangeBetween(0, 0)
+    told = counts.select("*", F.sum("change").over(upto).alias("after"), F.coalesce(F.sum("change").over(ahead), F.lit(0)).alias("before"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).over(same).alias("n_slots"))
+    depth = F.col("before") - F.least(F.lit(0), F.coalesce(F.min("after").over(ahead), F.lit(0)))
+    salts = F.coalesce(F.sum("n").over(Window.partitionBy("kind", "key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = told.select(*key, F.when(F.col("kind") == 0, depth + salts + 1).otherwise(depth + F.col("n_slots") - salts).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("of", "layer")) - 1
+    return rows.withColumn("rank", rank).join(first, key).withColumn("level", F.col("first") + F.col("rank") * (1 - 2 * F.col("kind")))
+
+
+def _round(gaps: DataFrame, left: DataFrame, band: DataFrame, capacity: int) -> DataFrame:
     """(row, length, bin, offset, gap): every row of ``left`` with its place (bin is null where no slot is left), and
-    every open gap after the round (row is null).
+    every open gap after the round (row is null). ``band``: one row (lo, hi, salts).
 
-    Conflicts are resolved by rank: a slot's level is the number of slots open
-    below it, and a document takes the slot on top. Rows meet by level, of which
+    Conflicts are resolved by rank: documents and slots meet by level, of which
     each holds at most one slot and one document per size.
     """
     none = F.lit(None).cast("long")
-    each = slots.withColumn("layer", F.explode(F.sequence(F.lit(0), (F.col("per_bin") - 1).cast("int"))))
-    s = _ranked(each, "key", salts, ("bin", "layer")).join(classes.select("key", "depth"), "key")
-    s = s.select((F.col("depth") + F.col("rank") + 1).alias("level"), "key", F.lit(0).alias("kind"), none.alias("row"), F.struct("bin", "layer").alias("slot"))
-    d = _ranked(left.withColumn("key", F.col("length")), "key", salts, ("row",)).join(classes.select("key", "depth", "n_slots"), "key")
-    d = d.select((F.col("depth") + F.col("n_slots") - F.col("rank")).alias("level"), "key", F.lit(1).alias("kind"), "row", F.lit(None).cast("struct<bin:long,layer:int>").alias("slot"))
-    without = d.where("level < 1").select("row", F.col("key").alias("length"), none.alias("bin"), none.alias("offset"), none.alias("gap"))
-    at_level = Window.partitionBy("level").orderBy(F.desc("key"), "kind")
-    met = s.unionByName(d.where("level > 0")).withColumn("taken", F.lag("slot").over(at_level)).where("kind = 1").select("row", F.col("key").alias("length"), "taken.bin", "taken.layer", none.alias("gap"))
-    # The gap's own row stands before the documents of its bin.
-    own = gaps.where(F.col("gap") > lo).select(none.alias("row"), F.lit(0).cast("long").alias("length"), "bin", F.lit(-1).alias("layer"), "gap")
-    of_bin = Window.partitionBy("bin").orderBy("layer")
-    ahead = F.sum(F.coalesce("gap", F.lit(0)) - F.col("length")).over(of_bin.rowsBetween(Window.unboundedPreceding, -1))
-    rest = F.col("gap") - F.sum("length").over(Window.partitionBy("bin"))
-    told = own.unionByName(met).select("row", "length", "bin", F.when(F.col("row").isNotNull(), F.lit(capacity) - ahead).alias("offset"), F.when(F.col("row").isNull(), rest).alias("gap"))
-    small = gaps.where(F.col("gap") <= lo).select(none.alias("row"), none.alias("length"), "bin", none.alias("offset"), "gap")
-    return told.where("row IS NOT NULL OR gap > 0").unionByName(without).unionByName(small)
+    salt = lambda c: F.pmod(F.xxhash64(c), F.col("salts")).alias("salt")
+    # A gap of several times `hi` offers as many slots, each of an equal part of it, so whatever takes them fits.
+    open_gaps = gaps.crossJoin(F.broadcast(band)).where("gap > lo").withColumn("per_bin", F.greatest(F.lit(1), F.floor(F.col("gap") / F.col("hi"))))
+    slots = open_gaps.select(F.lit(0).alias("kind"), F.floor(F.col("gap") / F.col("per_bin")).alias("key"), F.col("bin").alias("of"), F.explode(F.sequence(F.lit(1), F.col("per_bin").cast("int"))).alias("layer"), salt("bin"))
+    docs = left.crossJoin(F.broadcast(band)).select(F.lit(1).alias("kind"), F.col("length").alias("key"), F.col("row").alias("of"), F.lit(0).alias("layer"), salt("row"))
+    slot = F.when(F.col("kind") == 0, F.struct(F.col("of").alias("bin"), "layer"))
+    taken = F.lag(slot).over(Window.partitionBy("level").orderBy(F.desc("key"), "kind"))
+    met = _levels(slots.unionByName(docs)).withColumn("taken", taken).where("kind = 1").select(F.col("of").alias("row"), F.col("key").alias("length"), "taken.bin", "taken.layer", none.alias("gap"))
+    # The gap's own row stands before the documents of its bin; a document without one is alone, as no bin has its number.
+    every = gaps.select(none.alias("row"), F.lit(0).cast("long").alias("length"), "bin", F.lit(0).alias("layer"), "gap").unionByName(met)
+    of_bin = Window.partitionBy(F.coalesce("bin", "row")).orderBy("layer")
+    room = F.sum(F.coalesce("gap", F.lit(0)) - F.col("length"))
+    ahead = F.when(F.col("row").isNotNull() & F.col("bin").isNotNull(), capacity - room.over(of_bin.rowsBetween(Window.unboundedPreceding, -1)))
+    rest = F.when(F.col("row").isNull(), room.over(of_bin.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return every.select("row", "length", "bin", ahead.alias("offset"), rest.alias("gap")).where("row IS NOT NULL OR gap > 0")
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", rows_per_salt: int = 200_000) -> DataFrame:
@@ -200,10 +192,9 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", row
                 fresh = -(-n // (capacity // hi))
                 gaps = gaps.unionByName(spark.range(opened, opened + fresh).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).cast("long").alias("gap")))
                 opened += fresh
-            # A gap of several times `hi` offers as many slots, each of an equal part of it, so whatever takes them fits.
-            per_bin = F.greatest(F.lit(1), F.floor(F.col("gap") / hi))
-            slots = gaps.where(F.col("gap") > lo).select("bin", "gap", per_bin.alias("per_bin"), F.floor(F.col("gap") / per_bin).alias("key"), per_bin.alias("n"))
-            done = written(_round(gaps, slots, left, _classes(slots, left), capacity, lo, max(1, -(-n // rows_per_salt))), "round")
+            # As a row and not as literals, so that all rounds run the same compiled plan.
+            band = spark.createDataFrame([(lo, hi, max(1, -(-n // rows_per_salt)))], "lo long, hi long, salts long")
+            done = written(_round(gaps, left, band, capacity), "round")
             placed.append(done.where("row IS NOT NULL AND bin IS NOT NULL").select("row", "bin", "offset"))
             gaps, left = done.where("row IS NULL").select("bin", "gap"), done.where("bin IS NULL").select("row", "length")
             n, shortest, widest = done.agg(F.count_if(F.col("bin").isNull()), F.min(F.when(F.col("bin").isNull(), F.col("length"))), F.coalesce(F.max("gap"), F.lit(0))).first()
