@@ -152,12 +152,14 @@ def judged(counted: DataFrame, limits: DataFrame, rules: Rules = Rules(), lang:
 def judge_documents(documents: DataFrame, id_col: str = "doc_id", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """Counts and verdict per row of ``documents``, without the texts."""
     rows = written(with_counts(documents.select(id_col, "text", "lang", "source")).drop("text"), "quality")
-    return judged(rows, fences(sketch(rows), rules), rules).withColumn("base_failed", base_failed(rules))
+    # Written first: Spark then knows its size (a row a group) and broadcasts it only below its limit, without dealing the rows by group.
+    limits = written(fences(sketch(rows), rules), "fences")
+    return judged(rows, limits, rules).withColumn("base_failed", base_failed(rules))
 
 
 def filter_documents(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """The rows of ``documents`` that stay, with their own columns."""
     counts, kept = own_name(documents, "counts"), own_name(documents, "kept")
-    counted = with_counts(documents, into=counts)
+    counted = written(with_counts(documents, into=counts), "counted")
     limits = written(fences(sketch(counted.select("lang", "source", counts), counts=counts), rules), "fences")
     return judged(counted, limits, rules, counts=counts, into=kept).where(F.col(kept)).select(*[F.col(f"`{x}`") for x in documents.columns])
