@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daybook.storage import run_folder, written
 
-__all__ = ["WORD_GAP", "own_name", "run_folder", "table", "whole_text", "written"]
+__all__ = ["WORD_GAP", "join_by_key", "own_name", "run_folder", "table", "whole_text", "written"]
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -29,3 +29,17 @@ def own_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key`` (one row a key, ``size`` of which tells how many of ``rows`` it has).
+
+    Keys that hold more than a ten-thousandth of ``total`` rows (and over 1000)
+    are joined by a broadcast: there are at most 10,000 of them, whatever the
+    data. The others are shuffled, so no task gets a large group. ``rows`` is
+    read twice; ``per_key`` should be a written table or cheap.
+    """
+    limit = max(1000, total // 10_000)
+    hot, rest = F.broadcast(per_key.where(F.col(size) > limit)), per_key.where(F.col(size) <= limit)
+    calm = rows.join(F.broadcast(per_key.where(F.col(size) > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(calm.join(rest, key, how))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import own_name, whole_text, written
+from daybook.llm.common import join_by_key, own_name, whole_text, written
 
 GRAM = 32
 
@@ -48,7 +48,7 @@ class Repeats:
 
     span: int = 400
     shard_bytes: int = 2_000_000
-    shard_segments: int = 2048
+    shard_segments: int = 512
 
 
 def _eights(raw: np.ndarray) -> np.ndarray:
@@ -331,7 +331,9 @@ def repeated_spans(documents: DataFrame, p: Repeats = Repeats(), id_col: str = "
     starts = starts.union(_merged(solved.where("digests is not null")))
     hits = places.join(starts, "segment").select("key", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     spans = hits.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
-    flagged = rows.drop("anchors").join(counts, "sha").withColumn("whole_copy", F.col("copies") > 1).drop("copies")
+    # Texts that occur once need no lookup; a text that very many rows share is not gathered in one task.
+    several = written(counts.where("copies > 1"), "copies")
+    flagged = join_by_key(rows.drop("anchors"), several, "sha", "copies", rows.count(), "left").withColumn("whole_copy", F.col("copies").isNotNull()).drop("copies")
     return flagged, spans, texts.select("key", "text")
 
 
@@ -434,8 +436,10 @@ def removal_report(documents: DataFrame, p: Repeats = Repeats(), id_col: str = "
     rows, results = cleaned(documents, p, id_col, text)
     found = results.drop("kept").select(F.lower(F.hex("key")).alias("start"), F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"))
     all_gone = F.col("whole_copy") & (F.col("n_bytes") >= p.span)
-    joined = rows.join(found, F.substring("sha", 1, 32) == F.col("start"), "left")
-    return joined.select(
+    # Copies of one text lose all of it or, if it is short, nothing: they need no lookup and would gather in one task.
+    single = rows.where(~F.col("whole_copy")).join(found, F.substring("sha", 1, 32) == F.col("start"), "left")
+    copied = rows.where("whole_copy").select("*", *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes])
+    return single.unionByName(copied).select(
         F.col("id").alias(id_col),
         "n_bytes",
         F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("r", F.lit(0))).alias("n_removed"),
@@ -449,20 +453,21 @@ def remove_repeats(documents: DataFrame, p: Repeats = Repeats(), text: str = "te
 
     The other columns stay; ``n_chars``, where it is there, counts anew. A null text stays null.
     """
-    one = own_name(documents, "one")
-    rows, results = cleaned(documents.withColumn(one, F.lit(0)), p, one, text)
-    copies = rows.where(F.col("whole_copy") & (F.col("n_bytes") >= p.span)).select(F.substring("sha", 1, 32).alias("start"), F.lit("").alias("new")).distinct()
+    n = own_name(documents, "n")
+    numbered = written(documents.withColumn(n, F.monotonically_increasing_id()), "numbered")
+    rows, results = cleaned(numbered, p, n, text)
     changed = results.select(F.lower(F.hex("key")).alias("start"), F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
 
     def characters(kept: pd.Series) -> pd.Series:
         return pd.Series([bytes(x).decode("utf-8", "ignore") for x in kept], dtype=object)
 
     changed = changed.select("start", F.coalesce("whole", F.pandas_udf(characters, "string")(F.col("kept"))).alias("new"))
-    changed = changed.join(copies, "start", "left_anti").union(copies)
-    a, b, c = own_name(documents, "sha_start"), own_name(documents, "new_start"), own_name(documents, "new_text")
-    changed = changed.select(F.col("start").alias(b), F.col("new").alias(c))
-    named = documents.withColumn(a, F.substring(F.sha2(whole_text(text), 256), 1, 32))
-    joined = named.join(changed, F.col(a) == F.col(b), "left").withColumn(text, F.coalesce(F.col(c), F.col(text)))
+    # Each changed text by its row: copies of one text need no lookup and would gather in one task.
+    lost = rows.where(F.col("whole_copy") & (F.col("n_bytes") >= p.span)).select("id", F.lit("").alias("new"))
+    cut = rows.where(~F.col("whole_copy")).select("id", F.substring("sha", 1, 32).alias("start")).join(changed, "start").select("id", "new")
+    a, c = own_name(documents, "changed_row"), own_name(documents, "new_text")
+    changed = lost.unionByName(cut).select(F.col("id").alias(a), F.col("new").alias(c))
+    joined = numbered.join(changed, F.col(n) == F.col(a), "left").withColumn(text, F.coalesce(F.col(c), F.col(text)))
     if "n_chars" in documents.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(c).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*[F.col(f"`{x}`") for x in documents.columns])
