@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import own_name, whole_text, written
+from daybook.llm.common import join_by_key, own_name, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -207,10 +207,11 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature", "sketch")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(buckets.join(shared, "bucket"), "buckets")
+    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = written(join_by_key(buckets, shared, "bucket", "n", rows.count() * p.bands), "buckets")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    members = written(members.join(company, "node").select("bucket", "node", F.struct("company", "node").alias("rank")), "members")
+    members = written(members.join(company, "node").select("bucket", "node", "n", F.struct("company", "node").alias("rank")), "members")
+    total = members.count()
     inside = members.select("node").distinct()
     known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature", "sketch"), "nodes")
     texts = _texts_of(documents.select(F.col(id_col).alias("id"), whole_text(text).alias("text")), known.select("of_id", "node"), p)
@@ -221,20 +222,22 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     for turn in range(p.hub_rounds + 1):
         here = members if turn == 0 else members.join(labels, "node")
         if turn == 0:
-            hubs = members.groupBy("bucket").agg(F.max("rank").alias("hub")).select("bucket", F.col("hub.node").alias("b"))
-            pairs = members.select("bucket", F.col("node").alias("a")).join(hubs, "bucket").where("a <> b").select("a", "b").distinct()
+            hubs = written(members.groupBy("bucket").agg(F.max("rank").alias("hub"), F.max("n").alias("n")).select("bucket", "n", F.col("hub.node").alias("b")), "hubs")
+            pairs = join_by_key(members.select("bucket", F.col("node").alias("a")), hubs, "bucket", "n", total).where("a <> b").select("a", "b").distinct()
         else:
-            mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-            open_rows = written(here.join(mixed, "bucket"), f"open-{turn}")
+            here = written(here, f"here-{turn}")
+            mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")).where("low <> high").select("bucket", "n")
+            open_rows = written(join_by_key(here.drop("n"), written(mixed, f"mixed-{turn}"), "bucket", "n", total), f"open-{turn}")
             if open_rows.isEmpty():
                 break
             if turn < p.hub_rounds:
                 # Each component's best node against the node with most company in each bucket, and all nodes against another component's best.
-                best = open_rows.groupBy("bucket", "component").agg(F.max("rank").alias("hub"))
-                top = best.groupBy("bucket").agg(F.max("hub").alias("first"))
-                second = best.join(top, "bucket").where("hub <> first").groupBy("bucket").agg(F.max(F.struct("hub", "component")).alias("second"))
+                best = written(open_rows.groupBy("bucket", "component").agg(F.max("rank").alias("hub"), F.max("n").alias("n")), f"best-{turn}")
+                top = best.groupBy("bucket").agg(F.max("hub").alias("first"), F.max("n").alias("n"))
+                behind = join_by_key(best.drop("n"), written(top, f"top-{turn}"), "bucket", "n", total).where("hub <> first")
+                second = written(behind.groupBy("bucket").agg(F.max(F.struct("hub", "component")).alias("second"), F.max("n").alias("n")), f"second-{turn}")
                 pairs = (
-                    open_rows.join(second, "bucket").where(F.col("component") != F.col("second.component"))
+                    join_by_key(open_rows.drop("n"), second, "bucket", "n", total).where(F.col("component") != F.col("second.component"))
                     .select(F.col("node").alias("a"), F.col("second.hub.node").alias("b")).distinct()
                 )
             else:
