@@ -1,8 +1,7 @@
 """Which bank issued a statement: weighted signatures in its first page's head.
 
-Signatures are rows (ord, bank_name, parser_key, kind, pattern), a parameter of
-every call. They are folded into one expression per bank, so patterns are
-compiled once and a document is read once, without a join.
+Signatures are a parameter of every call: a few dozen banks with their patterns.
+They are joined to the documents by a broadcast, so a document is read once.
 """
 
 from __future__ import annotations
@@ -41,24 +40,12 @@ def signature(name: str, code: str, domain: str, parser_key: str = "generic_stan
     """A signature by rule: the name's words, the branch code's beginning, the site, and an account number of so many digits."""
     words = r"\b" + r"\s+".join(name.split()) + r"\b"
     numbers = (rf"(?:Account|A/c)\s*(?:No|Number)?\.?\s*:?\s*([0-9]{{{account}}})\b",) if account else ()
-    return Signature(name, parser_key, (words,), f"{code}0", (domain,), markers, numbers)
-
-
-# Public names, branch codes and sites of some banks; callers give their own full list.
-KNOWN = (
-    signature("Punjab National Bank", "PUNB", "pnbindia.in", "pnb_standard", "16"),
-    signature("State Bank of India", "SBIN", "onlinesbi.sbi", "sbi_standard", "11", (r"CIF\s*No",)),
-    signature("HDFC Bank", "HDFC", "hdfcbank.com", "hdfc_standard", "14"),
-    signature("ICICI Bank", "ICIC", "icicibank.com", "icici_standard", "12"),
-    signature("Axis Bank", "UTIB", "axisbank.com", "axis_standard", "15"),
-    signature("UCO Bank", "UCBA", "ucobank.com", "uco_standard", "14"),
-    signature("Union Bank of India", "UBIN", "unionbankofindia.co.in", "union_standard", "15"),
-    signature("Kangra Central Cooperative Bank", "KACE", "kccb.in", "kccb_standard", "11"),
-    signature("Canara Bank", "CNRB", "canarabank.com"),
-    signature("Bank of Baroda", "BARB", "bankofbaroda.in"),
-    signature("Indian Bank", "IDIB", "indianbank.in"),
-    signature("Yes Bank", "YESB", "yesbank.in"),
-)
+    return Signature(name, parser_key, (words,), f"{code}0" if code else None, (domain,), markers, numbers)
+
+
+def signatures_of(banks: DataFrame) -> tuple[Signature, ...]:
+    """Signatures from a list of banks (ord, bank_name, code, site, parser_key, digits): a few dozen rows."""
+    return tuple(signature(r["bank_name"], r["code"], r["site"], r["parser_key"], r["digits"]) for r in banks.orderBy("ord").collect())
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -87,37 +74,33 @@ def header_text(first_page: Column) -> Column:
     return F.when(F.size(head) > 0, F.array_join(head, "\n")).otherwise(F.array_join(F.slice(lines, 1, 25), "\n"))
 
 
-def _first_of(text: Column, patterns: tuple[str, ...], weight: float) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(f"(?i){p}")
-    return F.when(out, weight).otherwise(0.0)
-
-
-def scores(documents: DataFrame, signatures: tuple[Signature, ...] = KNOWN, page: str = "first_page") -> DataFrame:
+def scores(documents: DataFrame, signatures: tuple[Signature, ...], page: str = "first_page") -> DataFrame:
     """(doc_id, ord, bank_name, parser_key, score, account, ifsc) of every bank with a score above 0."""
+    rows = [
+        (i, s.bank_name, s.parser_key, "|".join(f"(?:{x})" for x in s.header_names) or None, s.ifsc_prefix, [d.lower() for d in s.domains], [f"(?i){m}" for m in s.header_markers], [f"(?i){x}" for x in s.account_patterns],
+         "|".join(f"(?:{x})" for x in s.column_patterns) or None)
+        for i, s in enumerate(signatures)
+    ]
+    kinds = "ord int, bank_name string, parser_key string, header string, prefix string, domains array<string>, markers array<string>, accounts array<string>, table_head string"
+    known = documents.sparkSession.createDataFrame(rows, kinds)
     docs = documents.withColumn("head", header_text(F.col(page))).withColumn("labeled", F.upper(F.regexp_extract("head", LABELED_IFSC, 1)))
-    head, low = F.col("head"), F.lower("head")
-    each = []
-    for i, s in enumerate(signatures):
-        score = _first_of(head, s.header_names, WEIGHTS["HEADER_NAME"])
-        ifsc = F.lit(None).cast("string")
-        if s.ifsc_prefix:
-            printed = F.nullif(F.upper(F.regexp_extract(head, rf"(?i)\b({s.ifsc_prefix}[0-9A-Z]{{6}})\b", 1)), F.lit(""))
-            by_label = F.col("labeled").startswith(s.ifsc_prefix)
-            score = score + F.when(by_label, WEIGHTS["IFSC_LABELED"]).when(printed.isNotNull(), WEIGHTS["IFSC_HEADER"]).otherwise(0.0)
-            ifsc = F.when(by_label, F.col("labeled")).otherwise(printed)
-        for domain in s.domains[:1]:
-            hit = low.contains(domain.lower())
-            for other in s.domains[1:]:
-                hit = hit | low.contains(other.lower())
-            score = score + F.when(hit, WEIGHTS["DOMAIN"]).otherwise(0.0)
-        for marker in s.header_markers:
-            score = score + F.when(head.rlike(f"(?i){marker}"), WEIGHTS["HEADER_MARKER"]).otherwise(0.0)
-        account = F.coalesce(*[F.coalesce(F.nullif(F.regexp_extract(head, f"(?i){p}", 1), F.lit("")), F.nullif(F.regexp_extract(page, f"(?i){p}", 1), F.lit(""))) for p in s.account_patterns], F.lit(None).cast("string"))
-        score = score + F.when(account.isNotNull(), WEIGHTS["ACCOUNT_PATTERN"]).otherwise(0.0) + _first_of(F.col(page), s.column_patterns, WEIGHTS["COLUMN_PATTERN"])
-        each.append(F.struct(F.lit(i).alias("ord"), F.lit(s.bank_name).alias("bank_name"), F.lit(s.parser_key).alias("parser_key"), score.alias("score"), account.alias("account"), ifsc.alias("ifsc")))
-    return docs.select("doc_id", F.explode(F.array(*each)).alias("s")).select("doc_id", "s.*").where("score > 0")
+    # The list of banks is a parameter, a few dozen rows.
+    both = docs.crossJoin(F.broadcast(known))
+    says = lambda text, pattern: F.coalesce(F.rlike(text, F.concat(F.lit("(?i)"), pattern)), F.lit(False))
+    by_label = F.coalesce(F.col("labeled").startswith(F.col("prefix")), F.lit(False))
+    printed = F.upper(F.regexp_substr("head", F.concat(F.lit(r"(?i)\b"), "prefix", F.lit(r"[0-9A-Z]{6}\b"))))
+    hits = F.size(F.filter("markers", lambda m: F.rlike("head", m)))
+    found = F.expr(f"filter(flatten(transform(accounts, p -> array(regexp_extract(head, p, 1), regexp_extract(`{page}`, p, 1)))), x -> x <> '')")
+    account = F.get(found, F.lit(0))
+    score = (
+        F.when(says(F.col("head"), F.col("header")), WEIGHTS["HEADER_NAME"]).otherwise(0.0)
+        + F.when(by_label, WEIGHTS["IFSC_LABELED"]).when(printed.isNotNull(), WEIGHTS["IFSC_HEADER"]).otherwise(0.0)
+        + F.when(F.exists("domains", lambda d: F.lower("head").contains(d)), WEIGHTS["DOMAIN"]).otherwise(0.0)
+        + hits * WEIGHTS["HEADER_MARKER"]
+        + F.when(account.isNotNull(), WEIGHTS["ACCOUNT_PATTERN"]).otherwise(0.0)
+        + F.when(says(F.col(page), F.col("table_head")), WEIGHTS["COLUMN_PATTERN"]).otherwise(0.0)
+    )
+    return both.select("doc_id", "ord", "bank_name", "parser_key", score.alias("score"), account.alias("account"), F.when(by_label, F.col("labeled")).otherwise(printed).alias("ifsc")).where("score > 0")
 
 
 def winners(documents: DataFrame, scored: DataFrame) -> DataFrame:

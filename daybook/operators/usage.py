@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +134,55 @@ def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
     return events.withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp"))).select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("in_span"))
 
 
+def admitted(events: DataFrame, seconds: int = 600, most: int = 3, cooldown: int = 60) -> DataFrame:
+    """Whether each request is let through: fewer than ``most`` admitted ones in the ``seconds`` before it, the last of them at least ``cooldown`` ago.
+
+    Refused requests are not counted, so each verdict depends on those before
+    it. A pause of ``seconds`` forgets them all, so a user's requests fall into
+    independent sessions: these are spread over tasks, and each is read in order
+    holding no more than ``most`` times.
+    """
+    w = Window.partitionBy("user_id").orderBy("second", "event_id")
+    timed = events.select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
+    begins = (F.col("second") - F.lag("second").over(w) >= seconds).cast("int")
+    sessions = timed.withColumn("session", F.sum(F.coalesce(begins, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = sessions.repartition("user_id", "session").sortWithinPartitions("user_id", "session", "second", "event_id")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times = None, []
+        for pdf in batches:
+            out = []
+            for user, session, second in zip(pdf["user_id"], pdf["session"], pdf["second"], strict=True):
+                if (user, session) != last:
+                    last, times = (user, session), []
+                times = [t for t in times if second - t < seconds]
+                yes = len(times) < most and not (times and second - times[-1] < cooldown)
+                if yes:
+                    times.append(second)
+                out.append(yes)
+            yield pdf[["user_id", "event_id"]].assign(is_admitted=out)
+
+    return dealt.mapInPandas(judge, "user_id long, event_id long, is_admitted boolean")
+
+
+def transitioned(requests: DataFrame, changes: DataFrame) -> DataFrame:
+    """Requests after status changes. ``changes``: id, status, granted (null: as before), notes, by, at; of several for one request the last counts.
+
+    An approval notes when it was given; other changes keep the earlier time.
+    """
+    last = changes.groupBy("id").agg(F.max_by(F.struct("status", "granted", "notes", "by", "at"), "at").alias("new"))
+    new, changed = lambda c: F.col(f"new.{c}"), F.col("new").isNotNull()
+    out = {
+        "status": F.coalesce(new("status"), F.col("status")),
+        "granted": F.coalesce(new("granted"), F.col("granted")),
+        "notes": F.when(changed, new("notes")).otherwise(F.col("notes")),
+        "approved_by": F.when(changed, new("by")).otherwise(F.col("approved_by")),
+        "approved_at": F.when(new("status") == "APPROVED", new("at")).otherwise(F.col("approved_at")),
+        "updated_at": F.coalesce(new("at"), F.col("updated_at")),
+    }
+    return requests.join(last, "id", "left").select(*[out.get(c, F.col(c)).alias(c) for c in requests.columns])
+
+
 def latest_active(jobs: DataFrame) -> DataFrame:
     """Each user's newest job in an active status; of equal times the one with the larger id."""
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))

@@ -133,6 +133,55 @@ SELECT k AS doc_id, CAST(line_no AS INT) AS line_no, CAST(floor(1 + line_no / 6)
 ) AS every_line
 """
 
+# Public names, parser keys, branch code beginnings, sites and lengths of account numbers of the banks that have a parser.
+_BANK_ROWS = """
+State Bank of India|sbi_standard|SBIN|onlinesbi.sbi|11
+Punjab National Bank|pnb_standard|PUNB|pnbindia.in|16
+HDFC Bank|hdfc_standard|HDFC|hdfcbank.com|14
+ICICI Bank|icici_standard|ICIC|icicibank.com|12
+Axis Bank|axis_standard|UTIB|axisbank.com|15
+Kotak Mahindra Bank|kotak_standard|KKBK|kotak.com|10,14
+Bank of Baroda|bob_standard|BARB|bankofbaroda.in|14
+IDFC FIRST Bank|idfc_standard|IDFB|idfcfirstbank.com|10,14
+YES Bank|yes_standard|YESB|yesbank.in|15
+RBL Bank|rbl_standard|RATN|rblbank.com|10,16
+DCB Bank|dcb_standard|DCBL|dcbbank.com|10,16
+Union Bank of India|union_standard|UBIN|unionbankofindia.co.in|15
+Canara Bank|canara_standard|CNRB|canarabank.com|13
+Indian Bank|indian_standard|IDIB|indianbank.in|9,17
+Indian Overseas Bank|iob_standard|IOBA|iob.in|15
+Bank of India|boi_standard|BKID|bankofindia.co.in|15
+Bank of Maharashtra|maharashtra_standard|MAHB|bankofmaharashtra.in|11
+Central Bank of India|cbi_standard|CBIN|centralbankofindia.co.in|10
+UCO Bank|uco_standard|UCBA|ucobank.com|14
+Punjab & Sind Bank|psb_standard|PSIB|punjabandsindbank.co.in|14
+IndusInd Bank|indusind_standard|INDB|indusind.com|12,14
+IDBI Bank|idbi_standard|IBKL|idbibank.in|16
+Federal Bank|federal_standard|FDRL|federalbank.co.in|14
+Bandhan Bank|bandhan_standard|BDBL|bandhanbank.com|14
+AU Small Finance Bank|au_standard|AUBL|aubank.in|16
+City Union Bank|cub_standard|CIUB|cityunionbank.com|15
+Karnataka Bank|karnataka_standard|KARB|karnatakabank.com|16
+South Indian Bank|sib_standard|SIBL|southindianbank.com|16
+Tamilnad Mercantile Bank|tmb_standard|TMBL|tmb.in|15
+Jammu & Kashmir Bank|jkb_standard|JAKA|jkbank.com|16
+CSB Bank|csb_standard|CSBK|csb.co.in|16
+Dhanlaxmi Bank|dhanlaxmi_standard|DLXB|dhanbank.com|15
+Nainital Bank|nainital_standard|NTBL|nainitalbank.co.in|16
+Equitas Small Finance Bank|equitas_standard|ESFB|equitasbank.com|11,16
+HSBC|hsbc_standard|HSBC|hsbc.co.in|9,12
+DBS Bank|dbs_standard|DBSS|dbs.com|10,13
+Deutsche Bank|deutsche_standard|DEUT|deutschebank.co.in|10,12
+Barclays|barclays_standard|BARC|barclays.in|10,12
+Kangra Central Co-operative Bank|kccb_standard|KACE|kccb.in|11
+The Co-operative Bank|coop_standard||co-operativebank.co.uk|8
+PayPal|paypal_standard||paypal.com|12
+"""
+
+_BANKS = "SELECT * FROM (VALUES " + ", ".join(
+    "({}, {})".format(i, ", ".join(f"'{x}'" for x in row.split("|"))) for i, row in enumerate(_BANK_ROWS.strip().split("\n"))
+) + ") AS listed(ord, bank_name, parser_key, code, site, digits)"
+
 #: In order: a relation may use those before it.
 RELATIONS: dict[str, str] = {
     "tx_rows": _TX_ROWS,
@@ -144,6 +193,7 @@ RELATIONS: dict[str, str] = {
     "jobs": _JOBS,
     "users": _USERS,
     "lines": _LINES,
+    "banks": _BANKS,
 }
 _NEEDS = {"tx_balanced": ("tx_rows",), "tx": ("tx_balanced",), "narrated": ("tx",), "lines": ("narrated",)}
 
