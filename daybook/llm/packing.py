@@ -165,7 +165,7 @@ def _round(gaps: DataFrame, left: DataFrame, band: DataFrame, capacity: int) ->
     return every.select("row", "length", "bin", ahead.alias("offset"), rest.alias("gap")).where("row IS NOT NULL OR gap > 0")
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", rows_per_salt: int = 200_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", rows_per_salt: int = 2000) -> DataFrame:
     """``parts`` with sequence_id and offset. Lengths must lie between 1 and the capacity."""
     spark = parts.sparkSession
     row = own_name(parts, "row")
@@ -193,7 +193,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", row
                 gaps = gaps.unionByName(spark.range(opened, opened + fresh).select((-1 - F.col("id")).alias("bin"), F.lit(capacity).cast("long").alias("gap")))
                 opened += fresh
             # As a row and not as literals, so that all rounds run the same compiled plan.
-            band = spark.createDataFrame([(lo, hi, max(1, -(-n // rows_per_salt)))], "lo long, hi long, salts long")
+            band = spark.createDataFrame([(lo, hi, min(256, -(-n // rows_per_salt)))], "lo long, hi long, salts long")
             done = written(_round(gaps, left, band, capacity), "round")
             placed.append(done.where("row IS NOT NULL AND bin IS NOT NULL").select("row", "bin", "offset"))
             gaps, left = done.where("row IS NULL").select("bin", "gap"), done.where("bin IS NULL").select("row", "length")
