@@ -173,15 +173,21 @@ QUERIES = {
     "K4_K5_date_amount_text": k4_k5,
 }
 
+# The SQL's own values, written out so that it shares no constant with the operators.
+_NOISE_WORDS = (r"(?i)\s*-\s*[0-9]+\s*LAT(?:ENCY)?\b", r"(?i)\s*-\s*LAT(?:ENCY)?\b", r"(?i)\bLATENCY\b", r"(?i)\bLAT\b", r"(?i)\bCTO[0-9]+\b", r"(?i)\bDisclaimer:\s*This\s+is\s+an\s+Electronically\s+Generated.*")
+_CASH_IN = r"(?i)\b(CASH\s+DEP|CASH\s+DEPED|CASH\s+DEPOSIT|CASH\s+DEPOSITED|CASH\s+DEPOSIT\s+BY\s+SELF|BY\s+CASH|CDM\s+CASH|CDM\s+DEP|CASH\s+RECD|DEPOSIT\s+BY\s+CASH|CASH\s+DEPOSIT\s+AT)\b"
+_CASH_OUT = r"(?i)\b(CASH\s+WITHDRAWAL|WITHDRAWAL\s+BY\s+CASH|CASH\s+WDL|ATM\s+CASH|ATM\s+WDL|SELF\s+CASH|SELF\s+WDL|TO\s+CASH)\b"
+_CHARGES = r"(?i)\b(A/?C\s+MAINT|A/?C\s+MAINTENANCE|ACC\s+MAINT|ACC\s+MAINTENANCE|ACCOUNT\s+MAINT|ACCOUNT\s+MAINTENANCE|AMC|A/?C\s+KEEPING|ACC\s+KEEPING|ACCOUNT\s+KEEPING|SMS\s+ALERT|ANNUAL\s+FEE|CHARGE|CHARGES|CHG|CHGS|CHRG)\b"
+_IFSC = r"\b[A-Z]{4}0[A-Z0-9]{6}\b"
 _NOISE_SQL = "narration"
-for _p in entities.NOISE:
+for _p in _NOISE_WORDS:
     _NOISE_SQL = f"regexp_replace({_NOISE_SQL}, '{_p}', '', 'g')"
 _NOISE_SQL = rf"trim(regexp_replace({_NOISE_SQL}, '\s{{2,}}', ' ', 'g'))"
 
 _CASH = f"""
 , quiet AS (SELECT *, {_NOISE_SQL} AS t, debit > 0 AS is_debit FROM narrated),
-cashed AS (SELECT *, upper(t) AS up, CASE WHEN regexp_matches(t, '{entities.CASH_IN}') OR (NOT is_debit AND contains(upper(t), 'BY CASH')) THEN 'CASH_DEPOSIT'
-  WHEN regexp_matches(t, '{entities.CASH_OUT}') OR (is_debit AND (contains(upper(t), 'ATM') OR contains(upper(t), 'CASH WDL') OR contains(upper(t), 'SELF WDL'))) THEN 'CASH_WITHDRAWAL'
+cashed AS (SELECT *, upper(t) AS up, CASE WHEN regexp_matches(t, '{_CASH_IN}') OR (NOT is_debit AND contains(upper(t), 'BY CASH')) THEN 'CASH_DEPOSIT'
+  WHEN regexp_matches(t, '{_CASH_OUT}') OR (is_debit AND (contains(upper(t), 'ATM') OR contains(upper(t), 'CASH WDL') OR contains(upper(t), 'SELF WDL'))) THEN 'CASH_WITHDRAWAL'
   WHEN regexp_matches(upper(t), '\\bCASH\\b') THEN CASE WHEN is_debit THEN 'CASH_WITHDRAWAL' ELSE 'CASH_DEPOSIT' END END AS cash FROM quiet)"""
 
 
@@ -206,11 +212,11 @@ _TAIL = "list_filter(list_transform(string_split(t, '/'), lambda x: trim(x)), la
 PARTY_SQL = (
     _CASH
     + rf"""
-, parts AS (SELECT *, trim(regexp_replace(trim(regexp_extract(t, '(?i)\b(?:RTGS|NEFT)\s*(?:OUT|IN)?\s*:\s*[A-Z0-9]+\s*:\s*([^:/-]+)', 1)), '{entities.IFSC}', '', 'g')) AS p_colon,
+, parts AS (SELECT *, trim(regexp_replace(trim(regexp_extract(t, '(?i)\b(?:RTGS|NEFT)\s*(?:OUT|IN)?\s*:\s*[A-Z0-9]+\s*:\s*([^:/-]+)', 1)), '{_IFSC}', '', 'g')) AS p_colon,
   trim(regexp_replace(trim(regexp_extract(t, '(?i)Paid To\s*:\s*(?:TO\s+)?([^:/-]+)', 1)), '\bIZE\s+[0-9]+.*', '', 'g')) AS p_paid,
-  trim(regexp_replace(trim(regexp_extract(t, '(?i)\bIZE\s+[0-9]{{5,8}}\s+([^:/-]+)', 1)), '{entities.IFSC}', '', 'g')) AS p_ize,
+  trim(regexp_replace(trim(regexp_extract(t, '(?i)\bIZE\s+[0-9]{{5,8}}\s+([^:/-]+)', 1)), '{_IFSC}', '', 'g')) AS p_ize,
   trim(regexp_extract(t, '@[a-zA-Z0-9_.-]+/([^/]+)$', 1)) AS p_vpa, {_UPI_TOKEN} AS p_upi, {_NEFT_TOKEN} AS p_neft, {_IMPS_TOKEN} AS p_imps, {_TAIL} AS slashes FROM cashed),
-chosen AS (SELECT *, CASE WHEN cash IS NOT NULL THEN ['Cash', cash] WHEN is_debit AND regexp_matches(t, '{entities.CHARGES}') THEN ['Bank Charges', 'BANK_CHARGES'] WHEN contains(up, 'GST ON BANK CHARGES') THEN ['Bank Charges', 'BANK_CHARGES']
+chosen AS (SELECT *, CASE WHEN cash IS NOT NULL THEN ['Cash', cash] WHEN is_debit AND regexp_matches(t, '{_CHARGES}') THEN ['Bank Charges', 'BANK_CHARGES'] WHEN contains(up, 'GST ON BANK CHARGES') THEN ['Bank Charges', 'BANK_CHARGES']
   WHEN contains(up, 'GST:') OR contains(up, 'GST RECD') THEN ['GST Input Tax Credit', 'TAX'] WHEN contains(up, 'INT.PD') OR contains(up, 'INTEREST PAID') OR contains(up, 'INTEREST DEBIT') THEN ['Bank Interest Expense', 'INTEREST']
   WHEN contains(up, 'INTEREST RECEIVED') OR contains(up, 'INTEREST CREDIT') OR contains(up, 'INT RECD') OR contains(up, 'INT.COLL') THEN ['Bank Interest Income', 'INTEREST'] WHEN contains(up, 'APY CONTRI') THEN ['APY Contribution', 'PENSION']
   WHEN length(p_colon) > 2 AND NOT regexp_matches(p_colon, '^[0-9]+$') THEN [p_colon, CASE WHEN contains(up, 'RTGS') THEN 'RTGS' ELSE 'NEFT' END] WHEN length(p_paid) > 2 THEN [p_paid, 'TRANSFER'] WHEN length(p_ize) > 2 THEN [p_ize, 'CHEQUE']
@@ -219,8 +225,9 @@ chosen AS (SELECT *, CASE WHEN cash IS NOT NULL THEN ['Cash', cash] WHEN is_debi
   WHEN len(slashes) >= 2 AND NOT regexp_matches(slashes[-1], '^[0-9]+$') AND length(slashes[-1]) > 2 THEN [slashes[-1], 'TRANSFER'] END AS party FROM parts)"""
 )
 
-_REFERENCE = ", ".join(f"nullif(regexp_extract(narration, '{p}', 1), '')" for p in scalars.REFERENCE_PATTERNS)
-_SPOKEN = " OR ".join(f"contains(around, '{w}')" for w in entities.CHEQUE_CONTEXT)
+_REFERENCE = r"""nullif(regexp_extract(narration, '(?i)\bUPI/(?:CR|DR)?/?([0-9]{10,14})\b', 1), ''), nullif(regexp_extract(narration, '(?i)\bIMPS/P2A/([0-9]{10,14})\b', 1), ''), nullif(regexp_extract(narration, '(?i)\bNEFT/([A-Z0-9]{10,18})\b', 1), ''),
+  nullif(regexp_extract(narration, '(?i)\bRTGS/([A-Z0-9]{10,18})\b', 1), ''), nullif(regexp_extract(narration, '(?i)\b(?:CHQ|CHEQUE|REF)[\s.:#]+([A-Za-z0-9]+)\b', 1), '')"""
+_SPOKEN = "contains(around, 'CHQ') OR contains(around, 'CHEQUE') OR contains(around, 'CLEARING') OR contains(around, 'TRANSFER') OR contains(around, 'INST') OR contains(around, 'IZE') OR contains(around, 'TRADI')"
 _RAW_XML = "concat('<!DOCTYPE x><STATE>&#4; Any \"', narration, '''</STATE>&#x1F;&#0;&#65;', chr(1), '<NAME>A & B</NAME>')"
 
 ORACLES = {

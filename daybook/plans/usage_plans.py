@@ -86,7 +86,7 @@ def j15(spark, sf_dir):
 
 def j16(spark, sf_dir):
     u = _users(spark, sf_dir)
-    return usage.appended(u, _fresh(u)).groupBy(F.col("id").startswith("New-").alias("is_new")).agg(F.count(F.lit(1)).alias("n"))
+    return usage.appended(u, _fresh(u)).select("id", F.col("id").startswith("New-").alias("is_new"))
 
 
 def j17(spark, sf_dir):
@@ -214,7 +214,7 @@ SELECT id, processed, p - processed AS skipped, least(processed, f) AS free_used
     "A_daily_trends": with_ctes("jobs", f" SELECT {_DAY} AS day, count(*) AS conversions, CAST(sum(page_count) AS BIGINT) AS pages FROM jobs GROUP BY 1"),
     "J14_left_access": with_ctes("users", " SELECT id, CASE WHEN registered % 3 = 0 THEN account_status ELSE 'NONE' END AS access FROM users"),
     "J15_semi": with_ctes(("tx", "jobs"), " SELECT stmt_id, row_index FROM tx WHERE EXISTS (SELECT 1 FROM jobs WHERE id = k AND status = 'COMPLETED')"),
-    "J16_appended": with_ctes("users", " SELECT false AS is_new, count(*) AS n FROM users UNION ALL SELECT true, count(*) FROM users WHERE registered % 5 = 1"),
+    "J16_appended": with_ctes("users", " SELECT id, false AS is_new FROM users UNION ALL SELECT concat('New-', registered), true FROM users WHERE registered % 5 = 1"),
     "J17_overridden": with_ctes("users", _FRESH + " SELECT coalesce(f.id, u.id) AS id, coalesce(f.full_name, u.full_name) AS full_name, coalesce(f.account_status, u.account_status) AS account_status FROM users u FULL OUTER JOIN fresh f ON u.id = f.id"),
     "J19_appeals": with_ctes(_JU, """
 , a AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'gone' ELSE user_id END AS user_id, user_email FROM jobs), s AS (SELECT * FROM users WHERE account_status <> 'ACTIVE')

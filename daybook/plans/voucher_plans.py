@@ -145,7 +145,7 @@ def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _reviewed(spark, sf_dir)
-    return edits.ignore_warnings(rows, rows.where("row_index % 2 = 0").select("stmt_id", "row_index")).groupBy("validation_status").agg(F.count(F.lit(1)).alias("n"))
+    return edits.ignore_warnings(rows, rows.where("row_index % 2 = 0").select("stmt_id", "row_index")).select("stmt_id", "row_index", "validation_status")
 
 
 def u7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +191,6 @@ SELECT stmt_id, row_index, CASE WHEN h THEN 'Chosen Ledger' ELSE ledger_name END
     "U5_auto_resolve": with_ctes(_N, _REVIEWED + """
 SELECT stmt_id, row_index, CASE WHEN debit > 0 AND credit = 0 THEN 'Payment' WHEN credit > 0 AND debit = 0 THEN 'Receipt' WHEN is_cash_transaction THEN 'Contra' WHEN debit > credit THEN 'Payment' ELSE 'Receipt' END AS voucher_type, coalesce(ledger_name, 'Suspense') AS ledger_name,
   CASE WHEN validation_status = 'WARNING' AND NOT contains(lower(coalesce(validation_notes, '')), 'zero') THEN 'VALID' ELSE validation_status END AS validation_status FROM reviewed"""),
-    "U6_ignore_warnings": with_ctes(_N, _REVIEWED + " SELECT CASE WHEN row_index % 2 = 0 THEN 'VALID' ELSE validation_status END AS validation_status, count(*) AS n FROM reviewed GROUP BY 1"),
+    "U6_ignore_warnings": with_ctes(_N, _REVIEWED + " SELECT stmt_id, row_index, CASE WHEN row_index % 2 = 0 THEN 'VALID' ELSE validation_status END AS validation_status FROM reviewed"),
     "U7_append_pages": with_ctes(_N, " SELECT stmt_id, CAST(row_number() OVER (PARTITION BY stmt_id ORDER BY row_index) AS INT) AS row_index, k FROM narrated"),
 }

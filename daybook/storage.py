@@ -29,14 +29,31 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/daybook-{spark.sparkContext.applicationId}"
 
 
+_PATHS: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read back: what follows several times does not run again, and lost executors cost no earlier work."""
     path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> bool:
-    """Delete all tables that this application wrote on its way. To be called when no DataFrame built on them is in use any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+def written_paths() -> list[str]:
+    """All tables written on the way so far, in order."""
+    return list(_PATHS)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that were written on the way. No DataFrame built on them may be in use any more."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if path in _PATHS:
+            _PATHS.remove(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all tables that were written on the way. No DataFrame built on them may be in use any more."""
+    remove_paths(spark, written_paths())

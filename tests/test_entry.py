@@ -38,9 +38,9 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
 
 def test_written_tables_can_be_removed(spark):
-    from pyspark.sql import SparkSession
-
-    other = spark.newSession()
-    before = storage.written(other.range(5), "numbers")
-    assert before.count() == 5
-    assert isinstance(other, SparkSession) and Path(storage.run_folder(other).removeprefix("file:")).exists()
+    first, second = storage.written(spark.range(5), "numbers"), storage.written(spark.range(7), "numbers")
+    one, two = storage.written_paths()[-2:]
+    assert first.count() == 5
+    storage.remove_paths(spark, [one])
+    assert second.count() == 7 and not Path(one.removeprefix("file:")).exists() and Path(two.removeprefix("file:")).exists()
+    assert storage.written_paths()[-1] == two and one not in storage.written_paths()
