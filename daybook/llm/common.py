@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.storage import run_folder, written
+from daybook.storage import remove_paths, run_folder, written, written_paths
 
-__all__ = ["WORD_GAP", "join_by_key", "own_name", "run_folder", "table", "whole_text", "written"]
+__all__ = ["WORD_GAP", "join_by_key", "own_name", "remove_since", "run_folder", "table", "whole_text", "written", "written_paths"]
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -43,3 +43,11 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total:
     hot, rest = F.broadcast(per_key.where(F.col(size) > limit)), per_key.where(F.col(size) <= limit)
     calm = rows.join(F.broadcast(per_key.where(F.col(size) > limit).select(key)), key, "left_anti")
     return rows.join(hot, key).unionByName(calm.join(rest, key, how))
+
+
+def remove_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables written after the first ``mark`` ones, but for those whose label begins with one of ``keep``.
+
+    For tables that only led to others, which are written by now.
+    """
+    remove_paths(spark, [p for p in written_paths()[mark:] if not (keep and p.rpartition("/")[2].startswith(keep))])

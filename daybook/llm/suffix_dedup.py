@@ -453,21 +453,21 @@ def remove_repeats(documents: DataFrame, p: Repeats = Repeats(), text: str = "te
 
     The other columns stay; ``n_chars``, where it is there, counts anew. A null text stays null.
     """
-    n = own_name(documents, "n")
-    numbered = written(documents.withColumn(n, F.monotonically_increasing_id()), "numbered")
-    rows, results = cleaned(numbered, p, n, text)
+    one = own_name(documents, "one")
+    rows, results = cleaned(documents.withColumn(one, F.lit(0)), p, one, text)
     changed = results.select(F.lower(F.hex("key")).alias("start"), F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept")
 
     def characters(kept: pd.Series) -> pd.Series:
         return pd.Series([bytes(x).decode("utf-8", "ignore") for x in kept], dtype=object)
 
-    changed = changed.select("start", F.coalesce("whole", F.pandas_udf(characters, "string")(F.col("kept"))).alias("new"))
-    # Each changed text by its row: copies of one text need no lookup and would gather in one task.
-    lost = rows.where(F.col("whole_copy") & (F.col("n_bytes") >= p.span)).select("id", F.lit("").alias("new"))
-    cut = rows.where(~F.col("whole_copy")).select("id", F.substring("sha", 1, 32).alias("start")).join(changed, "start").select("id", "new")
-    a, c = own_name(documents, "changed_row"), own_name(documents, "new_text")
-    changed = lost.unionByName(cut).select(F.col("id").alias(a), F.col("new").alias(c))
-    joined = numbered.join(changed, F.col(n) == F.col(a), "left").withColumn(text, F.coalesce(F.col(c), F.col(text)))
+    a, b, c = own_name(documents, "sha_start"), own_name(documents, "copies"), own_name(documents, "new_text")
+    changed = changed.select(F.col("start").alias(a), F.coalesce("whole", F.pandas_udf(characters, "string")(F.col("kept"))).alias(c), F.lit(1).cast("long").alias(b))
+    several = rows.where("whole_copy").groupBy(F.substring("sha", 1, 32).alias(a)).agg(F.count(F.lit(1)).alias(b)).withColumn(c, F.lit(None).cast("string"))
+    # What is known of a text: its new form, or how many copies it has. Texts of very many copies are not gathered in one task.
+    known = written(several.unionByName(changed.join(several.select(a), a, "left_anti")), "changed")
+    named = documents.withColumn(a, F.substring(F.sha2(whole_text(text), 256), 1, 32))
+    gone = (F.col(b) > 1) & (F.octet_length(text) >= p.span)
+    joined = join_by_key(named, known, a, b, rows.count(), "left").withColumn(text, F.when(gone, F.lit("")).otherwise(F.coalesce(F.col(c), F.col(text)))).withColumn(c, F.when(gone, F.lit("")).otherwise(F.col(c)))
     if "n_chars" in documents.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(c).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*[F.col(f"`{x}`") for x in documents.columns])
