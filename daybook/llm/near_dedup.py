@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import join_by_key, own_name, whole_text, written
+from daybook.llm.common import join_by_key, own_name, remove_since, whole_text, written, written_paths
 
 
 @dataclass(frozen=True)
@@ -206,12 +206,14 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     full = rows.where(F.col("node").isNotNull())
     nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature", "sketch")
 
+    spark, mark = documents.sparkSession, len(written_paths())
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = written(join_by_key(buckets, shared, "bucket", "n", rows.count() * p.bands), "buckets")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = written(members.join(company, "node").select("bucket", "node", "n", F.struct("company", "node").alias("rank")), "members")
     total = members.count()
+    remove_since(spark, mark, ("members",))
     inside = members.select("node").distinct()
     known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature", "sketch"), "nodes")
     texts = _texts_of(documents.select(F.col(id_col).alias("id"), whole_text(text).alias("text")), known.select("of_id", "node"), p)
@@ -220,6 +222,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     links: DataFrame | None = None
     done: DataFrame | None = None
     for turn in range(p.hub_rounds + 1):
+        mark = len(written_paths())
         here = members if turn == 0 else members.join(labels, "node")
         if turn == 0:
             hubs = written(members.groupBy("bucket").agg(F.max("rank").alias("hub"), F.max("n").alias("n")).select("bucket", "n", F.col("hub.node").alias("b")), "hubs")
@@ -251,6 +254,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
         links = found if links is None else links.union(found)
         labels = members.select("node").distinct().join(components(links, f"links-{turn}"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         labels = written(labels, f"labels-{turn}")
+        remove_since(spark, mark, ("sized", "labels"))  # what led to the links of this turn
 
     first = full.groupBy("node").agg(F.min("id").alias("least"))
     grouped = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
