@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from daybook.llm import html_extraction, license_scan, near_dedup, ogg, packing, pii, quality_rules, sentence_pieces, suffix_dedup, url_filters
 from daybook.llm.common import table
+from daybook.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer"]
 
 URL_RULES = [
     url_filters.Rule("block", "com", "/en/"),
@@ -78,6 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_url_filters, op7_sentence_pieces, op8_license_scan, op9_minhash_near_dedup, op10_suffix_array_dedup,
     )
 }
-
-#: SQL for the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
