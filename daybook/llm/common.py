@@ -37,12 +37,14 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total:
     Keys that hold more than a ten-thousandth of ``total`` rows (and over 1000)
     are joined by a broadcast: there are at most 10,000 of them, whatever the
     data. The others are shuffled, so no task gets a large group. ``rows`` is
-    read twice; ``per_key`` should be a written table or cheap.
+    read twice if there are such keys; ``per_key`` must be a written table.
     """
     limit = max(1000, total // 10_000)
-    hot, rest = F.broadcast(per_key.where(F.col(size) > limit)), per_key.where(F.col(size) <= limit)
-    calm = rows.join(F.broadcast(per_key.where(F.col(size) > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(calm.join(rest, key, how))
+    hot, rest = per_key.where(F.col(size) > limit), per_key.where(F.col(size) <= limit)
+    if hot.isEmpty():
+        return rows.join(per_key, key, how)
+    calm = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(calm.join(rest, key, how))
 
 
 def remove_since(spark: SparkSession, mark: int, keep: tuple[str, ...] = ()) -> None:
