@@ -31,6 +31,10 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: A key is large if it holds more rows than this and more than this share of all rows.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+
+
 def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``per_key`` (one row a key, ``size`` of which tells how many of ``rows`` it has).
 
@@ -39,7 +43,7 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total:
     data. The others are shuffled, so no task gets a large group. ``rows`` is
     read twice if there are such keys; ``per_key`` must be a written table.
     """
-    limit = max(1000, total // 10_000)
+    limit = max(HOT_ROWS, total // HOT_SHARE)
     hot, rest = per_key.where(F.col(size) > limit), per_key.where(F.col(size) <= limit)
     if hot.isEmpty():
         return rows.join(per_key, key, how)

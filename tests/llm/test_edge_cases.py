@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 
-from daybook.llm import near_dedup, pii, quality_rules, suffix_dedup
+from daybook.llm import common, near_dedup, pii, quality_rules, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, counts string, kept string, spans string, one string"
 
@@ -39,3 +39,20 @@ def test_columns_stay(odd, stage):
     assert out.columns == df.columns
     assert out.count() <= len(rows)
     assert stage(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_large_keys_take_another_way_to_the_same_rows(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(common, "HOT_ROWS", most)
+    left = spark.createDataFrame([(i % 5, i) for i in range(12)] + [(9, 99)], "k int, v int")
+    right = common.written(left.where("k < 9").groupBy("k").count(), "sizes")
+    for how in ("inner", "left"):
+        got, want = common.join_by_key(left, right, "k", "count", 13, how), left.join(right, "k", how)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    if most == 1:
+        df, rows = odd
+        assert sorted(tuple(r) for r in suffix_dedup.removal_report(df).collect()) == sorted(brute.repeats(rows))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+        assert got == brute.near(rows, 3, 85)
+        cut = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(df).collect()}
+        assert cut[0] is None and cut[4] == cut[5] == "" and cut[3] == "a@b.example"
