@@ -58,4 +58,47 @@ bound AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0
 SELECT u.page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN rule IS NULL THEN 'reputation' ELSE 'rule' END AS reason
 FROM u LEFT JOIN fit USING (page_id) LEFT JOIN bound USING (host)"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op6_url_filters": _URLS}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + "))"
+
+_MERKLE = rf"""
+WITH RECURSIVE crcs AS (SELECT doc_id, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS rest FROM documents),
+l AS (SELECT doc_id, source, {_LEAF} AS leaf FROM documents),
+t AS (SELECT doc_id, {_LEAF} AS presented FROM (SELECT doc_id, source, lang, n_chars, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents) AS lowered SEMI JOIN (SELECT doc_id FROM crcs WHERE xor(rest, 4294967295) % 5 = 0) AS c USING (doc_id)),
+n AS (SELECT doc_id, leaf, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS size FROM l),
+node(tree, lev, idx, size, h) AS (SELECT tree, 0, idx, size, leaf FROM n
+  UNION ALL SELECT tree, lev + 1, idx // 16, (max(size) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE size > 1 GROUP BY tree, lev, idx // 16),
+subroot AS (SELECT tree, h, lev FROM node WHERE size = 1),
+top(lev, idx, size, h) AS (SELECT 0, tree, count(*) OVER (), h FROM subroot
+  UNION ALL SELECT lev + 1, idx // 16, (max(size) + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE size > 1 GROUP BY lev, idx // 16),
+every AS (SELECT tree, lev, idx, h, size FROM node WHERE size > 1 UNION ALL SELECT -1, lev, idx, h, size FROM top WHERE size > 1),
+step AS (SELECT a.tree, a.lev, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS lefts, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS rights
+  FROM every a JOIN every b ON a.tree = b.tree AND a.lev = b.lev AND a.idx // 16 = b.idx // 16 GROUP BY ALL),
+walk AS (SELECT n.doc_id, s.lev AS place, s.lefts, s.rights FROM n JOIN step s ON s.tree = n.tree AND s.idx = n.idx // CAST(pow(16, s.lev) AS BIGINT)
+  UNION ALL SELECT n.doc_id, 100 + s.lev, s.lefts, s.rights FROM n JOIN step s ON s.tree = -1 AND s.idx = n.tree // CAST(pow(16, s.lev) AS BIGINT)),
+proof AS (SELECT doc_id, sha256(string_agg(lefts || rights, '' ORDER BY place)) AS proof_sha256, list({{'l': lefts, 'r': rights}} ORDER BY place) AS path FROM walk GROUP BY doc_id),
+whole AS (SELECT n.doc_id, n.leaf, s.h AS subroot, (SELECT h FROM top WHERE size = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, coalesce(presented, n.leaf) AS begin_, coalesce(path, []) AS path FROM n JOIN subroot s USING (tree) LEFT JOIN proof USING (doc_id) LEFT JOIN t USING (doc_id)),
+fold(doc_id, k, h) AS (SELECT doc_id, 0, begin_ FROM whole UNION ALL SELECT f.doc_id, k + 1, sha256(concat(path[k + 1].l, h, path[k + 1].r)) FROM fold f JOIN whole w USING (doc_id) WHERE k < len(path)),
+final AS (SELECT doc_id, arg_max(h, k) AS folded_root FROM fold GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM whole JOIN final USING (doc_id)"""
+
+_FILTERS = r"""
+WITH told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(ws) < 50, 100 * list_unique(ws) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails FROM w LEFT JOIN told USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, i AS step, o[i] AS own FROM p, x),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE NOT early AND NOT fails[own]) AS kept, sum(n) FILTER (WHERE NOT early AND fails[own]) AS removed, sum(n) FILTER (WHERE early AND fails[own]) AS redundant,
+  sum(n) FILTER (WHERE fails[own] AND len(list_filter(fails, lambda y: y)) = 1) AS unique_fails, sum(good) FILTER (WHERE NOT early AND fails[own]) AS good_lost, sum(toxic) FILTER (WHERE NOT early AND fails[own]) AS toxic_lost
+  FROM (SELECT *, len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS early FROM c, s) AS y GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+_ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN g USING (html)"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op6_url_filters": _URLS, "op11_merkle_manifest": _MERKLE, "op12_filter_audit": _FILTERS, "op13_warc": _ARCHIVES}

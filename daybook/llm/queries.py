@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import html_extraction, license_scan, near_dedup, ogg, packing, pii, quality_rules, sentence_pieces, suffix_dedup, url_filters
+from daybook.llm import filter_audit, html_extraction, license_scan, merkle, near_dedup, ogg, packing, pii, quality_rules, sentence_pieces, suffix_dedup, url_filters, warc
 from daybook.llm.common import table
 from daybook.llm.oracles import ORACLES
 
@@ -74,10 +75,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = string.ascii_uppercase
+    lowered = merkle.leaf(text=F.translate("text", capitals, capitals.lower()))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return merkle.verified(table(spark, sf_dir, "documents"), F.when(tampered, lowered))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_pii, op3_ogg, op4_quality_rules, op5_best_fit_packing,
         op6_url_filters, op7_sentence_pieces, op8_license_scan, op9_minhash_near_dedup, op10_suffix_array_dedup,
+        op11_merkle_manifest, op12_filter_audit, op13_warc,
     )
 }
