@@ -10,8 +10,7 @@ writer nor reader holds more than one of them; ``save`` writes them as files.
 Reader: record by record, gzipped or plain. A record counts if its checks hold:
 the member's CRC, version line, headers, length, closing line and the digests
 of block and payload. Where one fails, the reader looks for the next place at
-which a valid record begins (a gzip member or a version line at the beginning
-of a line), goes on there, and logs the bytes between as a gap with the reason.
+which a valid record begins (a gzip member or a version line), goes on there, and logs the bytes between as a gap with the reason.
 A plain record that stands whole inside the payload of a damaged one can't be
 told from a later record and is read.
 
@@ -96,6 +95,8 @@ def parsed(raw: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes,
     closed = head.find(LINES)
     if closed < 0:
         raise Damaged("headers do not end")
+    if re.search(rb"WARC/1\.[01]\r\n", head[8:closed]):
+        raise Damaged("another version line among the headers")  # the rest was cut off, and a later record begins here
     headers = {}
     for line in head[:closed].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -159,7 +160,8 @@ def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes | None, str
     return payload, digest, len(payload)
 
 
-_NEXT = re.compile(re.escape(GZIP) + rb"|(?:\A|(?<=\n))WARC/1\.")
+# A version line may follow the middle of a line that was cut off.
+_NEXT = re.compile(re.escape(GZIP) + rb"|WARC/1\.[01]\r\n")
 
 
 def salvaged(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, tuple | str]]:
