@@ -4,12 +4,18 @@ Rows are one statement's by ``stmt_id`` in the order of ``row_index``. The audit
 reads like a fold but is not recursive: the balance before a row is the last
 printed balance plus the net movement since, which two windows over the same
 partitioning and order give, so a statement is exchanged and sorted once.
+
+Those windows hold a statement in one task. With ``block_rows`` the same values
+come from a scan in two levels (``blocks``), for statements of any length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from daybook.operators.blocks import ahead, last_known, so_far, two_level
 
 MONEY = "decimal(15,2)"
 WIDE = "decimal(25,2)"
@@ -29,25 +35,53 @@ def opening_from(balance: Column, debit: Column, credit: Column) -> Column:
     return F.when(credit > 0, balance - credit).when(debit > 0, balance + debit).otherwise(balance).cast(MONEY)
 
 
-def with_previous(tx: DataFrame) -> DataFrame:
+FIRST = ("balance", "debit", "credit", "opening")
+
+
+def opening_of(first: Column) -> Column:
+    """The opening balance given with a statement's first row, else what its balance tells."""
+    return F.coalesce(first["opening"], opening_from(first["balance"], first["debit"], first["credit"])).cast(MONEY)
+
+
+def carried_over_blocks(tx: DataFrame, net: Column, block_rows: int) -> DataFrame:
+    """``local_moved`` and ``local_anchor`` (the last balance before a row less the movement up to it) within blocks, and of the blocks before: ``first`` row, ``before_moved`` and ``before_anchor``."""
+
+    def local(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        moved = rows.withColumn("local_moved", F.sum(net).over(so_far(w)).cast(WIDE))
+        return moved.withColumn("local_anchor", last_known(F.col("balance") - F.col("local_moved"), w))
+
+    place = F.when(F.col("balance").isNotNull(), F.struct("row_index", (F.col("balance") - F.col("local_moved")).alias("anchor")))
+    reduced = {"net": F.sum(net).cast(WIDE), "first": F.min_by(F.struct(*FIRST), "row_index"), "anchor": F.max(place)["anchor"]}
+
+    def scan(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        blocks = blocks.withColumn("first", F.first("first").over(so_far(w))).withColumn("before_moved", F.coalesce(F.sum("net").over(ahead(w)), F.lit(0)).cast(WIDE))
+        return blocks.withColumn("before_anchor", last_known(F.col("anchor") - F.col("before_moved"), w))
+
+    return two_level(tx, local, reduced, scan, ("first", "before_moved", "before_anchor"), block_rows)
+
+
+def with_previous(tx: DataFrame, block_rows: int | None = None) -> DataFrame:
     """``opening_known`` (given, else from the first row's balance) and ``previous_balance`` of every row."""
     w = in_order()
-    so_far, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     net = (F.col("credit") - F.col("debit")).cast(WIDE)
-    first = F.first(F.struct("balance", "debit", "credit", "opening")).over(so_far)
-    opening = F.coalesce(first["opening"], opening_from(first["balance"], first["debit"], first["credit"]))
-    moved = tx.withColumn("moved", F.sum(net).over(so_far).cast(WIDE)).withColumn("opening_known", opening.cast(MONEY))
-    anchor = F.last(F.col("balance") - F.col("moved"), ignorenulls=True).over(ahead)
+    if block_rows:
+        rows = carried_over_blocks(tx, net, block_rows).withColumn("opening_known", opening_of(F.col("first")))
+        # an anchor of the own block counts the own block's movement only
+        before = F.coalesce(F.col("local_anchor"), F.col("before_anchor") + F.col("before_moved"), F.col("opening_known") + F.col("before_moved"))
+        return rows.withColumn("previous_balance", (F.col("local_moved") - net + before).cast(MONEY)).drop("local_moved", "local_anchor", "first", "before_moved", "before_anchor")
+    first = F.first(F.struct(*FIRST)).over(so_far(w))
+    moved = tx.withColumn("moved", F.sum(net).over(so_far(w)).cast(WIDE)).withColumn("opening_known", opening_of(first))
+    anchor = last_known(F.col("balance") - F.col("moved"), w)
     return moved.withColumn("previous_balance", (F.col("moved") - net + F.coalesce(anchor, F.col("opening_known"))).cast(MONEY)).drop("moved")
 
 
-def audit(tx: DataFrame, confidence: str | None = None) -> DataFrame:
+def audit(tx: DataFrame, confidence: str | None = None, block_rows: int | None = None) -> DataFrame:
     """Status of every row, with debit and credit swapped where only that explains the balance.
 
     ``expected_balance`` uses the sides as given; ``raw_debit`` and ``raw_credit``
     keep them, since totals are taken before the swap.
     """
-    rows = with_previous(tx)
+    rows = with_previous(tx, block_rows)
     d, c, b, p = F.col("debit"), F.col("credit"), F.col("balance"), F.col("previous_balance")
     off, inverted = F.abs(p + c - d - b), F.abs(p - c + d - b)
     known = b.isNotNull() & p.isNotNull()
@@ -138,21 +172,51 @@ def coarse_duplicate_counts(tx: DataFrame) -> DataFrame:
     return tx.groupBy("stmt_id").agg((F.count(F.lit(1)) - F.count_distinct(keys)).alias("duplicate_count"))
 
 
-def review_audit(tx: DataFrame, status: str = "validation_status") -> DataFrame:
+def _reviewed(tx: DataFrame, error: Column, net: Column) -> DataFrame:
+    """``before``: the balance before each row, null where it is unknown."""
+    w = in_order()
+    opening = F.first("opening").over(so_far(w))
+    known = opening.isNotNull() | F.coalesce(F.max((error & F.col("balance").isNotNull()).cast("int")).over(ahead(w)) == 1, F.lit(False))
+    rows = tx.withColumn("known", known).withColumn("moved", F.sum(net).over(so_far(w)).cast(WIDE)).withColumn("start", opening)
+    anchors = F.when(F.col("balance").isNotNull() & (error | F.col("known")), F.col("balance") - F.col("moved"))
+    before = F.when(F.col("known"), F.col("moved") - net + F.coalesce(F.last(anchors, ignorenulls=True).over(ahead(w)), F.col("start")))
+    return rows.withColumn("before", before.cast(MONEY))
+
+
+def _reviewed_in_blocks(tx: DataFrame, error: Column, net: Column, block_rows: int) -> DataFrame:
+    """The same by a scan over blocks. Which balances count depends on whether the statement is known when a block begins, so a block hands on the last balance of either case."""
+    printed = F.col("balance").isNotNull()
+
+    def local(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("local_moved", F.sum(net).over(so_far(w)).cast(WIDE)).withColumn("told", F.coalesce(F.max((error & printed).cast("int")).over(ahead(w)) == 1, F.lit(False)))
+        rows = rows.withColumn("anchor", F.when(printed, F.col("balance") - F.col("local_moved")))
+        return rows.withColumn("if_known", last_known(F.col("anchor"), w)).withColumn("if_not", last_known(F.when(error | F.col("told"), F.col("anchor")), w))
+
+    last = lambda counts: F.max(F.when(counts & printed, F.struct("row_index", "anchor")))["anchor"]
+    reduced = {"net": F.sum(net).cast(WIDE), "first": F.min_by(F.struct("opening"), "row_index"), "tells": F.max((error & printed).cast("int")), "last_if_known": last(F.lit(True)), "last_if_not": last(error | F.col("told"))}
+
+    def scan(blocks: DataFrame, w: WindowSpec) -> DataFrame:
+        known = F.col("start").isNotNull() | F.coalesce(F.max("tells").over(ahead(w)) == 1, F.lit(False))
+        blocks = blocks.withColumn("start", F.first("first").over(so_far(w))["opening"]).withColumn("known_before", known)
+        blocks = blocks.withColumn("before_moved", F.coalesce(F.sum("net").over(ahead(w)), F.lit(0)).cast(WIDE))
+        anchor = F.when(F.col("known_before"), F.col("last_if_known")).otherwise(F.col("last_if_not")) - F.col("before_moved")
+        return blocks.withColumn("before_anchor", last_known(anchor, w))
+
+    rows = two_level(tx, local, reduced, scan, ("start", "known_before", "before_moved", "before_anchor"), block_rows)
+    rows = rows.withColumn("known", F.col("known_before") | F.col("told"))
+    anchor = F.when(F.col("known_before"), F.col("if_known")).otherwise(F.col("if_not"))
+    before = F.coalesce(anchor, F.col("before_anchor") + F.col("before_moved"), F.col("start") + F.col("before_moved"))
+    return rows.withColumn("before", F.when(F.col("known"), F.col("local_moved") - net + before).cast(MONEY))
+
+
+def review_audit(tx: DataFrame, status: str = "validation_status", block_rows: int | None = None) -> DataFrame:
     """Audit after a reviewer's edits: rows already in error stay so and move nothing; missing balances are filled.
 
     A statement without an opening balance is unknown until an error row prints one.
     """
-    w = in_order()
-    so_far, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     error = F.col(status) == "ERROR"
     net = F.when(error, F.lit(0)).otherwise(F.col("credit") - F.col("debit")).cast(WIDE)
-    opening = F.first("opening").over(so_far)
-    known = opening.isNotNull() | F.coalesce(F.max((error & F.col("balance").isNotNull()).cast("int")).over(ahead) == 1, F.lit(False))
-    rows = tx.withColumn("known", known).withColumn("moved", F.sum(net).over(so_far).cast(WIDE)).withColumn("start", opening)
-    anchors = F.when(F.col("balance").isNotNull() & (error | F.col("known")), F.col("balance") - F.col("moved"))
-    before = F.when(F.col("known"), F.col("moved") - net + F.coalesce(F.last(anchors, ignorenulls=True).over(ahead), F.col("start")))
-    rows = rows.withColumn("before", before.cast(MONEY))
+    rows = _reviewed_in_blocks(tx, error, net, block_rows) if block_rows else _reviewed(tx, error, net)
     expected = (F.col("before") + F.col("credit") - F.col("debit")).cast(MONEY)
     off = F.abs(expected - F.col("balance"))
     both = F.col("before").isNotNull() & F.col("balance").isNotNull()
@@ -164,9 +228,9 @@ def review_audit(tx: DataFrame, status: str = "validation_status") -> DataFrame:
     return rows.select("stmt_id", "row_index", filled.alias("balance"), verdict.alias("validation_status"))
 
 
-def strict_audit(tx: DataFrame) -> DataFrame:
+def strict_audit(tx: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Audit that allows no difference: any is a warning."""
-    rows = with_previous(tx)
+    rows = with_previous(tx, block_rows)
     differs = F.col("balance").isNotNull() & F.col("previous_balance").isNotNull() & (F.col("previous_balance") + F.col("credit") - F.col("debit") != F.col("balance"))
     return rows.select("stmt_id", "row_index", F.when(differs, "WARNING").otherwise("VALID").alias("validation_status"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.entities import cash_type, instrument_number
 from daybook.functions.scalars import clean_narration, normalize_amount, normalize_date
-from daybook.operators import balance, detect, directions, ledgers, segment, vouchers
+from daybook.operators import balance, blocks, detect, directions, ledgers, segment, vouchers
 from daybook.operators.directions import MONEY
 from daybook.storage import written
 
@@ -44,17 +44,21 @@ def table_first(table_rows: DataFrame, text_rows: DataFrame, key: str = "doc_id"
     return table_rows.withColumn("source", F.lit("table")).unionByName(without.withColumn("source", F.lit("text")), allowMissingColumns=True)
 
 
-def filled_balances(tx: DataFrame) -> DataFrame:
+def filled_balances(tx: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Missing balances set to what the rows before give; a printed balance that differs is a WARNING. Rows before the first known balance stay as they are.
 
-    ``opening``: the statement's opening balance, or null.
+    ``opening``: the statement's opening balance, or null. ``block_rows``: as in the audit, for statements that no single task can hold.
     """
-    w = balance.in_order()
-    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
-    net = (F.col("credit") - F.col("debit")).cast("decimal(25,2)")
-    moved = tx.withColumn("moved", F.sum(net).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    anchor = F.coalesce(F.last(F.col("balance") - F.col("moved"), ignorenulls=True).over(ahead), F.first("opening").over(w))
-    expected = (anchor + F.col("moved")).cast(MONEY)
+    net = (F.col("credit") - F.col("debit")).cast(balance.WIDE)
+    if block_rows:
+        moved = balance.carried_over_blocks(tx, net, block_rows)
+        before = F.coalesce(F.col("local_anchor"), F.col("before_anchor") + F.col("before_moved"), F.col("first.opening") + F.col("before_moved"))
+        expected = (before + F.col("local_moved")).cast(MONEY)
+    else:
+        w = balance.in_order()
+        moved = tx.withColumn("moved", F.sum(net).over(blocks.so_far(w)))
+        anchor = F.coalesce(blocks.last_known(F.col("balance") - F.col("moved"), w), F.first("opening").over(w))
+        expected = (anchor + F.col("moved")).cast(MONEY)
     status = F.when(F.col("balance").isNotNull() & (expected != F.col("balance")), "WARNING").otherwise("VALID")
     return moved.select(*tx.columns, F.coalesce("balance", expected).alias("filled"), status.alias("fill_status")).withColumn("balance", F.col("filled")).drop("filled")
 

@@ -135,33 +135,33 @@ QUERIES = {
     "A17_closing_check": a17,
 }
 
-_N = "narrated"
-ORACLES = {
-    "W1_balance_audit_summary": with_ctes(_N, _SUMMARY + """
+#: The SQL of each query after the relation ``narrated``.
+BODIES = {
+    "W1_balance_audit_summary": (_SUMMARY + """
 SELECT *, round(greatest(0.0, (n_rows - n_discrepancies) / n_rows::DOUBLE * 100.0 - n_errors / n_rows::DOUBLE * 20.0), 2) AS confidence_score FROM summed"""),
-    "W1_balance_audit_rows": with_ctes(_N, _AUDIT + """
+    "W1_balance_audit_rows": (_AUDIT + """
 SELECT stmt_id, row_index, outcome, validation_status, CASE outcome WHEN 'MATCH' THEN 100.0 WHEN 'MINOR' THEN 80.0 WHEN 'MISMATCH' THEN 40.0 ELSE 90.0 END::DOUBLE AS confidence,
   CAST(previous_balance + credit - debit AS DECIMAL(15,2)) AS expected_balance FROM audited"""),
-    "W2_inverted_rows": with_ctes(_N, _AUDIT + """
+    "W2_inverted_rows": (_AUDIT + """
 SELECT stmt_id, row_index, credit AS debit, debit AS credit, CASE WHEN credit > 0 THEN 'Payment' ELSE 'Receipt' END AS voucher_type FROM audited WHERE outcome = 'SWAPPED'"""),
-    "W3_previous_balance": with_ctes(_N, _PREVIOUS + " SELECT stmt_id, row_index, previous_balance FROM previous"),
-    "W4_chronology": with_ctes(_N, _SHUFFLED + " SELECT * FROM chrono"),
-    "W5_turned_statements": with_ctes(_N, _SHUFFLED + """
+    "W3_previous_balance": (_PREVIOUS + " SELECT stmt_id, row_index, previous_balance FROM previous"),
+    "W4_chronology": (_SHUFFLED + " SELECT * FROM chrono"),
+    "W5_turned_statements": (_SHUFFLED + """
 , told AS (SELECT s.*, is_reversed FROM shuffled s JOIN chrono USING (stmt_id)),
 ends AS (SELECT stmt_id, is_reversed, arg_min({'b': balance, 'd': debit, 'c': credit}, CASE WHEN is_reversed THEN -row_index ELSE row_index END) AS f, arg_max({'b': balance}, CASE WHEN is_reversed THEN -row_index ELSE row_index END) AS l FROM told GROUP BY ALL)
 SELECT t.stmt_id, row_index, CAST(row_number() OVER (PARTITION BY t.stmt_id ORDER BY CASE WHEN t.is_reversed THEN -row_index ELSE row_index END) AS INT) AS new_index,
   CAST(CASE WHEN t.is_reversed AND f.b IS NOT NULL THEN CASE WHEN f.c > 0 THEN f.b - f.c WHEN f.d > 0 THEN f.b + f.d ELSE f.b END ELSE opening END AS DECIMAL(15,2)) AS new_opening, l.b AS last_balance
 FROM told t JOIN ends e ON t.stmt_id = e.stmt_id"""),
-    "W6_opening_inference": with_ctes(_N, _PREVIOUS + " SELECT stmt_id, opening_known FROM previous WHERE row_index = 1"),
-    "W14_duplicate_suspects": with_ctes(_N, r"""
+    "W6_opening_inference": (_PREVIOUS + " SELECT stmt_id, opening_known FROM previous WHERE row_index = 1"),
+    "W14_duplicate_suspects": (r"""
 , doubled AS (SELECT stmt_id, row_index, tx_date, debit, credit, narration, reference FROM narrated UNION ALL SELECT stmt_id, row_index + 50000, tx_date, debit, credit, concat(' ', lower(narration)), reference FROM narrated WHERE k % 9 = 0),
 keyed AS (SELECT *, upper(trim(regexp_replace(narration, '\s+', ' ', 'g'))) AS kn, upper(trim(coalesce(reference, ''))) AS kr FROM doubled),
 placed AS (SELECT *, row_number() OVER w AS n, first_value(row_index) OVER w AS f FROM keyed WINDOW w AS (PARTITION BY stmt_id, tx_date, debit, credit, kn, kr ORDER BY row_index))
 SELECT stmt_id, CAST(row_index AS INT) AS row_index, n > 1 AS is_duplicate_suspect, CAST(CASE WHEN n > 1 THEN f END AS INT) AS duplicate_of FROM placed"""),
-    "W15_coarse_duplicates": with_ctes(_N, """
+    "W15_coarse_duplicates": ("""
 , doubled AS (SELECT * FROM narrated UNION ALL SELECT * FROM narrated WHERE k % 9 = 0)
 SELECT stmt_id, count(*) - count(DISTINCT (tx_date, debit, credit, substring(narration, 1, 30))) AS duplicate_count FROM doubled GROUP BY stmt_id"""),
-    "W16_review_audit": with_ctes(_N, """
+    "W16_review_audit": ("""
 , rows0 AS (SELECT *, k % 19 = 0 AS err FROM narrated),
 rows1 AS (SELECT *, CASE WHEN err THEN 0 ELSE credit - debit END AS net, first_value(opening) OVER w AS start,
   coalesce(bool_or(err AND balance IS NOT NULL) OVER (PARTITION BY stmt_id ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen
@@ -171,13 +171,14 @@ rows3 AS (SELECT *, CASE WHEN known THEN moved - net + coalesce(last_value(CASE
 SELECT stmt_id, row_index, CAST(CASE WHEN NOT err AND balance IS NULL AND before IS NOT NULL THEN before + credit - debit ELSE balance END AS DECIMAL(15,2)) AS balance,
   CASE WHEN err THEN 'ERROR' WHEN before IS NULL THEN 'WARNING' WHEN balance IS NULL THEN 'VALID' WHEN abs(before + credit - debit - balance) <= 0.01 THEN 'VALID'
     WHEN abs(before + credit - debit - balance) <= 1.00 THEN 'WARNING' ELSE 'ERROR' END AS validation_status FROM rows3"""),
-    "W17_strict_audit": with_ctes(_N, _PREVIOUS + """
+    "W17_strict_audit": (_PREVIOUS + """
 SELECT stmt_id, row_index, CASE WHEN previous_balance + credit - debit <> balance THEN 'WARNING' ELSE 'VALID' END AS validation_status FROM previous"""),
-    "A2_status_counts": with_ctes(_N, _AUDIT + """
+    "A2_status_counts": (_AUDIT + """
 SELECT stmt_id, count(*) FILTER (WHERE validation_status = 'WARNING') AS warning_count, count(*) FILTER (WHERE validation_status = 'ERROR') AS error_count, count(*) FILTER (WHERE validation_status = 'VALID') AS valid_count FROM audited GROUP BY stmt_id"""),
-    "A3_job_status": with_ctes(_N, _SUMMARY + """
+    "A3_job_status": (_SUMMARY + """
 , flagged AS (SELECT *, n_errors > 0 OR (stmt_id % 4 <> 0 AND coalesce(opening_balance + total_credit - total_debit <> closing_balance, false)) AS mismatch FROM summed)
 SELECT stmt_id, CASE WHEN mismatch THEN 'MISMATCH' ELSE 'VALID' END AS balance_status, CASE WHEN stmt_id % 4 = 0 THEN 'PARTIALLY_COMPLETED' WHEN mismatch THEN 'NEEDS_REVIEW' ELSE 'COMPLETED' END AS job_status, n_errors = 0 AS ready_for_export FROM flagged"""),
-    "A17_closing_check": with_ctes(_N, _SUMMARY + """
+    "A17_closing_check": (_SUMMARY + """
 SELECT stmt_id, CAST(opening_balance + total_credit - total_debit AS DECIMAL(25,2)) AS expected_closing, closing_balance, opening_balance + total_credit - total_debit <> closing_balance AS differs FROM summed"""),
 }
+ORACLES = {name: with_ctes("narrated", body) for name, body in BODIES.items()}

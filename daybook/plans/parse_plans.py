@@ -23,7 +23,8 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segment.parsed_records(_records(spark, sf_dir))
-    return found.select("doc_id", "record", "tx_date", "amounts", "narration", "reference")
+    amounts = F.array_join(F.transform("amounts", lambda x: x.cast("string")), " ")
+    return found.select("doc_id", "record", "tx_date", amounts.alias("amounts"), "narration", "reference")
 
 
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +160,7 @@ SELECT stmt_id AS doc_id, CAST(row_index AS INT) AS record, CAST(floor(1 + row_i
     "R3_parsed_records": with_ctes("narrated", r"""
 , p AS (SELECT *, concat(narration, ' ', CAST(debit + credit AS STRING), CASE WHEN balance IS NULL THEN '' ELSE concat(' ', CAST(balance AS STRING), ' Cr') END, CASE WHEN k % 3 = 0 THEN concat(' CONTD ', narration) ELSE '' END) AS text,
   concat(narration, CASE WHEN balance IS NULL THEN '' ELSE ' Cr' END, CASE WHEN k % 3 = 0 THEN concat(' CONTD ', narration) ELSE '' END) AS words FROM narrated)
-SELECT stmt_id AS doc_id, CAST(row_index AS INT) AS record, tx_date, list_filter([CAST(debit + credit AS DECIMAL(15,2)), balance], lambda x: x IS NOT NULL) AS amounts, trim(regexp_replace(words, '\s+', ' ', 'g')) AS narration,
+SELECT stmt_id AS doc_id, CAST(row_index AS INT) AS record, tx_date, concat_ws(' ', CAST(CAST(debit + credit AS DECIMAL(15,2)) AS STRING), CAST(balance AS STRING)) AS amounts, trim(regexp_replace(words, '\s+', ' ', 'g')) AS narration,
   coalesce(nullif(regexp_extract(text, '(?i)\bUPI/(?:CR|DR)?/?([0-9]{10,14})\b', 1), ''), nullif(regexp_extract(text, '(?i)\bIMPS/P2A/([0-9]{10,14})\b', 1), ''), nullif(regexp_extract(text, '(?i)\bNEFT/([A-Z0-9]{10,18})\b', 1), ''),
     nullif(regexp_extract(text, '(?i)\bRTGS/([A-Z0-9]{10,18})\b', 1), ''), regexp_extract(text, '(?i)\b(?:CHQ|CHEQUE|REF)[\s.:#]+([A-Za-z0-9]+)\b', 1)) AS reference FROM p"""),
     "R15_page_diagnostics": with_ctes("lines", r"""

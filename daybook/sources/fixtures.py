@@ -34,6 +34,16 @@ SELECT stmt_id, k, row_index, tx_date, debit, credit,
 FROM tx_balanced
 """
 
+#: Statements of very different lengths: one holds a third of all rows, the others fifty. Movements are differences of a fixed value of the order, so true balances need no running sum.
+_VALUE = "CAST(({k} * 7919 % 100003) * 0.01 AS DECIMAL(15,2))"
+_LONG_TX = f"""
+SELECT stmt_id, k, CAST(k AS INT) AS row_index, tx_date, CAST(greatest(-net, 0) AS DECIMAL(15,2)) AS debit, CAST(greatest(net, 0) AS DECIMAL(15,2)) AS credit,
+  CAST(CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN {_VALUE.format(k="k")} + 0.50 WHEN k % 13 = 0 THEN {_VALUE.format(k="k")} - 2 * net WHEN k % 17 = 0 THEN {_VALUE.format(k="k")} + 37 ELSE {_VALUE.format(k="k")} END AS DECIMAL(15,2)) AS balance,
+  CAST(CASE WHEN stmt_id % 3 = 0 THEN NULL ELSE {_VALUE.format(k="(50 * (stmt_id - 1) - 1)")} END AS DECIMAL(15,2)) AS opening
+FROM (SELECT CASE WHEN o_orderkey * 3 < (SELECT count(*) FROM orders) THEN 0 ELSE 1 + CAST(floor(o_orderkey / 50) AS BIGINT) END AS stmt_id, o_orderkey AS k, CAST(o_orderdate AS DATE) AS tx_date,
+  {_VALUE.format(k="o_orderkey")} - {_VALUE.format(k="(o_orderkey - 1)")} AS net FROM orders) AS moved
+"""
+
 def _supplier(number: str) -> str:
     """The name of a supplier: its number in four digits or more."""
     return f"concat('SUPPLIER ', lpad(CAST({number} AS STRING), CAST(greatest(4, length(CAST({number} AS STRING))) AS INT), '0'))"
@@ -187,6 +197,7 @@ RELATIONS: dict[str, str] = {
     "tx_rows": _TX_ROWS,
     "tx_balanced": _TX_BALANCED,
     "tx": _TX,
+    "long_tx": _LONG_TX,
     "narrated": _NARRATED,
     "ledgers": _LEDGERS,
     "rules": _RULES,

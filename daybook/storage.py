@@ -40,6 +40,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_files(files: DataFrame, folder: str) -> None:
+    """Each row (name, content) as a file below ``folder``, any place that pyarrow can write. A file gets its name when it is whole, so a task may run twice."""
+
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        for row in rows:
+            with store.open_output_stream(part := f"{base}/.{row['name']}-{uuid.uuid4().hex}", compression=None) as out:
+                out.write(row["content"])
+            store.move(part, f"{base}/{row['name']}")
+
+    files.select("name", "content").foreachPartition(put)
+
+
 def written_paths() -> list[str]:
     """All tables written on the way so far, in order."""
     return list(_PATHS)
