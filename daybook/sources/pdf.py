@@ -41,11 +41,12 @@ class Wanted:
         column = getattr(f, "attribute", None)
         if isinstance(f, IsNotNull) and column in (("page_number",), ("path",)):
             return replace(self, pages_only=self.pages_only or column == ("page_number",))
-        if column == ("page_number",):
-            low, high = {
-                EqualTo: lambda v: (v, v), GreaterThan: lambda v: (v + 1, NO_END), GreaterThanOrEqual: lambda v: (v, NO_END), LessThan: lambda v: (1, v - 1), LessThanOrEqual: lambda v: (1, v),
-            }.get(type(f), lambda v: (None, None))(f.value)
-            return None if low is None else replace(self, first=max(self.first, low), last=min(self.last, high), pages_only=True)
+        bounds = {
+            EqualTo: lambda v: (v, v), GreaterThan: lambda v: (v + 1, NO_END), GreaterThanOrEqual: lambda v: (v, NO_END), LessThan: lambda v: (1, v - 1), LessThanOrEqual: lambda v: (1, v),
+        }.get(type(f))
+        if column == ("page_number",) and bounds:
+            low, high = bounds(f.value)
+            return replace(self, first=max(self.first, low), last=min(self.last, high), pages_only=True)
         if column == ("path",) and isinstance(f, (EqualTo, In)):
             told = frozenset(f.value if isinstance(f, In) else [f.value])
             return replace(self, paths=told if self.paths is None else self.paths & told)
