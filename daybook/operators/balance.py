@@ -81,7 +81,11 @@ def audit(tx: DataFrame, confidence: str | None = None, block_rows: int | None =
     ``expected_balance`` uses the sides as given; ``raw_debit`` and ``raw_credit``
     keep them, since totals are taken before the swap.
     """
-    rows = with_previous(tx, block_rows)
+    return judged(with_previous(tx, block_rows), tx.columns, confidence)
+
+
+def judged(rows: DataFrame, columns: list[str], confidence: str | None = None) -> DataFrame:
+    """The audit of rows whose previous balance is known; keeps ``columns``."""
     d, c, b, p = F.col("debit"), F.col("credit"), F.col("balance"), F.col("previous_balance")
     off, inverted = F.abs(p + c - d - b), F.abs(p - c + d - b)
     known = b.isNotNull() & p.isNotNull()
@@ -97,7 +101,7 @@ def audit(tx: DataFrame, confidence: str | None = None, block_rows: int | None =
     rows = rows.withColumn("outcome", case).withColumn("expected_balance", (p + c - d).cast(MONEY))
     swapped = F.col("outcome") == "SWAPPED"
     return rows.select(
-        *[x for x in tx.columns if x not in ("debit", "credit")],
+        *[x for x in columns if x not in ("debit", "credit")],
         "opening_known", "previous_balance", "expected_balance", "outcome",
         F.col("debit").alias("raw_debit"), F.col("credit").alias("raw_credit"),
         F.when(swapped, F.col("credit")).otherwise(F.col("debit")).alias("debit"),
