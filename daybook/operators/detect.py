@@ -1,11 +1,16 @@
 """Which bank issued a statement: weighted signatures in its first page's head.
 
-Signatures are a parameter of every call: a few dozen banks with their patterns.
-They are joined to the documents by a broadcast, so a document is read once.
+Signatures are a parameter of every call: banks with patterns of six kinds. A
+page is not searched once per bank: the first three letters of what each pattern
+must begin with are looked up among the page's own groups of three letters, so
+only patterns that may be there are tried, each distinct one once, however many
+banks share it. The work for a page depends on the page and on what it holds.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,6 +53,22 @@ def signatures_of(banks: DataFrame) -> tuple[Signature, ...]:
     return tuple(signature(r["bank_name"], r["code"], r["site"], r["parser_key"], r["digits"]) for r in banks.orderBy("ord").collect())
 
 
+#: The field of a signature that holds patterns of a kind.
+FIELDS = {"HEADER_NAME": "header_names", "DOMAIN": "domains", "HEADER_MARKER": "header_markers", "ACCOUNT_PATTERN": "account_patterns", "COLUMN_PATTERN": "column_patterns"}
+
+
+def signatures_from(rows: Iterable[tuple[int, str, str, str, str]]) -> tuple[Signature, ...]:
+    """Signatures from a list of (ord, bank_name, parser_key, kind, pattern) in any order; kinds are those of FIELDS and IFSC_PREFIX."""
+    banks: dict[int, dict] = {}
+    for i, name, parser, kind, pattern in sorted(rows, key=lambda r: r[0]):
+        of = banks.setdefault(i, {"bank_name": name, "parser_key": parser})
+        if kind == "IFSC_PREFIX":
+            of["ifsc_prefix"] = pattern
+        else:
+            of[FIELDS[kind]] = (*of.get(FIELDS[kind], ()), pattern)
+    return tuple(Signature(**x) for x in banks.values())
+
+
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     return F.greatest(*[text.contains(w).cast("int") for w in words], F.lit(0)) == 1
 
@@ -74,31 +95,125 @@ def header_text(first_page: Column) -> Column:
     return F.when(F.size(head) > 0, F.array_join(head, "\n")).otherwise(F.array_join(F.slice(lines, 1, 25), "\n"))
 
 
+def begins_with(pattern: str) -> tuple[str, ...] | None:
+    """Texts one of which every match of a pattern begins with (letters in any case); none if that can't be told from its first part."""
+    depth, escaped, in_class = 0, False, False
+    for c in pattern:
+        if escaped or c == "\\":
+            escaped = not escaped
+            continue
+        in_class = c == "[" or (in_class and c != "]")
+        depth += 0 if in_class else (c == "(") - (c == ")")
+        if c == "|" and depth == 0 and not in_class:
+            return None
+    rest = pattern.removeprefix(r"\b")
+    group = re.match(r"\(\?:([A-Za-z0-9/ |-]+)\)(?![?*{])", rest)
+    if group:
+        told = tuple(group[1].split("|"))
+    else:
+        literal = re.match(r"(?:[A-Za-z0-9 -]|\\[.\-])*", rest)[0]
+        if re.match(r"[?*{]", rest[len(literal) :]):
+            literal = re.sub(r"(?:\\.|.)$", "", literal)  # the last letter may be missing
+        told = (literal.replace("\\", ""),)
+    return told if all(len(x) >= GRAM for x in told) else None
+
+
+#: Letters of a group by which patterns are looked up.
+GRAM = 3
+
+
+@dataclass(frozen=True)
+class Index:
+    """Distinct patterns, which texts they are for, who has them, and by which groups of letters they are found."""
+
+    patterns: list[str]
+    in_page: list[bool]
+    owners: list[list[int]]
+    by_gram: dict[str, list[int]]
+    always: list[int]
+    by_prefix: dict[str, list[int]]
+    of_signature: list[tuple]
+
+
+def indexed(signatures: tuple[Signature, ...]) -> Index:
+    ids: dict[tuple[str, bool], int] = {}
+    owners: list[list[int]] = []
+
+    def ids_of(patterns: Iterable[str], owner: int, in_page: bool = False) -> list[int]:
+        out = []
+        for p in patterns:
+            k = ids.setdefault((p, in_page), len(ids))
+            owners.extend([] for _ in range(k + 1 - len(owners)))
+            owners[k].append(owner)
+            out.append(k)
+        return out
+
+    rows, by_prefix = [], {}
+    for i, s in enumerate(signatures):
+        if s.ifsc_prefix:
+            by_prefix.setdefault(s.ifsc_prefix, []).append(i)
+        printed = [rf"\b{s.ifsc_prefix}[0-9A-Z]{{6}}\b"] if s.ifsc_prefix else []
+        accounts = [ids_of([a], i) + ids_of([a], i, True) for a in s.account_patterns]
+        rows.append((
+            i, s.bank_name, s.parser_key, s.ifsc_prefix, ids_of(s.header_names, i), ids_of(printed, i), ids_of([re.escape(d) for d in s.domains], i), ids_of(s.header_markers, i), [x for pair in accounts for x in pair],
+            ids_of(s.column_patterns, i, True), [f"(?i){a}" for a in s.account_patterns],
+        ))
+    by_gram, always = {}, []
+    for (pattern, _), k in ids.items():
+        told = begins_with(pattern)
+        for gram in {x[:GRAM].lower() for x in told or ()}:
+            by_gram.setdefault(gram, []).append(k)
+        if told is None:
+            always.append(k)
+    return Index([f"(?i){p}" for p, _ in ids], [in_page for _, in_page in ids], owners, by_gram, always, by_prefix, rows)
+
+
+def _grams(text: Column) -> tuple[Column, Column]:
+    """The letters of a text, A-Z made small, and of a column ``letters`` the distinct groups."""
+    letters = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "")
+    places = F.sequence(F.lit(0), F.size("letters") - GRAM)
+    one = lambda i: F.concat(*[F.get("letters", i + k) for k in range(GRAM)])
+    return letters, F.when(F.size("letters") >= GRAM, F.array_distinct(F.transform(places, one))).otherwise(F.array().cast("array<string>"))
+
+
+def with_matches(documents: DataFrame, index: Index, page: str = "first_page") -> DataFrame:
+    """Documents with ``head``, ``labeled`` (a labelled branch code), ``tried`` and ``matched``: ids of patterns that were tried and that match."""
+    one_row = documents.sparkSession.createDataFrame(
+        [(list(index.by_gram), index.by_gram, index.always, index.patterns, index.in_page)], "grams array<string>, by_gram map<string,array<int>>, always array<int>, patterns array<string>, in_page array<boolean>"
+    )
+    letters, grams = _grams(F.col(page))
+    docs = documents.withColumn("head", header_text(F.col(page))).withColumn("labeled", F.upper(F.regexp_extract("head", LABELED_IFSC, 1)))
+    docs = docs.withColumn("letters", letters).withColumn("own_grams", grams).drop("letters").crossJoin(F.broadcast(one_row))  # one row
+    found = F.flatten(F.transform(F.array_intersect("own_grams", "grams"), lambda g: F.element_at("by_gram", g)))
+    docs = docs.withColumn("tried", F.array_distinct(F.concat(found, "always")))
+    text = lambda i: F.when(F.get("in_page", i), F.col(page)).otherwise(F.col("head"))
+    return docs.withColumn("matched", F.filter("tried", lambda i: F.rlike(text(i), F.get("patterns", i)))).drop("own_grams", "grams", "by_gram", "always", "patterns", "in_page")
+
+
 def scores(documents: DataFrame, signatures: tuple[Signature, ...], page: str = "first_page") -> DataFrame:
     """(doc_id, ord, bank_name, parser_key, score, account, ifsc) of every bank with a score above 0."""
-    rows = [
-        (i, s.bank_name, s.parser_key, "|".join(f"(?:{x})" for x in s.header_names) or None, s.ifsc_prefix, [d.lower() for d in s.domains], [f"(?i){m}" for m in s.header_markers], [f"(?i){x}" for x in s.account_patterns],
-         "|".join(f"(?:{x})" for x in s.column_patterns) or None)
-        for i, s in enumerate(signatures)
-    ]
-    kinds = "ord int, bank_name string, parser_key string, header string, prefix string, domains array<string>, markers array<string>, accounts array<string>, table_head string"
-    known = documents.sparkSession.createDataFrame(rows, kinds)
-    docs = documents.withColumn("head", header_text(F.col(page))).withColumn("labeled", F.upper(F.regexp_extract("head", LABELED_IFSC, 1)))
-    # The list of banks is a parameter, a few dozen rows.
-    both = docs.crossJoin(F.broadcast(known))
-    says = lambda text, pattern: F.coalesce(F.rlike(text, F.concat(F.lit("(?i)"), pattern)), F.lit(False))
+    index = indexed(signatures)
+    spark = documents.sparkSession
+    kinds = "ord int, bank_name string, parser_key string, prefix string, header array<int>, printed array<int>, domains array<int>, markers array<int>, accounts array<int>, columns array<int>, account_patterns array<string>"
+    known = spark.createDataFrame(index.of_signature, kinds)
+    owners = spark.createDataFrame([(index.owners, index.by_prefix)], "owners array<array<int>>, by_prefix map<string,array<int>>")
+    docs = with_matches(documents, index, page).crossJoin(F.broadcast(owners))  # one row
+    labelled = [F.coalesce(F.element_at("by_prefix", F.substring("labeled", 1, n)), F.array().cast("array<int>")) for n in sorted({len(x) for x in index.by_prefix})]
+    some = F.array_distinct(F.concat(F.flatten(F.transform("matched", lambda i: F.get("owners", i))), *labelled))
+    # the banks are a parameter; Spark broadcasts the list by its size
+    both = docs.withColumn("ord", F.explode(some)).drop("owners", "by_prefix").join(known, "ord")
+    has = lambda c: F.coalesce(F.arrays_overlap("matched", c), F.lit(False))
     by_label = F.coalesce(F.col("labeled").startswith(F.col("prefix")), F.lit(False))
-    printed = F.upper(F.regexp_substr("head", F.concat(F.lit(r"(?i)\b"), "prefix", F.lit(r"[0-9A-Z]{6}\b"))))
-    hits = F.size(F.filter("markers", lambda m: F.rlike("head", m)))
-    found = F.expr(f"filter(flatten(transform(accounts, p -> array(regexp_extract(head, p, 1), regexp_extract(`{page}`, p, 1)))), x -> x <> '')")
-    account = F.get(found, F.lit(0))
+    printed = F.when(has("printed"), F.upper(F.regexp_substr("head", F.concat(F.lit(r"(?i)\b"), "prefix", F.lit(r"[0-9A-Z]{6}\b")))))
+    found = F.expr(f"filter(flatten(transform(account_patterns, p -> array(regexp_extract(head, p, 1), regexp_extract(`{page}`, p, 1)))), x -> x <> '')")
+    account = F.when(has("accounts"), F.get(found, F.lit(0)))
     score = (
-        F.when(says(F.col("head"), F.col("header")), WEIGHTS["HEADER_NAME"]).otherwise(0.0)
+        F.when(has("header"), WEIGHTS["HEADER_NAME"]).otherwise(0.0)
         + F.when(by_label, WEIGHTS["IFSC_LABELED"]).when(printed.isNotNull(), WEIGHTS["IFSC_HEADER"]).otherwise(0.0)
-        + F.when(F.exists("domains", lambda d: F.lower("head").contains(d)), WEIGHTS["DOMAIN"]).otherwise(0.0)
-        + hits * WEIGHTS["HEADER_MARKER"]
+        + F.when(has("domains"), WEIGHTS["DOMAIN"]).otherwise(0.0)
+        + F.size(F.array_intersect("matched", "markers")) * WEIGHTS["HEADER_MARKER"]
         + F.when(account.isNotNull(), WEIGHTS["ACCOUNT_PATTERN"]).otherwise(0.0)
-        + F.when(says(F.col(page), F.col("table_head")), WEIGHTS["COLUMN_PATTERN"]).otherwise(0.0)
+        + F.when(has("columns"), WEIGHTS["COLUMN_PATTERN"]).otherwise(0.0)
     )
     return both.select("doc_id", "ord", "bank_name", "parser_key", score.alias("score"), account.alias("account"), F.when(by_label, F.col("labeled")).otherwise(printed).alias("ifsc")).where("score > 0")
 

@@ -154,10 +154,29 @@ def voucher_xml(vouchers: DataFrame, namespace: str = "urn:vouchers") -> DataFra
 
 
 def voucher_documents(fragments: DataFrame) -> DataFrame:
-    """One document per statement: its fragments in order inside an envelope. A statement's vouchers fit in one row, as its file did."""
+    """One document per statement: its fragments in order inside an envelope. A statement's vouchers fit in one row, as its file did; longer ones are written in parts."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "fragment"))), lambda x: x["fragment"])
-    head, tail = '<?xml version="1.0" encoding="utf-8"?><ENVELOPE><BODY>', "</BODY></ENVELOPE>"
-    return fragments.groupBy("stmt_id").agg(F.concat(F.lit(head), F.array_join(ordered, ""), F.lit(tail)).alias("document"))
+    return fragments.groupBy("stmt_id").agg(F.concat(F.lit(HEAD), F.array_join(ordered, ""), F.lit(TAIL)).alias("document"))
+
+
+HEAD, TAIL = '<?xml version="1.0" encoding="utf-8"?><ENVELOPE><BODY>', "</BODY></ENVELOPE>"
+
+
+def document_parts(fragments: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """(stmt_id, part, n_parts, text): documents of any length in parts, from 1, which make the document when they are joined in order.
+
+    Rows are dealt by statement and block of ``row_index``, so a part is bounded
+    and a long statement is spread over tasks; which parts hold the envelope's
+    beginning and end is known from one row a block.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_index", "fragment"))), lambda x: x["fragment"])
+    blocks = fragments.withColumn("block", F.floor((F.col("row_index") - 1) / part_rows)).groupBy("stmt_id", "block").agg(F.array_join(ordered, "").alias("body"))
+    numbers = fragments.select("stmt_id", F.floor((F.col("row_index") - 1) / part_rows).alias("block")).distinct()
+    w = Window.partitionBy("stmt_id")
+    placed = numbers.select(F.col("stmt_id").alias("_stmt"), F.col("block").alias("_block"), F.row_number().over(w.orderBy("block")).alias("part"), F.count(F.lit(1)).over(w).cast("int").alias("n_parts"))
+    both = blocks.join(placed, F.col("stmt_id").eqNullSafe(F.col("_stmt")) & (F.col("block") == F.col("_block")))
+    text = F.concat(F.when(F.col("part") == 1, F.lit(HEAD)).otherwise(""), "body", F.when(F.col("part") == F.col("n_parts"), F.lit(TAIL)).otherwise(""))
+    return both.select("stmt_id", "part", "n_parts", text.alias("text"))
 
 
 def broken_documents(documents: DataFrame) -> DataFrame:

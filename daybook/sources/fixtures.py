@@ -188,6 +188,9 @@ The Co-operative Bank|coop_standard||co-operativebank.co.uk|8
 PayPal|paypal_standard||paypal.com|12
 """
 
+#: (name, parser key, code, site, lengths of account numbers) of each bank, in order.
+BANKS = [tuple(row.split("|")) for row in _BANK_ROWS.strip().split("\n")]
+
 _BANKS = "SELECT * FROM (VALUES " + ", ".join(
     "({}, {})".format(i, ", ".join(f"'{x}'" for x in row.split("|"))) for i, row in enumerate(_BANK_ROWS.strip().split("\n"))
 ) + ") AS listed(ord, bank_name, parser_key, code, site, digits)"
