@@ -65,6 +65,7 @@ class PieceModel:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
+        self.longest_piece = max(map(len, self.ids))
         self.compatible: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, list[str]] = {}
 
@@ -106,21 +107,21 @@ class PieceModel:
 
     def pieces_of(self, run: str) -> list[str]:
         """The pieces of one run by backtracking."""
-        longest, compatible, shorter, n = self.automaton.longest_prefix, self.compatible, self.shorter, len(run)
+        longest, compatible, shorter, n, most = self.automaton.longest_prefix, self.compatible, self.shorter, len(run), self.longest_piece
 
         def reach(at: int) -> list[str]:
             # The automaton walks as far as any piece's beginning reaches; the longest whole piece lies within.
-            piece = run[at : at + (longest(run[at:]) or 1)]
+            piece = run[at : at + (longest(run[at : at + most]) or 1)]
             return shorter.get(piece) or self._prefixes(piece)
 
-        failed = 0  # bit i: nothing goes on from place i
+        failed = bytearray((n >> 3) + 1)  # bit i: nothing goes on from place i
         chosen: list[str] = []
         tries: list[tuple[int, Iterator[str]]] = [(0, iter(reach(0)))]
         while tries:
             at, left = tries[-1]
             for piece in left:
                 end = at + len(piece)
-                if failed >> end & 1:
+                if failed[end >> 3] >> (end & 7) & 1:
                     continue
                 if chosen:
                     ok = compatible.get((chosen[-1], piece))
@@ -135,7 +136,7 @@ class PieceModel:
                     tries.append((end, iter(reach(end))))
                     break
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 tries.pop()
                 if chosen:
                     chosen.pop()
