@@ -8,9 +8,10 @@ the regions with a block in the high cluster are the article.
 
 A region is what stands in one ``<article>`` or ``<main>``, else in one
 container (``div``, ``section``, table cell, page). Markup alone selects nothing:
-an ``<article>`` with most of the text weighs more and one among several less, and
-a container whose class is that of an advert, sidebar or comments weighs little,
-inside an article a quarter. Only elements that never hold an article (menus,
+an ``<article>`` weighs the more the larger its share of the text is, and a
+container whose class or id is that of an advert, sidebar or comments weighs
+little, inside an article a quarter. An article whose best block comes near that
+of a chosen article is chosen too, so two kinds of main text are not told apart. Only elements that never hold an article (menus,
 forms, scripts, ...) and hidden ones take part in no region.
 
 Defined results: a null or empty page gives an empty text, as does one with
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -58,15 +60,17 @@ OTHER_PARTS = frozenset(
 #: Class names of other parts only as a whole.
 OTHER_NAMES = frozenset("header site-header page-header masthead search form legal copyright disclaimer alert alerts discussion hidden visually-hidden sr-only skip-link".split())
 
-#: Weights of a block's score by its place.
-MOST_TEXT, ONE_OF_SEVERAL, MARKED, MARKED_INSIDE = 4.0, 0.5, 0.05, 0.25
+#: Weights of a block's score by its place: an article with all and with none of the text, marked parts outside and inside an article.
+ALL_TEXT, NO_TEXT, MARKED, MARKED_INSIDE = 4.0, 0.2, 0.05, 0.25
+#: An article is as good as a chosen one if its best score, so many times, reaches that one's.
+NEAR = 2.5
 
 
-def other_part(classes: str) -> bool:
-    """Whether a class attribute names an advert, menu, sidebar, comment list or the like."""
-    for name in classes.lower().split():
+def other_part(classes: str, place: str = "") -> bool:
+    """Whether a class attribute, or an id, names an advert, menu, sidebar, comment list or the like. Ids count by their words only, as whole names are often those of chapters."""
+    for name in (*classes.lower().split(), *place.lower().split()):
         words = re.split("[-_]+", name)
-        if name in OTHER_NAMES or words[0] in OTHER_PARTS or words[-1] in OTHER_PARTS:
+        if (name in OTHER_NAMES and name in classes.lower().split()) or words[0] in OTHER_PARTS or words[-1] in OTHER_PARTS:
             return True
     return False
 
@@ -92,6 +96,7 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, _State]] = []
+        self.n_open: Counter[str] = Counter()
         self.blocks: list[_Block] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -108,12 +113,20 @@ class _Blocks(HTMLParser):
             self.tags = 0
         self.parts = []
 
+    def _shut(self, at: int) -> None:
+        """The open elements from a place on end."""
+        for name, _ in self.open[at:]:
+            self.n_open[name] -= 1
+        del self.open[at:]
+
     def _close(self, name: str) -> None:
+        if not self.n_open[name]:  # an end tag without its element costs nothing
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == name:
                 if name in BLOCKS or any(x[1].excluded or x[1].marked for x in self.open[at:]):
                     self._cut()
-                del self.open[at:]
+                self._shut(at)
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -122,7 +135,7 @@ class _Blocks(HTMLParser):
             for at in range(len(self.open) - 1, -1, -1):  # an open paragraph ends where a block begins
                 if self.open[at][0] == "p":
                     self._cut()
-                    del self.open[at:]
+                    self._shut(at)
                     break
                 if self.open[at][0] in BLOCKS:
                     break
@@ -131,7 +144,7 @@ class _Blocks(HTMLParser):
             for at in range(len(self.open) - 1, -1, -1):
                 if self.open[at][0] in kin:
                     self._cut()
-                    del self.open[at:]
+                    self._shut(at)
                     break
                 if self.open[at][0] in ("ul", "ol", "dl", "table", "menu", "select"):
                     break
@@ -142,7 +155,7 @@ class _Blocks(HTMLParser):
             given = {k: v or "" for k, v in attrs}
             apart = given.get("role", "").lower() in OTHER_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
             apart = apart or "display:none" in given.get("style", "").replace(" ", "").lower()
-            marked = marked or tag in MARKABLE and other_part(given.get("class", ""))
+            marked = marked or tag in MARKABLE and other_part(given.get("class", ""), given.get("id", ""))
         if tag in BLOCKS or (apart, marked) != (False, now.marked):
             self._cut()
         if tag == "br":
@@ -156,6 +169,7 @@ class _Blocks(HTMLParser):
         if tag in CONTAINERS:
             self.containers += 1
             container = self.containers
+        self.n_open[tag] += 1
         self.open.append((tag, _State(now.excluded or apart, holder, container, marked)))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -217,6 +231,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     score *= weights(blocks)
     high = score >= two_clusters(score)
     chosen = {region(b) for b, yes in zip(blocks, high, strict=True) if yes and not b.place.excluded}
+    best: dict[tuple[bool, int], float] = {}
+    for b, x in zip(blocks, score, strict=True):
+        if b.place.holder and not b.place.excluded and not b.place.marked:
+            best[region(b)] = max(best.get(region(b), 0.0), float(x))
+    least = min((x for r, x in best.items() if r in chosen), default=math.inf)
+    chosen |= {r for r, x in best.items() if x * NEAR >= least}
     # A marked part of an article stays only if the clusters speak for it.
     kept = [b.text for b, yes in zip(blocks, high, strict=True) if not b.place.excluded and region(b) in chosen and (yes or not b.place.marked)]
     return "\n\n".join(kept)
@@ -235,7 +255,7 @@ def weights(blocks: list[_Block]) -> np.ndarray:
             return 0.0
         if not b.place.holder:
             return MARKED if b.place.marked else 1.0
-        own = MOST_TEXT if held.get(b.place.holder, 0) * 2 >= total else ONE_OF_SEVERAL
+        own = NO_TEXT + (ALL_TEXT - NO_TEXT) * (held.get(b.place.holder, 0) / max(total, 1)) ** 2
         return own * MARKED_INSIDE if b.place.marked else own
 
     return np.array([weight(b) for b in blocks])

@@ -60,3 +60,25 @@ def test_odd_pages(spark):
     whole = "\n\n".join(["word & word"] * 20000)
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, ""), (4, ""), (5, "a\n\nb <c>"), (6, "deep"), (7, whole), (7, whole), (None, "text only")], key=str)
     assert extract_pages(pages.limit(0)).columns == pages.columns and extract_pages(pages.limit(0)).count() == 0
+
+
+def test_articles_of_one_rank_stay_together():
+    """Two articles beside a teaser, and four of which one has shorter blocks."""
+    sentence = "This sentence stands in the article and says something at length, as articles do. "
+    two = f'<body><article><h2>One</h2><p>{sentence * 3}</p></article><article><h2>Two</h2><p>{sentence * 3}</p></article><article class="teaser"><p>Read.</p></article></body>'
+    assert main_text(two).split("\n\n") == ["One", (sentence * 3).strip(), "Two", (sentence * 3).strip()]
+    four = "<body>" + "".join(f"<article><p>{sentence * (2 if k == 0 else 4)}</p></article>" for k in range(4)) + "</body>"
+    assert len(main_text(four).split("\n\n")) == 4
+
+
+def test_ids_name_other_parts():
+    for part in ('<div id="comments"><p>I liked it a lot.</p></div>', '<section id="cookie-notice"><p>We use cookies.</p></section>', '<div class="comments"><p>Nice.</p></div>'):
+        assert main_text(f"<article><p>{LONG}</p><p>{LONG}</p>{part}</article>").split("\n\n") == [LONG.strip()] * 2
+
+
+def test_stray_end_tags_cost_nothing():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<p>text</p>" + "<b>" * 100_000 + "</x>" * 100_000) == "text"
+    assert time.perf_counter() - began < 20
