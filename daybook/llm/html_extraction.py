@@ -63,7 +63,7 @@ OTHER_NAMES = frozenset("header site-header page-header masthead search form leg
 #: Weights of a block's score by its place: an article with all and with none of the text, marked parts outside and inside an article.
 ALL_TEXT, NO_TEXT, MARKED, MARKED_INSIDE = 4.0, 0.2, 0.05, 0.25
 #: An article is as good as a chosen one if its best score, so many times, reaches that one's.
-NEAR = 2.5
+NEAR = 4.0
 
 
 def other_part(classes: str, place: str = "") -> bool:
