@@ -114,14 +114,14 @@ class PieceModel:
             piece = run[at : at + (longest(run[at : at + most]) or 1)]
             return shorter.get(piece) or self._prefixes(piece)
 
-        failed = bytearray((n >> 3) + 1)  # bit i: nothing goes on from place i
+        failed = bytearray()  # bit i: nothing goes on from place i; made when the first place fails
         chosen: list[str] = []
         tries: list[tuple[int, Iterator[str]]] = [(0, iter(reach(0)))]
         while tries:
             at, left = tries[-1]
             for piece in left:
                 end = at + len(piece)
-                if failed[end >> 3] >> (end & 7) & 1:
+                if failed and failed[end >> 3] >> (end & 7) & 1:
                     continue
                 if chosen:
                     ok = compatible.get((chosen[-1], piece))
@@ -136,6 +136,7 @@ class PieceModel:
                     tries.append((end, iter(reach(end))))
                     break
             else:
+                failed = failed or bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 tries.pop()
                 if chosen:
