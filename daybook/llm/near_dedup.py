@@ -10,14 +10,18 @@ compared). In a bucket every node is compared with one hub, the node that has
 most company over all its buckets: of copies of one text that is as a rule the
 one they were made from, so one round links them all. Buckets whose nodes are
 then in different components get further rounds with the hubs of the components.
-In the end nodes of different components meet in blocks of their bucket, and a
-pair leaves the block only if its parity sketches allow a link: each shingle
+In the end the sets that are still in buckets of several components are joined
+by the rarest shingles that each begins with (a prefix filter). That is exact: no
+link between them is lost, and near misses (copies of one text that are not close
+enough to each other) mostly do not meet, as each begins with shingles of its own.
+Those that meet go on only if their parity sketches allow a link: each shingle
 flips one bit of a sketch, so two sketches differ in no more bits than the sets
-differ in shingles. That bound is exact; no link between different sets of one
-bucket is lost, and near misses (copies of one text that are not close enough
-to each other) are told apart without being written out.
+differ in shingles. That bound is exact too, and keeps near misses from being
+written out as pairs.
 
-A link of similarity s is missed if its sets share no band: with r rows and b
+A pair goes on to its full sets if its signatures agree on a share of no less
+than the threshold less ``slack``; with 96 hashes a link falls below that with a
+probability under 2e-9 at 0.85 and 2e-8 at 0.80. A link of similarity s is missed if its sets share no band: with r rows and b
 bands that has the probability (1 - s^r)^b, below 3e-8 at 0.85 with 4 and 24.
 
 Defined results: a null or empty text, or one of white space, has no shingles
@@ -53,7 +57,7 @@ class MinHash:
     slack: float = 0.25
     hub_rounds: int = 2
     sketch_words: int = 32
-    #: Rows of a bucket that meet in one task.
+    #: Rows with one shingle that meet in one task.
     block: int = 1024
 
     @property
@@ -118,7 +122,7 @@ def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
 
 
 def signed(documents: DataFrame, p: MinHash, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, node, bands, signature, sketch): node is a 128-bit digest of the set, null if it is empty."""
+    """(id, n_shingles, node, bands, signature): node is a 128-bit digest of the set, null if it is empty."""
 
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients(p)
@@ -128,17 +132,17 @@ def signed(documents: DataFrame, p: MinHash, id_col: str = "doc_id", text: str =
             for t in texts:
                 s = shingle_set(t, p.words)
                 if not len(s):
-                    out.append((0, None, None, None, None))
+                    out.append((0, None, None, None))
                     continue
                 minima = signature(s, a, b)
                 keys = np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
                 for column, salt in zip(minima.reshape(p.bands, p.rows).T.astype(np.uint64), salts, strict=True):
                     keys = (keys ^ column) * salt
                     keys ^= keys >> np.uint64(31)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64), minima.tobytes(), parity_sketch(s, p.sketch_words)))
-            yield pd.DataFrame(out, columns=["n_shingles", "node", "bands", "signature", "sketch"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), keys.view(np.int64), minima.tobytes()))
+            yield pd.DataFrame(out, columns=["n_shingles", "node", "bands", "signature"])
 
-    run = F.pandas_udf(rows, "n_shingles long, node binary, bands array<long>, signature binary, sketch array<long>")
+    run = F.pandas_udf(rows, "n_shingles long, node binary, bands array<long>, signature binary")
     return documents.select(F.col(id_col).alias("id"), run(whole_text(text)).alias("r")).select("id", "r.*")
 
 
@@ -204,7 +208,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     """Per row of ``documents``: id, n_shingles, component_id (smallest id reachable) and kept (it is that id)."""
     rows = written(signed(documents, p, id_col, text), "signed")
     full = rows.where(F.col("node").isNotNull())
-    nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature", "sketch")
+    nodes = full.dropDuplicates(["node"]).select("node", F.col("id").alias("of_id"), "n_shingles", "bands", "signature")
 
     spark, mark = documents.sparkSession, len(written_paths())
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -215,7 +219,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     total = members.count()
     remove_since(spark, mark, ("members",))
     inside = members.select("node").distinct()
-    known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature", "sketch"), "nodes")
+    known = written(nodes.join(inside, "node").select("node", "of_id", "n_shingles", "signature"), "nodes")
     texts = _texts_of(documents.select(F.col(id_col).alias("id"), whole_text(text).alias("text")), known.select("of_id", "node"), p)
 
     labels = members.select("node", F.col("node").alias("component")).distinct()
@@ -244,7 +248,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
                     .select(F.col("node").alias("a"), F.col("second.hub.node").alias("b")).distinct()
                 )
             else:
-                pairs = _left_over(open_rows, known, p)
+                pairs = _left_over(open_rows, texts, p)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -274,23 +278,44 @@ def _texts_of(texts: DataFrame, ids: DataFrame, p: MinHash) -> DataFrame:
     return written(found.where(F.pandas_udf(fits, "boolean")(F.col("text"), F.col("node"))).dropDuplicates(["node"]), "texts")
 
 
-def _left_over(open_rows: DataFrame, known: DataFrame, p: MinHash) -> DataFrame:
-    """Pairs of different components in one bucket whose sizes and sketches allow a link.
+def _left_over(open_rows: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """Pairs of different components that may be linked, by the rarest shingles of each open set.
 
-    A large bucket is dealt in blocks: each row stands in one block on the left
-    and in all on the right. With S the sum of the sizes, a link's sets differ in
-    at most (100 - percent) * S / (100 + percent) shingles.
+    In any one order of all shingles two sets of similarity t share one of the
+    first ``n - t*n + 1`` of each (n: its size), else they have too few in common;
+    no link is lost. In the order of use, rarest first, the sets of near misses
+    begin with shingles of their own, so they do not meet: what is compared grows
+    with the sets that share something rare, not with the square of a bucket. A
+    shingle that many sets begin with is dealt in blocks: each row stands in one
+    block on the left and in all on the right.
     """
-    blocks = open_rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks"))
-    rows = open_rows.join(blocks, "bucket").join(known.select("node", "n_shingles", "sketch"), "node")
-    x = rows.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    y = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, p.words) for t in batch]
+            yield pd.DataFrame({"set": [x.view(np.int64) for x in found], "sketch": [parity_sketch(x, p.sketch_words) for x in found]})
+
+    hashed = F.pandas_udf(sets_of, "set array<long>, sketch array<long>")
+    nodes = open_rows.select("node", "component").distinct()
+    sets = written(nodes.join(texts, "node").select("node", "component", hashed("text").alias("h")).select("node", "component", "h.*", F.size("h.set").alias("size")), "sets")
+    held = sets.select("node", F.explode("set").alias("shingle"))
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    # what one set alone holds comes first in its order and meets nothing
+    use = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("use")).where("use > 1"), "use")
+    shared = join_by_key(held, use, "shingle", "use", total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("use", "shingle"))).alias("shared"))
+    first = F.col("size") - F.ceil(F.col("size") * p.percent / 100) + 1 - (F.col("size") - F.size("shared"))
+    begin = sets.drop("set").join(shared, "node").withColumn("first", first.cast("int")).where("first > 0")
+    rows = written(begin.select("node", "component", "size", "sketch", F.explode(F.transform(F.slice("shared", F.lit(1), F.col("first")), lambda x: x["shingle"])).alias("shingle")), "begin")
+    per = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    met = written(per.select("shingle", "n", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "met")
+    rows = join_by_key(rows, met, "shingle", "n", rows.count())
+    x = rows.select("shingle", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
     apart = F.lit(0)
     for i in range(p.sketch_words):
         apart = apart + F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))))
+    # of sets of S shingles in all, linked ones differ in at most (100 - percent) * S / (100 + percent)
     near = (apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
-    same = (x["bucket"] == y["bucket"]) & (x["part"] == y["part"])
-    return x.join(y, same & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+    return x.join(y, (x["shingle"] == y["shingle"]) & (x["part"] == y["part"]) & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
 
 
 def drop_near_duplicates(documents: DataFrame, p: MinHash = MinHash(words=5, percent=80), id_col: str = "doc_id") -> DataFrame:  # noqa: B008

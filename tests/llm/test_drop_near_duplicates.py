@@ -32,3 +32,24 @@ def test_one_row_of_each_group_stays(spark, turned):
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == want
+
+
+def test_near_misses_are_not_compared_with_one_another(spark, monkeypatch):
+    """Variants of one text, most of them too far from each other: links as by brute force, and few pairs."""
+    from daybook.llm import near_dedup
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+
+    def variant(i, share):
+        return " ".join(f"v{i}x{k}" if rng.random() < share else w for k, w in enumerate(base))
+
+    docs = [(i, variant(i, 0.06)) for i in range(400)]  # three-word shingles: about 0.7 of the sets is shared
+    docs += [(1000 + i, docs[i * 7][1] + " tail") for i in range(20)]  # and some real links
+    pairs = []
+    real = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute.near(docs, 3, 85)
+    assert len(pairs) == 3 and sum(pairs) < 10 * len(docs)
