@@ -168,3 +168,26 @@ def decode_bytes(content: Column) -> Column:
         .when(zeros, F.decode(content, "UTF-16LE"))
         .otherwise(F.decode(content, "ISO-8859-1"))
     )
+
+
+#: Character references by name that ledgers exported as pages use.
+NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def without_references(text: Column) -> Column:
+    """Character references made characters: the named ones above, and numbers in decimal or hexadecimal. Others stay as they are."""
+
+    def one(part: Column) -> Column:
+        told = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[a-z]+);", 1)
+        rest = F.substr(part, F.length(told) + 2)
+        code = F.when(F.lower(told).startswith("#x"), F.conv(F.substr(told, F.lit(3)), 16, 10)).when(told.startswith("#"), F.substr(told, F.lit(2))).cast("long")
+        # a place in no plane, or half of a pair, is no character
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.lit(None).cast("string")
+        for name, c in NAMED.items():
+            named = F.when(told == name, c).otherwise(named)
+        return F.coalesce(F.concat(named, rest), F.when(valid, F.concat(char, rest)), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import entities
 from daybook.functions.scalars import normalize_ledger_name
+from daybook.keys import join_by_key
 from daybook.storage import written
 
 # Ledgers of statutory parties, and other names they go by.
@@ -182,9 +183,9 @@ def candidates(parties: DataFrame, ledgers: DataFrame) -> DataFrame:
 
 
 def narration_matches(narrations: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """(narration_up, n_ledger, n_score): the best ledger that is a segment of the narration (92) or stands in it, from five characters on (88)."""
+    """(narration_up, n_ledger, n_score): the best ledger that is a segment of the narration (92) or stands in it, from five characters on (88). Narrations may repeat."""
     index = _index(ledgers)
-    n = narrations.select("narration_up").distinct()
+    n = narrations.select("narration_up")
     cut = n.withColumn("segment", F.explode(F.filter(F.transform(F.split("narration_up", "[/_:-]"), lambda x: F.trim(x)), lambda x: x != "")))
     segments = cut.join(index, F.col("segment") == F.col("norm")).select("narration_up", "ledger", "ord", F.lit(92.0).alias("score"))
     inside = containing(index.where(F.length("norm") >= 5), "norm", n, "narration_up").select("narration_up", "ledger", "ord", F.lit(88.0).alias("score"))
@@ -192,36 +193,53 @@ def narration_matches(narrations: DataFrame, ledgers: DataFrame) -> DataFrame:
     return best.select("narration_up", F.col("b.ledger").alias("n_ledger"), (-F.col("b.minus")).alias("n_score"))
 
 
+def _of_parties(facts: DataFrame, ledgers: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per party name of ``facts`` what its tiers need, and ``n_facts``: how many facts have it."""
+    parties = facts.where(F.col("party_name").isNotNull()).groupBy("party_name").agg(F.count(F.lit(1)).alias("n_facts"))
+    parties = written(parties.withColumn("party_up", F.upper(F.trim("party_name"))).withColumn("party_norm", normalize_ledger_name(F.col("party_name"))), "party-names")
+    by_party = rules.groupBy("pattern").agg(F.max_by("r_ledger", "r_ord").alias("rule_party")).withColumnRenamed("pattern", "party_up")
+    names = candidates(parties.where(F.coalesce("party_norm", F.lit("")) != ""), ledgers)
+    by_alias = ledgers.where(F.col("alias").isNotNull()).groupBy(normalize_ledger_name(F.col("alias")).alias("party_norm")).agg(F.max_by("name", "ord").alias("alias_ledger"))
+    index = _index(ledgers)
+    own = index.select(F.col("norm").alias("party_norm"), F.col("ledger").alias("own_name"))
+    other = ledgers.sparkSession.createDataFrame([(a, b, i) for i, (a, b) in enumerate(OTHER_NAMES)], "party_name string, norm string, place int").join(index, "norm")
+    other = other.groupBy("party_name").agg(F.min_by("ledger", "place").alias("other_name"))
+    for side, key in ((by_party, "party_up"), (names, "party_norm"), (by_alias, "party_norm"), (own, "party_norm"), (other, "party_name")):
+        parties = parties.join(side, key, "left")
+    return written(parties.drop("party_up", "party_norm"), "party-tiers")
+
+
 def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash") -> DataFrame:
     """The ledger of every transaction by tiers: cash, saved rule of the party, saved rule in the narration, tax number,
     exact name, alias, close name, narration, statutory name, Suspense.
 
     Adds party_name, category, ledger_name, mapping_confidence, mapping_status and, for name tiers, up to five candidates.
+
+    All of it follows from a narration and its side (debit or not), so the tiers
+    are resolved once for each of these, those of parties once per party, and one
+    join takes them back to the transactions. A narration or party that holds a
+    large share of them is joined by a bounded broadcast (``join_by_key``); what
+    has no party or tax number takes part in no join on it.
     """
-    found = entities.party(F.col("narration"), F.col("debit") > 0)
-    # Several tiers start from these rows, so the rules that find the party run once.
-    rows = written(tx.withColumn("party", found), "parties").withColumn("party_name", F.col("party.name")).withColumn("category", F.col("party.category")).drop("party")
-    rows = rows.withColumn("party_up", F.upper(F.trim("party_name"))).withColumn("party_norm", normalize_ledger_name(F.col("party_name")))
-    rows = rows.withColumn("narration_up", F.upper("narration")).withColumn("tax", entities.gstin(F.col("narration")))
-    rows = rows.withColumn("is_cash", entities.cash_type(F.col("narration"), F.col("debit") > 0).isNotNull() | (F.coalesce("party_up", F.lit("")) == "CASH"))
+    tx, tax = written(tx, "transactions"), entities.gstin(F.col("narration"))  # read for the facts and for the join back
+    facts = tx.groupBy("narration", (F.col("debit") > 0).alias("is_debit")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = entities.party(F.col("narration"), F.col("is_debit"))
+    is_cash = entities.cash_type(F.col("narration"), F.col("is_debit")).isNotNull() | (F.coalesce(F.upper(F.trim("party.name")), F.lit("")) == "CASH")
+    # few bytes but much work a row: dealt to as many tasks as shuffles have, which adaptive execution would make one of
+    facts = facts.repartition(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    facts = facts.withColumn("party", found).withColumn("is_cash", is_cash).withColumn("tax", tax).withColumn("fact", F.monotonically_increasing_id())
+    facts = written(facts.select("fact", "narration", "is_debit", "n_rows", F.upper("narration").alias("narration_up"), "party.name", "party.category", "is_cash", "tax").withColumnRenamed("name", "party_name"), "facts")
 
     rule = rules.select(F.upper(F.trim("pattern")).alias("pattern"), F.col("ledger").alias("r_ledger"), F.col("ord").alias("r_ord"))
-    by_party = rule.groupBy("pattern").agg(F.max_by("r_ledger", "r_ord").alias("rule_party")).withColumnRenamed("pattern", "party_up")
-    said = containing(rule, "pattern", rows.select("narration_up").distinct(), "narration_up")
+    said = containing(rule, "pattern", facts.select("narration_up"), "narration_up")
     by_text = said.groupBy("narration_up").agg(F.min_by("r_ledger", "r_ord").alias("rule_text"))
     by_tax = ledgers.where(F.col("gstin").isNotNull()).groupBy(F.upper(F.trim("gstin")).alias("tax")).agg(F.max_by("name", "ord").alias("tax_ledger"))
-    names = candidates(rows.where(F.coalesce("party_norm", F.lit("")) != ""), ledgers)
-    by_alias = ledgers.where(F.col("alias").isNotNull()).groupBy(normalize_ledger_name(F.col("alias")).alias("party_norm")).agg(F.max_by("name", "ord").alias("alias_ledger"))
-    by_narration = narration_matches(rows, ledgers)
-    index = _index(ledgers)
-    session = tx.sparkSession
-    own = index.select(F.col("norm").alias("party_norm"), F.col("ledger").alias("own_name"))
-    other = session.createDataFrame([(a, b, i) for i, (a, b) in enumerate(OTHER_NAMES)], "party_name string, norm string, place int").join(index, "norm")
-    other = other.groupBy("party_name").agg(F.min_by("ledger", "place").alias("other_name"))
-
-    wide = rows
-    for side, key in ((by_party, "party_up"), (by_text, "narration_up"), (by_tax, "tax"), (names, "party_norm"), (by_alias, "party_norm"), (by_narration, "narration_up"), (own, "party_norm"), (other, "party_name")):
-        wide = wide.join(side, key, "left")
+    of_party = _of_parties(facts, ledgers, rule)
+    n_facts = facts.count()
+    taxed = facts.where(F.col("tax").isNotNull()).select("fact", "tax").join(by_tax, "tax").select("fact", "tax_ledger")
+    with_party = join_by_key(facts.where(F.col("party_name").isNotNull()), of_party, "party_name", "n_facts", n_facts)
+    wide = with_party.drop("n_facts").unionByName(facts.where(F.col("party_name").isNull()), allowMissingColumns=True)
+    wide = wide.join(taxed, "fact", "left").join(by_text, "narration_up", "left").join(narration_matches(facts, ledgers), "narration_up", "left")
     top = F.get("listed", F.lit(0))
     close = F.col("listed").isNotNull() & (-top["minus"] >= 80.0)
     statutory = F.col("party_name").isin(*STATUTORY)
@@ -242,10 +260,20 @@ def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash
     )
     listed = F.slice(F.transform("listed", lambda x: x["ledger"]), 1, 5)
     listed = F.when(F.col("exact").isNotNull(), F.slice(F.concat(F.array("exact"), F.filter(F.coalesce(F.transform("listed", lambda x: x["ledger"]), F.array().cast("array<string>")), lambda x: x != F.col("exact"))), 1, 5)).otherwise(listed)
-    return wide.withColumn("tier", tier).select(
-        *tx.columns, "party_name", "category",
+    resolved = wide.withColumn("tier", tier).select(
+        F.struct("narration", "is_debit").alias("fact_key"), "n_rows", "party_name", "category",
         F.col("tier.ledger").alias("ledger_name"), F.col("tier.score").alias("mapping_confidence"), F.col("tier.status").alias("mapping_status"), listed.alias("candidates"),
     )
+    resolved = written(resolved.withColumn("fact_key", _key("fact_key.narration", "fact_key.is_debit")), "resolved")
+    total = resolved.agg(F.sum("n_rows")).first()[0] or 0
+    keyed = tx.withColumn("fact_key", _key("narration", F.col("debit") > 0))
+    return join_by_key(keyed, resolved, "fact_key", "n_rows", total).drop("fact_key", "n_rows")
+
+
+def _key(narration: str, is_debit: str | Column) -> Column:
+    """A text that is equal for equal pairs, nulls included."""
+    side = F.col(is_debit) if isinstance(is_debit, str) else is_debit
+    return F.concat(F.when(side, "D").when(~side, "C").otherwise("N"), F.when(F.col(narration).isNull(), "-").otherwise("+"), F.coalesce(F.col(narration), F.lit("")))
 
 
 def keep_confirmed(matched: DataFrame, given: str) -> DataFrame:

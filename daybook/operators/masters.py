@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.scalars import collapsed, normalize_ledger_name, nothing_if_blank, sanitize_xml
+from daybook.functions.scalars import collapsed, normalize_ledger_name, nothing_if_blank, sanitize_xml, without_references
 
 MONEY = "decimal(18,2)"
 # Keys that hold lists, names and groups in JSON exports, in the order they are tried.
@@ -91,7 +91,7 @@ def json_ledgers(files: DataFrame, content: str = "content", key: str = "file")
 def html_ledgers(files: DataFrame, content: str = "content", key: str = "file") -> DataFrame:
     """(key, ord, name, grp) of table rows; header rows are skipped, a serial number before the name too."""
     rows = files.select(key, F.posexplode(F.regexp_extract_all(content, F.lit(r"(?is)<tr[^>]*>(.*?)(?=</tr>|<tr|</table>|\z)"), F.lit(1))).alias("ord", "row"))
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(F.regexp_replace(c, "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" ")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    plain = lambda c: without_references(F.regexp_replace(c, "<[^>]*>", ""))
     cells = F.filter(F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<t[dh][^>]*>(.*?)(?=</t[dh]>|<t[dh]|\z)"), F.lit(1)), lambda c: F.trim(plain(c))), lambda c: c != "")
     got = rows.withColumn("cells", cells).where(F.size("cells") > 0)
     joined = F.upper(F.array_join("cells", " "))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -253,6 +254,21 @@ def feed(**sources: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("at"), "source", "id")
 
 
+def selected(rows: DataFrame, equal: dict | None = None, any_equal: list[dict] | None = None, order: tuple[tuple[str, bool], ...] = (), limit: int | None = None) -> DataFrame:
+    """Rows whose fields equal ``equal`` and at least one of ``any_equal``, ordered by (field, descending), the first ``limit`` of them.
+
+    The conditions are plain comparisons, so they reach the reader of the rows;
+    with a limit only so many rows a task are kept and merged.
+    """
+    told = [F.col(c) == v for c, v in (equal or {}).items()]
+    if any_equal:
+        told.append(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == v for c, v in x.items()]) for x in any_equal]))
+    for cond in told:
+        rows = rows.where(cond)
+    ordered = rows.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]) if order else rows
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def newest(rows: DataFrame, n: int, by: str = "created_at", tie: str = "id") -> DataFrame:
     return rows.orderBy(F.desc(by), F.desc(tie)).limit(n)
 

@@ -149,6 +149,13 @@ def feed(spark, sf_dir):
     return usage.feed(conversions=j.where("status = 'FAILED'").select("id", F.col("created_at").alias("at")), reviews=j.where("status = 'NEEDS_REVIEW'").select("id", F.col("created_at").alias("at")))
 
 
+def filtered(spark, sf_dir):
+    """A status, one of two customers or priorities, newest first: read from the stored rows."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = usage.selected(rows, {"o_orderstatus": "F"}, [{"o_orderpriority": "1-URGENT"}, {"o_custkey": 7}], (("o_orderdate", True), ("o_orderkey", False)))
+    return found.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+
+
 def newest(spark, sf_dir):
     return usage.newest(_jobs(spark, sf_dir), 10).select("id", "created_at")
 
@@ -166,7 +173,7 @@ QUERIES = {
     "A9_parser_health": lambda s, d: usage.parser_health(s.range(15).select(F.concat(F.lit("Bank "), F.col("id")).alias("bank_name")), _jobs(s, d)),
     "T2_daily_usage": lambda s, d: usage.daily_usage(_jobs(s, d)), "A10_usage_reconciled": a10, "A11_unread_counts": a11, "A12_payments": a12, "A14_dossier": lambda s, d: usage.dossier(_users(s, d), _jobs(s, d)),
     "A_daily_trends": lambda s, d: usage.daily_trends(_jobs(s, d)), "J14_left_access": j14, "J15_semi": j15, "J16_appended": j16, "J17_overridden": j17, "J19_appeals": j19, "P2_authorized_pages": p2, "P6_user_search": p6,
-    "P7_second_filter": p7, "P8_appeals_filter": p8, "P9_lookup": p9, "P10_job_filter": p10, "P13_visibility": p13, "S12_feed": feed, "S11_newest": newest, "K7_upsert": k7,
+    "P7_second_filter": p7, "P8_appeals_filter": p8, "P9_lookup": p9, "P10_job_filter": p10, "P13_visibility": p13, "S12_feed": feed, "S12_filtered_rows": filtered, "S11_newest": newest, "K7_upsert": k7,
 }
 
 _P = "coalesce(free_quota_used, pages_processed, page_count, 0)"
@@ -227,6 +234,7 @@ SELECT a.id, coalesce(x.account_status, y.account_status) AS suspension FROM a L
     "P10_job_filter": with_ctes("jobs", " SELECT id FROM jobs WHERE contains(lower(bank_name), 'bank 1') AND (is_ambiguous OR status = 'AMBIGUOUS_BANK')"),
     "P13_visibility": with_ctes("jobs", " SELECT id, 'own' AS seen_by FROM jobs WHERE user_id = 'User-7' UNION ALL SELECT id, 'admin' FROM jobs"),
     "S12_feed": with_ctes("jobs", " SELECT 'conversions' AS source, CAST(id AS STRING) AS id, created_at AS at FROM jobs WHERE status = 'FAILED' UNION ALL SELECT 'reviews', CAST(id AS STRING), created_at FROM jobs WHERE status = 'NEEDS_REVIEW'"),
+    "S12_filtered_rows": "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority = '1-URGENT' OR o_custkey = 7) ORDER BY o_orderdate DESC, o_orderkey",
     "S11_newest": with_ctes("jobs", " SELECT id, created_at FROM jobs ORDER BY created_at DESC, id DESC LIMIT 10"),
     "K7_upsert": with_ctes("jobs", _DAILY + """
 , b AS (SELECT user_id, day, pages_used AS pages FROM daily WHERE conversions = 1 UNION ALL SELECT user_id, CAST(created_at AS DATE), page_count FROM jobs) SELECT user_id, day, CAST(sum(pages) AS BIGINT) AS pages FROM b GROUP BY 1, 2"""),

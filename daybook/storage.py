@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +30,20 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/daybook-{spark.sparkContext.applicationId}"
 
 
-_PATHS: list[str] = []
+class _Written(threading.local):
+    """The tables that this thread has written on its way: what runs in other threads is none of its business."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_HERE = _Written()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once and read back: what follows several times does not run again, and lost executors cost no earlier work."""
     path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    _PATHS.append(path)
+    _HERE.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,8 +65,8 @@ def save_files(files: DataFrame, folder: str) -> None:
 
 
 def written_paths() -> list[str]:
-    """All tables written on the way so far, in order."""
-    return list(_PATHS)
+    """All tables that this thread has written on its way so far, in order."""
+    return list(_HERE.paths)
 
 
 def remove_paths(spark: SparkSession, paths: list[str]) -> None:
@@ -66,10 +74,10 @@ def remove_paths(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        if path in _PATHS:
-            _PATHS.remove(path)
+        if path in _HERE.paths:
+            _HERE.paths.remove(path)
 
 
 def remove_written(spark: SparkSession) -> None:
-    """Delete all tables that were written on the way. No DataFrame built on them may be in use any more."""
+    """Delete all tables that this thread wrote on its way. No DataFrame built on them may be in use any more."""
     remove_paths(spark, written_paths())

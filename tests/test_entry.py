@@ -44,3 +44,21 @@ def test_written_tables_can_be_removed(spark):
     storage.remove_paths(spark, [one])
     assert second.count() == 7 and not Path(one.removeprefix("file:")).exists() and Path(two.removeprefix("file:")).exists()
     assert storage.written_paths()[-1] == two and one not in storage.written_paths()
+
+
+def test_threads_keep_their_tables(spark):
+    """What one thread removes is its own."""
+    import threading
+
+    mine = storage.written(spark.range(3), "mine")
+    seen = []
+
+    def other():
+        storage.written(spark.range(4), "other")
+        seen.append(storage.written_paths())
+        storage.remove_written(spark)
+
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    assert len(seen[0]) == 1 and "/other-" in seen[0][0] and mine.count() == 3

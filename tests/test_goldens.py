@@ -180,3 +180,12 @@ def test_records_of_a_page(spark):
     got = [(r["debit"], r["credit"], r["balance"]) for r in statements.of_text(lines).orderBy("row_index").collect()]
     assert got == [(Decimal("228.00"), 0, Decimal("46072.00")), (0, Decimal("3500.00"), Decimal("49572.00")), (0, Decimal("5500.00"), Decimal("55072.00"))]
     assert segment.parsed_records(segment.records(lines)).where("record = 2").first()["narration"].endswith("more text")
+
+
+def test_character_references(spark):
+    from daybook.functions.scalars import without_references
+
+    told = {"A &amp; B": "A & B", "&amp;lt;": "&lt;", "&#8377;5 &#x20B9;6 &#X41;": "₹5 ₹6 A", "&#128512;": "😀", "&quot;x&apos;&nbsp;y": "\"x' y", "& &; &x &unknown; &#; &#0; &#xD800; &#1114112;": "& &; &x &unknown; &#; &#0; &#xD800; &#1114112;", "": "", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in told] + [(None,)], "t string")
+    got = {r["t"]: r["x"] for r in df.select("t", without_references(df["t"]).alias("x")).collect()}
+    assert got == {**told, None: None}

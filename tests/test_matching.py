@@ -61,3 +61,40 @@ def test_containing_is_that_of_all_pairs(spark):
     got = {(r["needle"], r["text"]) for r in ledgers.containing(n, "needle", t, "text", 4).collect()}
     assert got == {(a, b) for a in needles for b in texts if a in b}
     assert ledgers.containing(n.limit(0), "needle", t, "text").count() == 0
+
+
+def _statement(spark):
+    narrations = ["ATM CASH WITHDRAWAL"] * 40 + ["UPI/446295445740/P2M/pay@okaxis/ABC TRADERS"] * 9 + ["NEFT/N123456/XYZ STEEL", "RANDOM OBSCURE PAYEE", None, "27ABCDE0003F1Z5 INVOICE", "SMS ALERT CHARGES", "PATANJALI STORE/1"] * 3
+    rows = [(1, i, n, 5 * (i % 2), 5 * (1 - i % 2)) for i, n in enumerate(narrations)]
+    tx = spark.createDataFrame(rows, "stmt_id int, row_index int, narration string, debit int, credit int")
+    chart = spark.createDataFrame([(1, "Abc Traders", None, None, "G"), (2, "Xyz Steel Pvt Ltd", None, None, "G"), (3, "Other", "27ABCDE0003F1Z5", "alias", "G"), (4, "Bank Charges", None, None, "G")], "ord int, name string, gstin string, alias string, grp string")
+    return tx, chart, spark.createDataFrame([(1, "patanjali", "Patanjali A/C")], "ord int, pattern string, ledger string")
+
+
+@pytest.mark.parametrize("most", [0, 5])
+def test_large_keys_take_another_way_to_the_same_ledgers(spark, monkeypatch, most):
+    """Narrations and parties with many rows are joined by a broadcast; every row keeps its place and its ledger."""
+    from daybook import keys
+
+    tx, chart, rules = _statement(spark)
+    plain = {r["row_index"]: r for r in ledgers.match(tx, chart, rules).collect()}
+    assert len(plain) == tx.count()
+    assert {plain[i]["ledger_name"] for i in range(40)} == {"Cash"}
+    by_text = {r["narration"]: r["ledger_name"] for r in plain.values()}
+    assert by_text["27ABCDE0003F1Z5 INVOICE"] == "Other" and by_text["PATANJALI STORE/1"] == "Patanjali A/C" and by_text[None] == "Suspense"
+    monkeypatch.setattr(keys, "HOT_ROWS", most)
+    again = {r["row_index"]: r for r in ledgers.match(tx, chart, rules).collect()}
+    assert again == plain
+
+
+def test_keys_of_any_size_are_joined(spark, monkeypatch):
+    from daybook import keys
+    from daybook.storage import written
+
+    left = spark.createDataFrame([(i % 5, i) for i in range(12)] + [(9, 99)], "k int, v int")
+    right = written(left.where("k < 9").groupBy("k").count(), "sizes")
+    for most in (0, 1, 3, 100):
+        monkeypatch.setattr(keys, "HOT_ROWS", most)
+        for how in ("inner", "left"):
+            got, want = keys.join_by_key(left, right, "k", "count", 13, how), left.join(right, "k", how)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
