@@ -9,6 +9,7 @@ wrote on its way.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -21,7 +22,16 @@ from daybook.llm.queries import tokenizer
 from daybook.storage import remove_paths, written_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_OF_LAST: list[str] = []
+
+
+class _Last(threading.local):
+    """Tables on the way of this thread's last stage."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_OF_LAST = _Last()
 
 
 def tidy(stage: Stage) -> Stage:
@@ -29,10 +39,10 @@ def tidy(stage: Stage) -> Stage:
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove_paths(spark, _OF_LAST)
+        remove_paths(spark, _OF_LAST.paths)
         before = len(written_paths())
         out = stage(spark, docs, sf_dir)
-        _OF_LAST[:] = written_paths()[before:]
+        _OF_LAST.paths = written_paths()[before:]
         return out
 
     return run_stage
@@ -68,8 +78,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens. Its tables stay, as its result is read from them."""
-    remove_paths(spark, _OF_LAST)
-    _OF_LAST.clear()
+    remove_paths(spark, _OF_LAST.paths)
+    _OF_LAST.paths = []
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
@@ -86,10 +96,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each one's result is written and read again."""
+    """All stages on ``documents``; each one's result is written and read again, and removed when the next one's is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{run_folder(spark)}/stages-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{name}")
+        docs = spark.read.parquet(path)
+        if before:
+            remove_paths(spark, [before])
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
