@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import join_by_key, whole_text, written
+from daybook.storage import save_files
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 LINES = b"\r\n\r\n"
@@ -277,19 +278,8 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(archives: DataFrame, folder: str) -> None:
-    """Each archive as a file of its name below ``folder`` (any place that pyarrow can write), moved there when it is whole, so a task may run again."""
-
-    def put(rows) -> None:
-        from pyarrow import fs
-
-        for row in rows:
-            store, base = fs.FileSystem.from_uri(folder)
-            store.create_dir(base)
-            with store.open_output_stream(part := f"{base}/.{row['archive']}-{uuid.uuid4().hex}") as out:
-                out.write(row["content"])
-            store.move(part, f"{base}/{row['archive']}")
-
-    archives.select("archive", "content").foreachPartition(put)
+    """Each archive as a file of its name below ``folder``, any place that pyarrow can write."""
+    save_files(archives.select(F.col("archive").alias("name"), "content"), folder)
 
 
 def page_records(pages: DataFrame, p: Warc = Warc()) -> DataFrame:

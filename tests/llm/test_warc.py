@@ -71,9 +71,9 @@ def test_odd_rows(spark):
 
 
 def test_large_keys_take_another_way(spark, monkeypatch):
-    from daybook.llm import common
+    from daybook import keys
 
-    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(keys, "HOT_ROWS", 1)
     rows = made(60, 3)
     assert of(warc.page_records(pages(spark, rows))) == plain(rows)
 
