@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from daybook.functions import entities
 from daybook.functions.scalars import normalize_ledger_name
 from daybook.keys import join_by_key
-from daybook.storage import written
+from daybook.storage import written_sized
 
 # Ledgers of statutory parties, and other names they go by.
 STATUTORY = ("Bank Charges", "Bank Interest Income", "Bank Interest Expense", "GST Input Tax Credit", "APY Contribution", "Clearing")
@@ -196,7 +196,7 @@ def narration_matches(narrations: DataFrame, ledgers: DataFrame) -> DataFrame:
 def _of_parties(facts: DataFrame, ledgers: DataFrame, rules: DataFrame) -> DataFrame:
     """Per party name of ``facts`` what its tiers need, and ``n_facts``: how many facts have it."""
     parties = facts.where(F.col("party_name").isNotNull()).groupBy("party_name").agg(F.count(F.lit(1)).alias("n_facts"))
-    parties = written(parties.withColumn("party_up", F.upper(F.trim("party_name"))).withColumn("party_norm", normalize_ledger_name(F.col("party_name"))), "party-names")
+    parties = written_sized(parties.withColumn("party_up", F.upper(F.trim("party_name"))).withColumn("party_norm", normalize_ledger_name(F.col("party_name"))), "party-names")
     by_party = rules.groupBy("pattern").agg(F.max_by("r_ledger", "r_ord").alias("rule_party")).withColumnRenamed("pattern", "party_up")
     names = candidates(parties.where(F.coalesce("party_norm", F.lit("")) != ""), ledgers)
     by_alias = ledgers.where(F.col("alias").isNotNull()).groupBy(normalize_ledger_name(F.col("alias")).alias("party_norm")).agg(F.max_by("name", "ord").alias("alias_ledger"))
@@ -206,7 +206,7 @@ def _of_parties(facts: DataFrame, ledgers: DataFrame, rules: DataFrame) -> DataF
     other = other.groupBy("party_name").agg(F.min_by("ledger", "place").alias("other_name"))
     for side, key in ((by_party, "party_up"), (names, "party_norm"), (by_alias, "party_norm"), (own, "party_norm"), (other, "party_name")):
         parties = parties.join(side, key, "left")
-    return written(parties.drop("party_up", "party_norm"), "party-tiers")
+    return written_sized(parties.drop("party_up", "party_norm"), "party-tiers")
 
 
 def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash") -> DataFrame:
@@ -219,16 +219,18 @@ def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash
     are resolved once for each of these, those of parties once per party, and one
     join takes them back to the transactions. A narration or party that holds a
     large share of them is joined by a bounded broadcast (``join_by_key``); what
-    has no party or tax number takes part in no join on it.
+    has no party or tax number takes part in no join on it. Nothing else that
+    grows with the input is broadcast (``written_sized``).
     """
-    tx, tax = written(tx, "transactions"), entities.gstin(F.col("narration"))  # read for the facts and for the join back
+    ledgers, rules = written_sized(ledgers, "ledgers"), written_sized(rules, "rules")
+    tx, tax = written_sized(tx, "transactions"), entities.gstin(F.col("narration"))  # read for the facts and for the join back
     facts = tx.groupBy("narration", (F.col("debit") > 0).alias("is_debit")).agg(F.count(F.lit(1)).alias("n_rows"))
     found = entities.party(F.col("narration"), F.col("is_debit"))
     is_cash = entities.cash_type(F.col("narration"), F.col("is_debit")).isNotNull() | (F.coalesce(F.upper(F.trim("party.name")), F.lit("")) == "CASH")
     # few bytes but much work a row: dealt to as many tasks as shuffles have, which adaptive execution would make one of
     facts = facts.repartition(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     facts = facts.withColumn("party", found).withColumn("is_cash", is_cash).withColumn("tax", tax).withColumn("fact", F.monotonically_increasing_id())
-    facts = written(facts.select("fact", "narration", "is_debit", "n_rows", F.upper("narration").alias("narration_up"), "party.name", "party.category", "is_cash", "tax").withColumnRenamed("name", "party_name"), "facts")
+    facts = written_sized(facts.select("fact", "narration", "is_debit", "n_rows", F.upper("narration").alias("narration_up"), "party.name", "party.category", "is_cash", "tax").withColumnRenamed("name", "party_name"), "facts")
 
     rule = rules.select(F.upper(F.trim("pattern")).alias("pattern"), F.col("ledger").alias("r_ledger"), F.col("ord").alias("r_ord"))
     said = containing(rule, "pattern", facts.select("narration_up"), "narration_up")
@@ -264,7 +266,7 @@ def match(tx: DataFrame, ledgers: DataFrame, rules: DataFrame, cash: str = "Cash
         F.struct("narration", "is_debit").alias("fact_key"), "n_rows", "party_name", "category",
         F.col("tier.ledger").alias("ledger_name"), F.col("tier.score").alias("mapping_confidence"), F.col("tier.status").alias("mapping_status"), listed.alias("candidates"),
     )
-    resolved = written(resolved.withColumn("fact_key", _key("fact_key.narration", "fact_key.is_debit")), "resolved")
+    resolved = written_sized(resolved.withColumn("fact_key", _key("fact_key.narration", "fact_key.is_debit")), "resolved")
     total = resolved.agg(F.sum("n_rows")).first()[0] or 0
     keyed = tx.withColumn("fact_key", _key("narration", F.col("debit") > 0))
     return join_by_key(keyed, resolved, "fact_key", "n_rows", total).drop("fact_key", "n_rows")

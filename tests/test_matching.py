@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.operators import ledgers
 
@@ -98,3 +99,17 @@ def test_keys_of_any_size_are_joined(spark, monkeypatch):
         for how in ("inner", "left"):
             got, want = keys.join_by_key(left, right, "k", "count", 13, how), left.join(right, "k", how)
             assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """A file of few bytes may hold many rows; what is made of it on the way is joined by sorting, unless it is small."""
+    from daybook import storage
+
+    rows = spark.range(storage.BROADCAST_ROWS + 1).selectExpr("id", "'the same text again and again' AS text")
+    joins = lambda side: spark.range(10).join(side, "id")._jdf.queryExecution().sparkPlan().toString()
+    few, many = storage.written_sized(rows.limit(9), "few"), storage.written_sized(rows, "many")
+    assert "Broadcast" in joins(few) and "Broadcast" not in joins(many.where("id > 5").groupBy("id").count())
+    assert "Broadcast" in spark.range(10**6).join(F.broadcast(many.where("id < 5")), "id")._jdf.queryExecution().sparkPlan().toString()
+    plain = {r["row_index"]: r for r in ledgers.match(*_statement(spark)).collect()}
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert {r["row_index"]: r for r in ledgers.match(*_statement(spark)).collect()} == plain
