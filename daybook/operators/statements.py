@@ -9,7 +9,7 @@ from daybook.functions.entities import cash_type, instrument_number
 from daybook.functions.scalars import clean_narration, normalize_amount, normalize_date
 from daybook.operators import balance, blocks, detect, directions, ledgers, segment, vouchers
 from daybook.operators.directions import MONEY
-from daybook.storage import written
+from daybook.storage import written_sized
 
 # A transaction's line as each bank prints it, and which group holds what.
 BANK_LINES = {
@@ -94,9 +94,9 @@ def convert(lines: DataFrame, tables: DataFrame, chart: DataFrame, rules: DataFr
     firsts = lines.where("page_number = 1").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("first_page"))
     banks = detect.winners(firsts, detect.scores(firsts, signatures)).select(F.col("doc_id").alias("stmt_id"), "bank_name", "parser_key", "tier")
     tx = table_first(of_tables(segment.table_rows(tables)), of_text(lines), "stmt_id").withColumn("opening", F.lit(None).cast(MONEY))
-    ordered = balance.in_chronology(written(tx, "transactions"))
+    ordered = balance.in_chronology(written_sized(tx, "transactions"))
     tx = ordered.select("stmt_id", F.col("new_index").alias("row_index"), "tx_date", "narration", "reference", "debit", "credit", "balance", "source_page", "source", F.col("new_opening").alias("opening"))
-    audited = written(balance.audit(tx), "audited")
+    audited = written_sized(balance.audit(tx), "audited")
     matched = ledgers.match(audited, chart, rules)
     typed = matched.withColumn("voucher_type", vouchers.voucher_type(F.col("narration"), F.col("debit"), F.col("credit")))
     number = instrument_number(F.col("narration"), F.col("reference"))
