@@ -138,6 +138,7 @@ def trailing_counts(events: DataFrame, seconds: int = 600) -> DataFrame:
 def admitted(events: DataFrame, seconds: int = 600, most: int = 3, cooldown: int = 60) -> DataFrame:
     """Whether each request is let through: fewer than ``most`` admitted ones in the ``seconds`` before it, the last of them at least ``cooldown`` ago.
 
+    Times count in whole seconds, fractions dropped, as in ``trailing_counts``.
     Refused requests are not counted, so each verdict depends on those before
     it. A pause of ``seconds`` forgets them all, so a user's requests fall into
     independent sessions: these are spread over tasks, and each is read in order

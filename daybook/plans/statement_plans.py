@@ -184,7 +184,7 @@ SELECT id, CASE WHEN id % 6 = 0 THEN 'REJECTED' WHEN id % 3 = 0 THEN 'APPROVED'
   CASE WHEN id % 6 = 0 THEN concat('REJECTED ', id) WHEN id % 3 = 0 THEN concat('APPROVED ', id) ELSE 'new' END AS notes, CASE WHEN id % 3 = 0 THEN 'admin' END AS approved_by, CASE WHEN id % 3 = 0 AND id % 6 <> 0 THEN 1 END AS approved_at,
   CASE WHEN id % 6 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS updated_at FROM jobs"""),
     "T4_admission": """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS n FROM events),
+WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS n FROM events),
 w(user_id, event_id, n, is_admitted, times) AS (
   SELECT user_id, event_id, n, true, [s] FROM e WHERE n = 1
   UNION ALL SELECT e.user_id, e.event_id, e.n, q.yes, CASE WHEN q.yes THEN list_append(q.kept, e.s) ELSE q.kept END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1,

@@ -60,3 +60,17 @@ def test_admission_is_a_fold(spark):
         yes = len(times) < 3 and not (times and s - times[-1] < 60)
         history[user] = [*history.get(user, []), s] if yes else history.get(user, [])
         assert got[i] == yes
+
+
+def test_admission_and_its_sql_drop_fractions_of_seconds(spark, tmp_path):
+    import duckdb
+
+    from daybook.plans.statement_plans import ORACLES
+
+    at = [0.6, 60.2, 130.5, 190.4, 700.7, 760.5]
+    spark.createDataFrame([(1, i, s) for i, s in enumerate(at)], "user_id long, event_id long, s double").select("user_id", "event_id", F.expr("timestamp_micros(cast(s * 1000000 as long))").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events")
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT user_id, event_id, ts::TIMESTAMP AS ts FROM read_parquet('{tmp_path}/events/*.parquet')")
+    want = dict((i, yes) for _, i, yes in con.execute(ORACLES["T4_admission"]).fetchall())
+    assert {r["event_id"]: r["is_admitted"] for r in usage.admitted(spark.read.parquet(f"{tmp_path}/events")).collect()} == want
+    assert want[1]  # seconds 0 and 60; rounded, 1 and 60
