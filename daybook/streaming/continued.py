@@ -11,9 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +23,9 @@ _AMOUNTS = ("debit", "credit", "balance", "opening")
 _MADE = ("opening_known", "previous_balance")
 _OUT = "stmt_id long, row_index int, tx_date date, debit long, credit long, balance long, opening long, opening_known long, previous_balance long, is_late boolean"
 
+#: A row of ``_OUT``.
+Told = Row(*[x.split()[0] for x in _OUT.split(", ")])
+
 
 class Balances(StatefulProcessor):
     def __init__(self, forget_ms: int | None) -> None:
@@ -33,39 +34,44 @@ class Balances(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("balance", "opening long, now long, last long", self.forget_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get()
-        pdf = in_order(rows, ["row_index"])
-        late = pdf["row_index"].to_numpy() <= held[2] if held else np.zeros(len(pdf), bool)
-        amount = {c: pdf[c].astype("float64").to_numpy() for c in _AMOUNTS}  # whole numbers below 2^53
-        known, now = (np.nan if x is None else float(x) for x in held[:2]) if held else (np.nan, np.nan)
-        due = np.flatnonzero(~late)
-        previous = np.full(len(pdf), np.nan)
-        if len(due):
-            d, c, b = (amount[x][due] for x in ("debit", "credit", "balance"))
-            if held is None:
-                first = b[0] - c[0] if c[0] > 0 else b[0] + d[0]
-                known = now = amount["opening"][due[0]] if not np.isnan(amount["opening"][due[0]]) else first
-            moved = np.cumsum(c - d)
-            anchors = pd.Series(b - moved).ffill().to_numpy()
-            before = np.concatenate([[np.nan], anchors[:-1]])
-            previous[due] = moved - (c - d) + np.where(np.isnan(before), now, before)
-            now = moved[-1] + (now if np.isnan(anchors[-1]) else anchors[-1])
-            whole = lambda x: None if np.isnan(x) else int(round(x))
-            self.state.update((whole(known), whole(now), int(pdf["row_index"].iloc[due[-1]])))
-        number = lambda x: pd.array(np.where(np.isnan(x), 0, x).round().astype("int64"), "Int64").copy()
-        out = pdf[["stmt_id", "row_index", "tx_date"]].copy()
-        for name, values in {**amount, "opening_known": np.where(late, np.nan, known), "previous_balance": previous}.items():
-            out[name] = number(values)
-            out.loc[np.isnan(values), name] = pd.NA
-        yield out.assign(is_late=late)
+        known, now, last = held if held else (None, None, None)
+        moved, anchor, due = 0, None, False  # movement in this batch; the last printed balance less the movement up to it
+        for r in in_order(rows, ["row_index"]):
+            told = (*key, r.row_index, r.tx_date, r.debit, r.credit, r.balance, r.opening)
+            if held and r.row_index <= held[2]:
+                yield Told(*told, None, None, True)
+                continue
+            if held is None and not due:
+                known = now = r.opening if r.opening is not None else _opening_of(r)
+            due, last = True, r.row_index
+            before = now if anchor is None else anchor
+            previous = _plus(moved, before)
+            moved = _plus(moved, None if r.debit is None or r.credit is None else r.credit - r.debit)
+            yield Told(*told, known, None if moved is None else previous, False)
+            if moved is not None and r.balance is not None:
+                anchor = r.balance - moved
+        if due:
+            self.state.update((known, _plus(moved, now if anchor is None else anchor), last))
+
+
+def _plus(a: int | None, b: int | None) -> int | None:
+    return None if a is None or b is None else a + b
+
+
+def _opening_of(first: Row) -> int | None:
+    """The balance before the first row, from the balance printed after it."""
+    if first.credit is not None and first.credit > 0:
+        return _plus(first.balance, -first.credit)
+    return _plus(first.balance, first.debit)
 
 
 def continued_audit(rows: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """The audit of a stream of ``ROWS``, appended batch by batch. ``is_late`` rows have no verdict. ``forget_ms``: a statement without new rows for so long is forgotten."""
     cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
     stream = rows.select("stmt_id", "row_index", "tx_date", *[cents(c) for c in _AMOUNTS])
-    carried = stream.groupBy("stmt_id").transformWithStateInPandas(Balances(forget_ms), _OUT, "Append", "ProcessingTime" if forget_ms else "None")
+    carried = stream.groupBy("stmt_id").transformWithState(Balances(forget_ms), _OUT, "Append", "ProcessingTime" if forget_ms else "None")
     money = lambda c: (F.col(c).cast("decimal(18,0)") / 100).cast(balance.MONEY).alias(c)
     told = carried.select("stmt_id", "row_index", "tx_date", "is_late", *[money(c) for c in (*_AMOUNTS, *_MADE)])
     columns = ["stmt_id", "row_index", "tx_date", "is_late", *_AMOUNTS]
