@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +11,29 @@ from daybook.operators import vouchers
 from daybook.plans import voucher_plans
 from daybook.sources import pdf, workbook
 from daybook.sources.fixtures import relation, with_ctes
-from daybook.storage import run_folder, save_files
+from daybook.storage import run_folder, save_archives
+
+
+#: Bytes of an archive of files, and about those of a task that reads them.
+ARCHIVE = 4 << 20
 
 
 def printed_files(spark: SparkSession, sf_dir: str) -> str:
-    """Every statement as a file of its pages; returns the folder."""
+    """Every statement as a file of its pages, in archives; returns the folder."""
     line = relation(spark, sf_dir, "lines")
     in_order = lambda c, of: F.transform(F.array_sort(F.collect_list(F.struct(c, of))), lambda x: x[of])
     pages = line.groupBy("doc_id", "page_number").agg(in_order("line_no", "line").alias("page"))
     whole = pages.groupBy("doc_id").agg(in_order("page_number", "page").alias("pages"))
 
-    def made(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in lists:
-            yield batch.map(lambda of: pdf.document_of([list(page) for page in of]))
-
     folder = f"{run_folder(spark)}/statements-{uuid.uuid4().hex}"
-    content = F.pandas_udf(made, "binary")(F.col("pages"))
-    save_files(whole.select(F.format_string("statement-%d.pdf", "doc_id").alias("name"), content.alias("content")), folder)
+    named = whole.select(F.format_string("statement-%d.pdf", "doc_id").alias("name"), "pages")
+    save_archives(named, folder, lambda row: pdf.document_of(row["pages"]), ARCHIVE)
     return folder
 
 
 def _pages(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     pdf.register(spark)
-    read = spark.read.format("statement_pages").options(path=printed_files(spark, sf_dir), **options).load()
+    read = spark.read.format("statement_pages").options(path=printed_files(spark, sf_dir), task_bytes=ARCHIVE + (1 << 20), **options).load()
     return read.withColumn("doc_id", F.regexp_extract("path", r"statement-([0-9]+)\.pdf$", 1).cast("long"))
 
 

@@ -3,7 +3,8 @@
 One row a page: its number, lines and status. Files are dealt to tasks by size:
 small files are put together, a large one is split into ranges of pages, which
 each task cuts from the page count that it finds in the file, so the driver lists
-names and sizes and opens no file. Filters on ``page_number`` and ``path`` are
+names and sizes and opens no file. A zip archive of files is one file to list,
+and is split by its members. Filters on ``page_number`` and ``path`` are
 pushed down: pages beyond them are not read. A file that can't be read is one
 row with a status and no page, not an error.
 
@@ -15,6 +16,8 @@ that pyarrow can open), ``task_bytes`` (16 MiB), ``most_bytes`` (25 MiB),
 from __future__ import annotations
 
 import math
+import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -22,6 +25,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from daybook.sources.pdf_objects import Broken, Document, Locked
+from daybook.storage import archived
 
 SCHEMA = "path string, page_number int, n_pages int, lines array<string>, n_chars int, status string"
 NO_END = 1 << 31
@@ -128,9 +132,10 @@ class PageReader(DataSourceReader):
     def partitions(self) -> list[Task]:
         tasks, held, size = [], [], 0
         for path, n in self._files():
-            if self.wanted.paths is not None and path not in self.wanted.paths:
+            archive = path.endswith(".zip")
+            if self.wanted.paths is not None and path not in self.wanted.paths and not (archive and any(p.startswith(f"{path}/") for p in self.wanted.paths)):
                 continue
-            parts = 1 if self.header_pages < NO_END or n > self.most_bytes else max(1, math.ceil(n / self.task_bytes))
+            parts = 1 if not archive and (self.header_pages < NO_END or n > self.most_bytes) else max(1, math.ceil(n / self.task_bytes))
             if parts > 1:
                 tasks += [Task((Share(path, k, parts),)) for k in range(parts)]
                 continue
@@ -146,6 +151,9 @@ class PageReader(DataSourceReader):
 
         for share in partition.shares:
             store, base = fs.FileSystem.from_uri(share.path) if "://" in share.path or share.path.startswith("file:") else (fs.LocalFileSystem(), share.path)
+            if share.path.endswith(".zip"):
+                yield from self._members(store, base, share)
+                continue
             if store.get_file_info(base).size > self.most_bytes:
                 if not self.wanted.pages_only:
                     yield share.path, None, None, [], 0, "TOO_LARGE"
@@ -155,6 +163,30 @@ class PageReader(DataSourceReader):
             yield from pages_of(data, share, self.wanted, self.most_pages, self.header_pages)
 
 
+    def _members(self, store, base: str, share: Share) -> Iterator[tuple]:
+        """The rows of an archive's share of files, whose paths go on from the archive's."""
+        with store.open_input_file(base) as stream:
+            try:
+                book = zipfile.ZipFile(stream)
+                held = list(archived(book))
+            except zipfile.BadZipFile:
+                if share.part == 0 and not self.wanted.pages_only:
+                    yield share.path, None, None, [], 0, "BROKEN"
+                return
+            for x in held[len(held) * share.part // share.parts : len(held) * (share.part + 1) // share.parts]:
+                path = f"{share.path}/{x.filename}"
+                if self.wanted.paths is not None and path not in self.wanted.paths:
+                    continue
+                try:
+                    data = None if x.file_size > self.most_bytes else book.read(x)
+                except (zipfile.BadZipFile, zlib.error, EOFError):
+                    data = b"?"  # told as broken
+                if data is not None:
+                    yield from pages_of(data, Share(path, 0, 1), self.wanted, self.most_pages, self.header_pages)
+                elif not self.wanted.pages_only:
+                    yield path, None, None, [], 0, "TOO_LARGE"
+
+
 class StatementPages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -179,8 +211,6 @@ def _escaped(text: str) -> bytes:
 
 def document_of(pages: list[list[str]], fan: int = 8) -> bytes:
     """A plain file of the given pages' lines, in a balanced page tree: the form in which statements are handed on and tested."""
-    import zlib
-
     objects: list[bytes] = [b"", b"", b"<</Type/Font/Subtype/Type1/BaseFont/Courier/Encoding/WinAnsiEncoding>>"]
 
     def add(body: bytes) -> int:
