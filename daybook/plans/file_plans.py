@@ -61,7 +61,7 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement's sheet written as a workbook and read again: the cells as texts."""
     sheet = vouchers.sheet(voucher_plans.vouched(spark, sf_dir))
     folder = f"{run_folder(spark)}/workbooks-{uuid.uuid4().hex}"
-    workbook.save_workbooks(spark, workbook.in_workbooks(sheet, "statement", "stmt_id", "VOUCHER NO."), folder)
+    workbook.save_workbooks(spark, workbook.in_workbooks(sheet, "statement", "stmt_id", "VOUCHER NO."), folder, ARCHIVE)
     rows = workbook.read_workbooks(spark, folder).where("row > 1")
     cell = lambda k: F.get("cells", F.lit(k))
     day = lambda k: F.date_add(F.lit("1899-12-30").cast("date"), cell(k).cast("int"))

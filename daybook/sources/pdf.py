@@ -169,7 +169,7 @@ class PageReader(DataSourceReader):
             try:
                 book = zipfile.ZipFile(stream)
                 held = list(archived(book))
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, ValueError):  # pyarrow tells a file too short to seek in as a wrong value
                 if share.part == 0 and not self.wanted.pages_only:
                     yield share.path, None, None, [], 0, "BROKEN"
                 return

@@ -6,12 +6,15 @@ files of at most ``sheet_rows`` rows, so no file outgrows a sheet or a task).
 Tasks write whole files into a folder of the write's own; they get their names
 when all tasks are done, and the folder is dropped if one fails for good, so a
 reader never finds part of a file. A task holds one sheet's rows, deflated.
+With ``.option("archive_bytes", n)`` the files are put into zip archives of some
+``n`` bytes, as no driver can name or list millions of small files.
 """
 
 from __future__ import annotations
 
 import datetime
 import decimal
+import hashlib
 import io
 import re
 import uuid
@@ -22,17 +25,21 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from daybook.storage import Archives, archived
+
 #: Rows below the header that a sheet can hold.
 SHEET_ROWS = 1_048_575
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _TYPES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _DAY_ZERO = datetime.date(1899, 12, 30)
+_LETTERS = tuple(chr(65 + k) for k in range(26))
 _NO_TEXT = re.compile("[^\\t\\n\\r\\x20-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]")
 #: Styles by number: plain, header, date, amount, text.
 PLAIN, HEADER, DATE, AMOUNT, TEXT = range(5)
@@ -79,7 +86,7 @@ class Sheet:
         for k, v in enumerate(values):
             if v is None:
                 continue
-            at = f"{letters(k)}{self.n}"
+            at = f"{_LETTERS[k] if k < 26 else letters(k)}{self.n}"
             if isinstance(v, datetime.date):
                 cell, shown = f'<c r="{at}" s="{DATE}"><v>{(v - _DAY_ZERO).days}</v></c>', 9
             elif isinstance(v, (decimal.Decimal, float)):
@@ -116,12 +123,15 @@ class Sheet:
 
 @dataclass
 class Made(WriterCommitMessage):
+    """Files with the names that they get; of files in archives eight bytes a name, which tell whether one lies in several tasks."""
+
     files: list[tuple[str, str]]
+    archived: bytes = b""
 
 
 class BookWriter(DataSourceWriter):
-    def __init__(self, folder: str, columns: list[str]) -> None:
-        self.folder, self.columns, self.run = folder, columns, uuid.uuid4().hex
+    def __init__(self, folder: str, columns: list[str], archive_bytes: int = 0) -> None:
+        self.folder, self.columns, self.archive_bytes, self.run = folder, columns, archive_bytes, uuid.uuid4().hex
 
     def _store(self):
         from pyarrow import fs
@@ -132,9 +142,15 @@ class BookWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Made:
         store, _, temporary = self._store()
         store.create_dir(temporary)
-        made, name, sheet = [], None, None
+        made, name, sheet, seen = [], None, None, set()
+        archives = Archives(store, temporary, self.archive_bytes) if self.archive_bytes else None
 
         def close() -> None:
+            seen.add(name)
+            if archives:
+                sheet.write(out := io.BytesIO())
+                archives.add(name, out.getvalue())
+                return
             part = f"{temporary}/{uuid.uuid4().hex}"
             with store.open_output_stream(part, compression=None) as out:
                 sheet.write(out)
@@ -144,7 +160,7 @@ class BookWriter(DataSourceWriter):
             if row[0] != name:
                 if sheet is not None:
                     close()
-                if any(row[0] == n for _, n in made):
+                if row[0] in seen:
                     raise ValueError(f"the rows of {row[0]} do not lie together")
                 name, sheet = row[0], Sheet(self.columns[1:])
             sheet.add(row[1:])
@@ -152,12 +168,17 @@ class BookWriter(DataSourceWriter):
                 raise ValueError(f"{name} has more rows than a sheet can hold")
         if sheet is not None:
             close()
+        if archives:
+            archives.close()
+            marks = b"".join(hashlib.blake2b(n.encode(), digest_size=8).digest() for n in seen)
+            return Made([(path, path.rpartition("/.")[2]) for path in archives.paths], marks)
         return Made(made)
 
     def commit(self, messages: list[Made | None]) -> None:
         store, base, temporary = self._store()
         files = [f for m in messages if m for f in m.files]
-        if len({n for _, n in files}) < len(files):
+        marks = np.frombuffer(b"".join(m.archived for m in messages if m), "u8")
+        if len({n for _, n in files}) < len(files) or len(np.unique(marks)) < len(marks):
             self.abort(messages)
             raise ValueError("the rows of a file lie in several tasks")
         for part, name in files:
@@ -178,7 +199,7 @@ class VoucherWorkbook(DataSource):
         return "voucher_workbook"
 
     def writer(self, schema, overwrite: bool) -> BookWriter:
-        return BookWriter(self.options["path"], schema.names)
+        return BookWriter(self.options["path"], schema.names, int(self.options.get("archive_bytes", 0)))
 
 
 def in_workbooks(sheet: DataFrame, stem: str, group: str, order: str, sheet_rows: int = 1_000_000) -> DataFrame:
@@ -189,37 +210,56 @@ def in_workbooks(sheet: DataFrame, stem: str, group: str, order: str, sheet_rows
     return named.repartition("file").sortWithinPartitions("file", F.col(f"`{order}`"))
 
 
-def save_workbooks(spark: SparkSession, dealt: DataFrame, folder: str) -> None:
+def save_workbooks(spark: SparkSession, dealt: DataFrame, folder: str, archive_bytes: int = 0) -> None:
     spark.dataSource.register(VoucherWorkbook)
-    dealt.write.format("voucher_workbook").mode("append").save(folder)
+    dealt.write.format("voucher_workbook").option("archive_bytes", archive_bytes).mode("append").save(folder)
+
+
+_ROW, _VALUE, _TEXT = (f"{{{_MAIN}}}{tag}" for tag in ("row", "v", "t"))
 
 
 def cells_of(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
     """(row number, texts of its cells) of a workbook's first sheet, numbers as they are stored."""
     with zipfile.ZipFile(io.BytesIO(content)) as book, book.open("xl/worksheets/sheet1.xml") as stream:
         for _, row in ElementTree.iterparse(stream):
-            if row.tag != f"{{{_MAIN}}}row":
+            if row.tag != _ROW:
                 continue
             out: list[str | None] = []
             for c in row:
                 at = 0
-                for x in re.match("[A-Z]+", c.get("r"))[0]:
+                for x in c.get("r").rstrip("0123456789"):
                     at = at * 26 + ord(x) - 64
                 out += [None] * (at - len(out))
-                found = c.find(f"{{{_MAIN}}}v")
-                out[at - 1] = found.text if found is not None else "".join(t.text or "" for t in c.iter(f"{{{_MAIN}}}t"))
+                found = c.find(_VALUE)
+                out[at - 1] = found.text if found is not None else "".join(t.text or "" for t in c.iter(_TEXT))
             yield int(row.get("r")), out
             row.clear()
 
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, row, cells) of every workbook in a folder."""
+    """(file, row, cells) of every workbook in a folder, in archives or by itself."""
+    form = pa.schema([("file", pa.string()), ("row", pa.int32()), ("cells", pa.list_(pa.string()))])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = list(cells_of(bytes(content)))
-                yield pd.DataFrame({"file": path.rpartition("/")[2], "row": [n for n, _ in found], "cells": [c for _, c in found]})
+    def books(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+            if not path.endswith(".zip"):
+                yield path.rpartition("/")[2], content.as_py()
+                continue
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as held:
+                for x in archived(held):
+                    yield x.filename, held.read(x)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
-    return files.mapInPandas(rows, "file string, row int, cells array<string>")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for name, content in books(batch):
+                for n, cells in cells_of(content):
+                    found.append((name, n, cells))
+                    if len(found) == 10_000:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found, strict=True), form.types, strict=True)], form)
+                        found = []
+            if found:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found, strict=True), form.types, strict=True)], form)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,zip}").load(folder).select("path", "content")
+    return files.mapInArrow(rows, "file string, row int, cells array<string>")

@@ -3,10 +3,12 @@
 import zipfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from daybook.plans import file_plans
-from daybook.sources import pdf
+from daybook.sources import pdf, workbook
+from daybook.sources.workbook import BookWriter, cells_of
 from daybook.storage import save_archives
 
 
@@ -57,3 +59,41 @@ def test_odd_archives(spark, tmp_path):
         book.writestr("fine.pdf", pages_for({"id": 1}))
     got = sorted((r["path"].rpartition("/")[2], r["status"]) for r in read(spark, tmp_path, most_bytes=4000).collect())
     assert got == [("empty.pdf", "EMPTY"), ("fine.pdf", "OK"), ("fine.pdf", "OK"), ("fine.pdf", "OK"), ("large.pdf", "TOO_LARGE"), ("no.zip", "BROKEN")]
+
+
+def test_workbooks_in_archives(spark, tmp_path):
+    sheet = spark.range(300).selectExpr("id DIV 3 AS stmt_id", "CAST(id % 3 + 1 AS INT) AS no", "concat('n', id) AS name")
+    workbook.save_workbooks(spark, workbook.in_workbooks(sheet, "s", "stmt_id", "no"), str(tmp_path), archive_bytes=50_000)
+    made = list(tmp_path.iterdir())
+    held = {n: zipfile.ZipFile(p).read(n) for p in made for n in zipfile.ZipFile(p).namelist()}
+    assert len(made) < 20 and len(held) == sum(len(zipfile.ZipFile(p).namelist()) for p in made) == 100
+    assert list(cells_of(held["s-7.xlsx"]))[0] == (1, ["no", "name"])
+    back = sorted((r["file"], r["row"], tuple(r["cells"])) for r in workbook.read_workbooks(spark, str(tmp_path)).where("row > 1").collect())
+    assert back == sorted((f"s-{k // 3}.xlsx", k % 3 + 2, (str(k % 3 + 1), f"n{k}")) for k in range(300))
+
+
+def test_rows_that_lie_apart_are_refused_in_archives(tmp_path):
+    writer = BookWriter(str(tmp_path), ["file", "no"], 1000)
+    with pytest.raises(ValueError, match="together"):
+        writer.write(iter([("a", 1), ("b", 1), ("a", 2)]))
+    one, two = (writer.write(iter([("a", k)])) for k in (1, 2))
+    with pytest.raises(ValueError, match="several tasks"):
+        writer.commit([one, two, None])
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_many_files_in_a_task(tmp_path):
+    """Whether a name was there is looked up, not searched for: 20,000 files took 200 million comparisons."""
+
+    class Name(str):
+        compared = 0
+
+        def __eq__(self, other):
+            Name.compared += 1
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    writer = BookWriter(str(tmp_path), ["file", "no"], 1 << 20)
+    writer.write((Name(f"f{k}"), 1) for k in range(500))
+    assert Name.compared < 5000
