@@ -40,11 +40,13 @@ def normalize_amount(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)rs\.?", "")
     t = F.regexp_replace(t, r"(?i)\b(?:INR|Overdraft)\b", "")
     t = F.trim(F.replace(t, F.lit(","), F.lit("")))
-    wrapped = t.startswith("(") & t.endswith(")")
-    inner = F.when(wrapped, F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
-    bare = F.trim(F.regexp_replace(inner, r"(?i)\(?\s*(?:CR|DR)\.?\)?$", ""))
-    value = bare.try_cast(MONEY)
-    return F.coalesce(F.when(wrapped, -F.abs(value)).otherwise(value), F.lit(0).cast(MONEY)).cast(MONEY)
+    wrapped = lambda t: t.startswith("(") & t.endswith(")")
+    inner = lambda t: F.when(wrapped(t), F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
+    value = lambda t: F.trim(F.regexp_replace(inner(t), r"(?i)\(?\s*(?:CR|DR)\.?\)?$", "")).try_cast(MONEY)
+    # Each step is the variable of the next one, so no pattern is tried once for each use of its result.
+    told = F.transform(F.array(t), lambda t: F.struct(wrapped(t).alias("wrapped"), value(t).alias("value")))
+    signed = F.transform(told, lambda x: F.when(x["wrapped"], -F.abs(x["value"])).otherwise(x["value"]))[0]
+    return F.coalesce(signed, F.lit(0).cast(MONEY)).cast(MONEY)
 
 
 def collapsed(text: Column) -> Column:

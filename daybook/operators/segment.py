@@ -7,6 +7,9 @@ lines numbers the records, so no row-by-row state is needed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,8 +123,11 @@ def amount_tokens(text: Column) -> Column:
     """struct(amounts, words): tokens with a digit and a point or comma that are numbers without commas and Cr/Dr; the others."""
     tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
     bare = lambda t: F.regexp_replace(F.replace(t, F.lit(","), F.lit("")), "Cr|Dr|CR|DR", "")
-    value = lambda t: F.when(t.rlike("[0-9]") & (bare(t).contains(".") | t.contains(",")) & bare(t).rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), bare(t).try_cast(MONEY))
-    return F.struct(F.array_compact(F.transform(tokens, value)).alias("amounts"), F.array_join(F.filter(tokens, lambda t: value(t).isNull()), " ").alias("words"))
+    told = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.when(t.rlike("[0-9]") & (t.contains(".") | t.contains(",")), bare(t)).alias("b")))
+    number = lambda x: F.when(x["b"].rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), x["b"].try_cast(MONEY))
+    valued = F.transform(told, lambda x: F.struct(x["t"].alias("t"), number(x).alias("v")))
+    # As the variable of a function the values are made once, not once for each use.
+    return F.transform(F.array(valued), lambda a: F.struct(F.array_compact(F.transform(a, lambda x: x["v"])).alias("amounts"), F.array_join(F.transform(F.filter(a, lambda x: x["v"].isNull()), lambda x: x["t"]), " ").alias("words")))[0]
 
 
 def parsed_records(found: DataFrame) -> DataFrame:
@@ -172,7 +178,10 @@ def table_rows(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("page_number", "row_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     clean = rows.withColumn("cells", F.transform("cells", lambda c: collapsed(F.coalesce(c, F.lit(""))))).withColumn("row_text", F.array_join(F.filter("cells", lambda c: c != ""), " "))
-    told = clean.where(~is_noise(F.col("row_text"))).withColumn("own", header_roles(F.col("cells")))
+    # Few rows hold a word for the date, which every header has; only these are tried for all roles.
+    dates = [w for w in ROLES[0][1] if not any(v != w and v in w for v in ROLES[0][1])]
+    may = reduce(or_, [F.upper("row_text").contains(w) for w in dates])
+    told = clean.where(~is_noise(F.col("row_text"))).withColumn("own", F.when(may, header_roles(F.col("cells"))))
     mapped = told.withColumn("roles", F.last("own", ignorenulls=True).over(so_far)).where("own IS NULL AND roles IS NOT NULL")
     cell = lambda role: F.coalesce(F.get("cells", F.element_at("roles", F.lit(role))), F.lit(""))
     mapped = mapped.withColumn("date_text", F.regexp_extract(cell("date"), _CELL_DATE, 1)).withColumn("more", (F.col("date_text") == "") & (cell("date") != ""))

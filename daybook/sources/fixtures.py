@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from daybook.storage import written
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents")
 
 _TX_ROWS = """
@@ -239,7 +241,10 @@ def with_ctes(names: tuple[str, ...] | str, sql: str) -> str:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived relation as a DataFrame."""
+    """One derived relation as a DataFrame. Lines are made of six parts of the narrated rows, which are written once for all of them."""
+    if name == "lines":
+        narrated = relation(spark, sf_dir, "narrated").select("stmt_id", "k", "row_index", "tx_date", "narration", "debit", "credit", "balance")
+        return spark.sql(_LINES.replace("FROM narrated", "FROM {narrated}"), narrated=written(narrated, "narrated"))
     sql = f"WITH {ctes(name)} SELECT * FROM {name}"
     used = [t for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql]
     frames = {f"t_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
