@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.scalars import clean_narration, collapsed, extract_reference, normalize_date
 from daybook.operators.directions import MONEY
+from daybook.storage import written
 
 # Beginnings of lines that belong to no record.
 NOISE_LINES = (
@@ -254,16 +255,26 @@ def authorized(rows: DataFrame, pages: int, col: str = "source_page") -> DataFra
 
 
 def page_diagnostics(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Per page: dated lines, extracted records, and up to five dated lines beyond that number that no record holds."""
+    """Per page: dated lines, extracted records, and up to five dated lines beyond that number that no record holds.
+
+    Pages are counted first. Only those with more dated lines than records can
+    have such lines, so only their lines are compared with the records' lines.
+    """
     dated = F.trim("line").rlike(r"^\s*[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b")
-    per_page = found.groupBy("doc_id", "page_number").agg(F.count(F.lit(1)).alias("extracted"))
-    held = found.select("doc_id", "page_number", F.explode("source_lines").alias("held")).select("doc_id", "page_number", F.trim("held").alias("held")).distinct()
-    w = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("dated", dated).withColumn("n", F.sum(F.col("dated").cast("int")).over(w)).join(per_page, ["doc_id", "page_number"], "left")
-    got = F.coalesce("extracted", F.lit(0))
-    matched = marked.join(held.withColumn("is_held", F.lit(True)), (marked["doc_id"] == held["doc_id"]) & (marked["page_number"] == held["page_number"]) & (F.trim(marked["line"]) == held["held"]), "left")
-    loose = F.when(F.col("dated") & F.col("is_held").isNull() & (F.col("n") > got), F.struct("line_no", F.substring(F.trim("line"), 1, 120).alias("t")))
-    return matched.groupBy(marked["doc_id"], marked["page_number"]).agg(
-        F.greatest(F.count_if("dated"), F.max(got)).alias("detected"), F.max(got).alias("extracted"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(loose)), 1, 5), lambda x: x["t"]), "|").alias("unparsed"),
-    )
+    marked, page = lines.withColumn("dated", dated), ["doc_id", "page_number"]
+    per_page = found.groupBy(*page).agg(F.count(F.lit(1)).alias("got"))
+    counts = marked.groupBy(*page).agg(F.count_if("dated").alias("n_dated")).join(per_page, page, "left")
+    counts = written(counts.select(*page, "n_dated", F.coalesce("got", F.lit(0)).alias("got")), "page-counts")
+    detected, extracted = F.greatest("n_dated", "got").alias("detected"), F.col("got").alias("extracted")
+    over = counts.where("n_dated > got").select(F.col("doc_id").alias("o_doc"), F.col("page_number").alias("o_page"), F.col("got").alias("o_got"))
+    if over.isEmpty():
+        return counts.select(*page, detected, extracted, F.lit("").alias("unparsed"))
+    # Lines without a document or page number are a page too, as in the counts.
+    on_page = F.col("doc_id").eqNullSafe(F.col("o_doc")) & F.col("page_number").eqNullSafe(F.col("o_page"))
+    beyond = marked.where("dated").join(over, on_page).withColumn("n", F.row_number().over(Window.partitionBy("o_doc", "o_page").orderBy("line_no"))).where("n > o_got")
+    own = found.join(over.drop("o_got"), (F.col("doc_id") == F.col("o_doc")) & (F.col("page_number") == F.col("o_page")), "left_semi")
+    held = own.select(F.col("doc_id").alias("h_doc"), F.col("page_number").alias("h_page"), F.explode("source_lines").alias("held")).withColumn("held", F.trim("held"))
+    loose = beyond.join(held, (F.col("o_doc") == F.col("h_doc")) & (F.col("o_page") == F.col("h_page")) & (F.trim("line") == F.col("held")), "left_anti")
+    piece = F.struct("line_no", F.substring(F.trim("line"), 1, 120).alias("t"))
+    told = loose.groupBy("o_doc", "o_page").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(piece)), 1, 5), lambda x: x["t"]), "|").alias("loose"))
+    return counts.join(told, on_page, "left").select(*page, detected, extracted, F.coalesce("loose", F.lit("")).alias("unparsed"))

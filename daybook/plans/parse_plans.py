@@ -48,7 +48,8 @@ def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.page_diagnostics(_lines(spark, sf_dir), _records(spark, sf_dir))
+    lines = _lines(spark, sf_dir)
+    return segment.page_diagnostics(lines, segment.records(lines))
 
 
 def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
