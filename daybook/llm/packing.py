@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import own_name, whole_text, written
+from daybook.llm.common import own_name, whole_text, written, written_paths
 
 CAPACITY = 2048
 END_ID = 0
@@ -148,14 +148,14 @@ def _round(gaps: DataFrame, left: DataFrame, band: DataFrame, capacity: int) ->
     each holds at most one slot and one document per size.
     """
     none = F.lit(None).cast("long")
-    salt = lambda c: F.pmod(F.xxhash64(c), F.col("salts")).alias("salt")
+    both = gaps.select(F.lit(0).alias("kind"), F.col("gap").alias("size"), F.col("bin").alias("of")).unionByName(left.select(F.lit(1).alias("kind"), F.col("length").alias("size"), F.col("row").alias("of")))
     # A gap of several times `hi` offers as many slots, each of an equal part of it, so whatever takes them fits.
-    open_gaps = gaps.crossJoin(F.broadcast(band)).where("gap > lo").withColumn("per_bin", F.greatest(F.lit(1), F.floor(F.col("gap") / F.col("hi"))))
-    slots = open_gaps.select(F.lit(0).alias("kind"), F.floor(F.col("gap") / F.col("per_bin")).alias("key"), F.col("bin").alias("of"), F.explode(F.sequence(F.lit(1), F.col("per_bin").cast("int"))).alias("layer"), salt("bin"))
-    docs = left.crossJoin(F.broadcast(band)).select(F.lit(1).alias("kind"), F.col("length").alias("key"), F.col("row").alias("of"), F.lit(0).alias("layer"), salt("row"))
+    open_rows = both.crossJoin(F.broadcast(band)).where("kind = 1 OR size > lo").withColumn("per_bin", F.when(F.col("kind") == 0, F.greatest(F.lit(1), F.floor(F.col("size") / F.col("hi")))).otherwise(1))
+    layers = F.explode(F.sequence(F.lit(1), F.col("per_bin").cast("int"))).alias("layer")
+    offered = open_rows.select("kind", F.floor(F.col("size") / F.col("per_bin")).alias("key"), "of", layers, F.pmod(F.xxhash64("of"), F.col("salts")).alias("salt"))
     slot = F.when(F.col("kind") == 0, F.struct(F.col("of").alias("bin"), "layer"))
     taken = F.lag(slot).over(Window.partitionBy("level").orderBy(F.desc("key"), "kind"))
-    met = _levels(slots.unionByName(docs)).withColumn("taken", taken).where("kind = 1").select(F.col("of").alias("row"), F.col("key").alias("length"), "taken.bin", "taken.layer", none.alias("gap"))
+    met = _levels(offered).withColumn("taken", taken).where("kind = 1").select(F.col("of").alias("row"), F.col("key").alias("length"), "taken.bin", "taken.layer", none.alias("gap"))
     # The gap's own row stands before the documents of its bin; a document without one is alone, as no bin has its number.
     every = gaps.select(none.alias("row"), F.lit(0).cast("long").alias("length"), "bin", F.lit(0).alias("layer"), "gap").unionByName(met)
     of_bin = Window.partitionBy(F.coalesce("bin", "row")).orderBy("layer")
@@ -181,7 +181,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", row
 
     # What fills more than half has a sequence of its own, numbered as its row; later sequences have negative numbers.
     long = docs.where(F.col("length") > steps[0][0])
-    placed = [long.select("row", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"))]
+    whole = long.select("row", F.col("row").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    rounds: list[str] = []
     gaps = long.select(F.col("row").alias("bin"), (capacity - F.col("length")).alias("gap")).where("gap > 0")
     widest, opened = capacity - totals[0][1] if 0 in totals else 0, 0
     for i, (lo, hi) in enumerate(steps[1:], 1):
@@ -194,13 +195,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, length: str = "length", row
                 opened += fresh
             # As a row and not as literals, so that all rounds run the same compiled plan.
             band = spark.createDataFrame([(lo, hi, min(256, -(-n // rows_per_salt)))], "lo long, hi long, salts long")
-            done = written(_round(gaps, left, band, capacity), "round")
-            placed.append(done.where("row IS NOT NULL AND bin IS NOT NULL").select("row", "bin", "offset"))
+            counts = Observation()  # taken while the round is written, so that no second query reads it
+            done = _round(gaps, left, band, capacity).observe(
+                counts, F.count_if(F.col("row").isNotNull() & F.col("bin").isNull()).alias("n"), F.min(F.when(F.col("bin").isNull(), F.col("length"))).alias("shortest"), F.coalesce(F.max("gap"), F.lit(0)).alias("widest")
+            )
+            done = written(done, "round")
+            rounds.append(written_paths()[-1])
             gaps, left = done.where("row IS NULL").select("bin", "gap"), done.where("bin IS NULL").select("row", "length")
-            n, shortest, widest = done.agg(F.count_if(F.col("bin").isNull()), F.min(F.when(F.col("bin").isNull(), F.col("length"))), F.coalesce(F.max("gap"), F.lit(0))).first()
-    whole = placed[0]
-    for more in placed[1:]:
-        whole = whole.unionByName(more)
+            n, shortest, widest = (counts.get[c] for c in ("n", "shortest", "widest"))
+    if rounds:  # one scan of all rounds, so the plan does not grow with their number
+        whole = whole.unionByName(spark.read.schema(done.schema).parquet(*rounds).where("row IS NOT NULL AND bin IS NOT NULL").select("row", "bin", "offset"))
     whole = whole.select(F.col("row").alias(row), F.col("bin").alias("sequence_id"), "offset")
     return rows.join(whole, row).drop(row)
 

@@ -55,3 +55,15 @@ def test_odd_tables(spark):
     assert packing.pack(clash, 8).drop("sequence_id").first().asDict() == {"doc_id": 1, "piece": 0, "length": 4, "row": "x", "bin": 0.5, "offset": 0}
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8)
+
+
+def test_the_plan_does_not_grow_with_the_rounds(spark, capsys):
+    """All rounds are read by one scan, and a round is one query: its counts are taken while it is written."""
+    sizes = np.minimum(np.random.default_rng(5).geometric(0.02, 400), 128).tolist()
+    parts = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")
+    before = len(packing.written_paths())
+    packed = packing.pack(parts, 128)
+    assert sum("/round-" in p for p in packing.written_paths()[before:]) > 5
+    packed.explain()
+    assert capsys.readouterr().out.count("FileScan parquet") == 3
+    _whole(packed.collect(), sizes, 128)
