@@ -14,6 +14,9 @@ In the end the sets that are still in buckets of several components are joined
 by the rarest shingles that each begins with (a prefix filter). That is exact: no
 link between them is lost, and near misses (copies of one text that are not close
 enough to each other) mostly do not meet, as each begins with shingles of its own.
+The place of a shingle in that order also bounds the size of the sets that may be
+met there, so sets meet by shingle and class of size; and the component that is
+largest there is not compared with itself (see ``_left_over`` and ``_cells``).
 Those that meet go on only if their parity sketches allow a link: each shingle
 flips one bit of a sketch, so two sketches differ in no more bits than the sets
 differ in shingles. That bound is exact too, and keeps near misses from being
@@ -32,13 +35,14 @@ other ids; repeated rows are linked with each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.common import join_by_key, own_name, remove_since, whole_text, written, written_paths
@@ -59,35 +63,21 @@ class MinHash:
     sketch_words: int = 32
     #: Rows with one shingle that meet in one task.
     block: int = 1024
+    #: Sets of one class are at most this share apart in size.
+    size_step: float = 0.04
 
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
 
 
-_CACHE_ROWS = 100_000
-
-
-class _Words(dict):
-    """Word -> 64-bit hash; empties itself at its bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_ROWS:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_WORDS = _Words()
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """The distinct shingles of a text, A-Z lower-cased, as sorted 64-bit hashes."""
     found = text.encode().lower().split()
     n = len(found)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, n)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
     wide = min(words, n)
     mixed = h[: n - wide + 1] + np.uint64(wide)
     for i in range(1, wide):
@@ -95,7 +85,8 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def _coefficients(p: MinHash) -> tuple[np.ndarray, np.ndarray]:
@@ -227,25 +218,25 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash(), id_col: str =
     done: DataFrame | None = None
     for turn in range(p.hub_rounds + 1):
         mark = len(written_paths())
-        here = members if turn == 0 else members.join(labels, "node")
         if turn == 0:
             hubs = written(members.groupBy("bucket").agg(F.max("rank").alias("hub"), F.max("n").alias("n")).select("bucket", "n", F.col("hub.node").alias("b")), "hubs")
             pairs = join_by_key(members.select("bucket", F.col("node").alias("a")), hubs, "bucket", "n", total).where("a <> b").select("a", "b").distinct()
         else:
-            here = written(here, f"here-{turn}")
+            # the two nodes of a bucket of two have been compared
+            here = written(members.where("n > 2").join(labels, "node"), f"here-{turn}")
             mixed = here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("n")).where("low <> high").select("bucket", "n")
             open_rows = written(join_by_key(here.drop("n"), written(mixed, f"mixed-{turn}"), "bucket", "n", total), f"open-{turn}")
             if open_rows.isEmpty():
                 break
             if turn < p.hub_rounds:
-                # Each component's best node against the node with most company in each bucket, and all nodes against another component's best.
+                # All nodes against another component's best; what agrees in one band only is hardly a link, and the last turn sees to it.
                 best = written(open_rows.groupBy("bucket", "component").agg(F.max("rank").alias("hub"), F.max("n").alias("n")), f"best-{turn}")
                 top = best.groupBy("bucket").agg(F.max("hub").alias("first"), F.max("n").alias("n"))
                 behind = join_by_key(best.drop("n"), written(top, f"top-{turn}"), "bucket", "n", total).where("hub <> first")
                 second = written(behind.groupBy("bucket").agg(F.max(F.struct("hub", "component")).alias("second"), F.max("n").alias("n")), f"second-{turn}")
                 pairs = (
                     join_by_key(open_rows.drop("n"), second, "bucket", "n", total).where(F.col("component") != F.col("second.component"))
-                    .select(F.col("node").alias("a"), F.col("second.hub.node").alias("b")).distinct()
+                    .groupBy(F.col("node").alias("a"), F.col("second.hub.node").alias("b")).agg(F.count(F.lit(1)).alias("agreed")).where("agreed > 1").select("a", "b")
                 )
             else:
                 pairs = _left_over(open_rows, texts, p)
@@ -284,10 +275,10 @@ def _left_over(open_rows: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     In any one order of all shingles two sets of similarity t share one of the
     first ``n - t*n + 1`` of each (n: its size), else they have too few in common;
     no link is lost. In the order of use, rarest first, the sets of near misses
-    begin with shingles of their own, so they do not meet: what is compared grows
-    with the sets that share something rare, not with the square of a bucket. A
-    shingle that many sets begin with is dealt in blocks: each row stands in one
-    block on the left and in all on the right.
+    begin with shingles of their own, so they do not meet. The first shingle that
+    two sets share also bounds their sizes: what a set has from there on is all
+    that they can share, so each place tells the largest set that may be met there
+    (``reach``). Near misses of a size mostly reach only smaller sets.
     """
     def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -302,20 +293,64 @@ def _left_over(open_rows: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     # what one set alone holds comes first in its order and meets nothing
     use = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("use")).where("use > 1"), "use")
     shared = join_by_key(held, use, "shingle", "use", total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("use", "shingle"))).alias("shared"))
-    first = F.col("size") - F.ceil(F.col("size") * p.percent / 100) + 1 - (F.col("size") - F.size("shared"))
-    begin = sets.drop("set").join(shared, "node").withColumn("first", first.cast("int")).where("first > 0")
-    rows = written(begin.select("node", "component", "size", "sketch", F.explode(F.transform(F.slice("shared", F.lit(1), F.col("first")), lambda x: x["shingle"])).alias("shingle")), "begin")
-    per = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    met = written(per.select("shingle", "n", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "met")
-    rows = join_by_key(rows, met, "shingle", "n", rows.count())
-    x = rows.select("shingle", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
-    y = rows.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    least = F.ceil(F.col("size") * p.percent / 100)
+    alone = F.col("size") - F.size("shared")
+    first = F.col("size") - least + 1 - alone
+    begin = sets.select("node", "component", "size").join(shared, "node").withColumn("alone", alone).withColumn("first", first.cast("int")).where("first > 0")
+    begin = begin.select("node", "component", "size", "alone", F.posexplode(F.transform(F.slice("shared", F.lit(1), F.col("first")), lambda x: x["shingle"])).alias("place", "shingle"))
+    reach = F.floor((F.col("size") - F.col("alone") - F.col("place")) * (100 + p.percent) / p.percent) - F.col("size")
+    rows = written(begin.withColumn("reach", reach).where(F.col("reach") >= least).drop("alone", "place"), "begin")
+    per = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("reach") >= F.col("size")).alias("any"))
+    rows = join_by_key(rows, written(per.where("low <> high and any").select("shingle", "n"), "mixed-shingles"), "shingle", "n", rows.count())
+    x, y = _cells(written(rows.drop("n"), "meeting"), sets.select("node", "sketch"), p)
     apart = F.lit(0)
     for i in range(p.sketch_words):
         apart = apart + F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i))))
+    # the lesser is the smaller set, of equal ones the lower node, and each is within the other's reach
+    fits = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("nb") <= F.col("ra")) & (F.col("na") <= F.col("rb")) & (F.col("na") * 100 >= F.col("nb") * p.percent) & (F.col("ca") != F.col("cb"))
     # of sets of S shingles in all, linked ones differ in at most (100 - percent) * S / (100 + percent)
-    near = (apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent)) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
-    return x.join(y, (x["shingle"] == y["shingle"]) & (x["part"] == y["part"]) & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+    near = apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent)
+    return x.join(y, ["key", "lane", "i", "j"]).where(fits & near).select("a", "b").distinct()
+
+
+def _cells(rows: DataFrame, sketches: DataFrame, p: MinHash) -> tuple[DataFrame, DataFrame]:
+    """The lesser and the greater sets of the pairs to compare, to be joined on key, lane, i and j.
+
+    Of a pair the smaller set (``lesser``) stands with the shingle and the class of
+    its size, the other one with all classes that it reaches down to. The
+    component with most rows there is not compared with itself: lane 0 has the
+    lesser ones of the others against all, lane 1 its own against the others. So
+    at most twice as many pairs are looked at as are in different components.
+    A lane is dealt in cells of some ``block`` rows a side.
+    """
+    size_class = lambda n: F.floor(F.log(n) / math.log(1 + p.size_step)).cast("int")
+    key = F.xxhash64("shingle", "class").alias("key")
+    kept = ["node", "component", "size", "reach"]
+    lesser = rows.where("reach >= size").withColumn("class", size_class(F.col("size"))).select(key, *kept)
+    classes = F.sequence(size_class(F.ceil(F.col("size") * p.percent / 100)), size_class(F.least("reach", "size")))
+    greater = rows.withColumn("class", F.explode(classes)).select(key, *kept)
+    both = lesser.select("key", "component", F.lit(1).alias("l"), F.lit(0).alias("g")).unionByName(greater.select("key", "component", F.lit(0).alias("l"), F.lit(1).alias("g")))
+    of_component = both.groupBy("key", "component").agg(F.sum("l").alias("l"), F.sum("g").alias("g"))
+    top = F.max(F.struct((F.col("l") + F.col("g")).alias("n"), "component", "l", "g")).alias("top")
+    met = of_component.groupBy("key").agg(top, F.sum("l").alias("l"), F.sum("g").alias("g")).where("l > 0 and g > 0 and l + g > top.n")
+    lane = lambda x, y: F.struct(x.alias("l"), y.alias("g"))
+    lanes = F.array(lane(F.col("l") - F.col("top.l"), F.col("g")), lane(F.col("top.l"), F.col("g") - F.col("top.g")))
+    met = written(met.select("key", F.col("top.component").alias("top"), (F.col("l") + F.col("g")).alias("n"), lanes.alias("lanes")), "met")
+
+    total = rows.count()
+    side = lambda df: join_by_key(df, met, "key", "n", total).withColumn("is_top", F.col("component") == F.col("top"))
+    blocks = lambda part: F.ceil(F.col("rows")[part] / p.block).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+
+    def dealt(df: DataFrame, lanes_of: Column, own: str, other: str, own_at: str, other_at: str, names: dict[str, str]) -> DataFrame:
+        out = side(df).withColumn("lane", F.explode(lanes_of)).withColumn("rows", F.get("lanes", F.col("lane"))).where("rows.l > 0 and rows.g > 0")
+        out = out.join(sketches, "node").withColumn(own_at, at(blocks(own))).withColumn(other_at, others(blocks(other)))
+        return out.select("key", "lane", "i", "j", *[F.col(k).alias(v) for k, v in names.items()])
+
+    x = dealt(lesser, F.array(F.col("is_top").cast("int")), "l", "g", "i", "j", {"node": "a", "component": "ca", "size": "na", "reach": "ra", "sketch": "sa"})
+    y = dealt(greater, F.when(F.col("is_top"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))), "g", "l", "j", "i", {"node": "b", "component": "cb", "size": "nb", "reach": "rb", "sketch": "sb"})
+    return x, y
 
 
 def drop_near_duplicates(documents: DataFrame, p: MinHash = MinHash(words=5, percent=80), id_col: str = "doc_id") -> DataFrame:  # noqa: B008

@@ -53,3 +53,36 @@ def test_near_misses_are_not_compared_with_one_another(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
     assert got == brute.near(docs, 3, 85)
     assert len(pairs) == 3 and sum(pairs) < 10 * len(docs)
+
+
+def test_near_misses_do_not_meet_a_large_group(spark, monkeypatch):
+    """Close copies of one text and as many near misses: links as by brute force, and what meets does not grow with the square of them."""
+    from daybook.llm import near_dedup
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+
+    def copy(i, changed):
+        at = set(rng.sample(range(300), changed))
+        return " ".join(f"v{i}x{k}" if k in at else w for k, w in enumerate(base))
+
+    def compared(table):  # pairs that are looked at: by lanes of a shingle and a size, else all of a shingle
+        if "lanes" in table.columns:
+            return sum(x["l"] * x["g"] for r in table.collect() for x in r["lanes"])
+        return sum(r["n"] ** 2 for r in table.collect())
+
+    docs = [(i, copy(i, 2)) for i in range(250)] + [(1000 + i, copy(1000 + i, 12)) for i in range(250)]
+    docs += [(2000 + i, docs[250 + 9 * i][1] + " tail") for i in range(20)]  # links among the near misses
+    looked, real = [], near_dedup.written
+
+    def spied(df, label):
+        out = real(df, label)
+        if label == "met":
+            looked.append(compared(out))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", spied)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute.near(docs, 3, 85)
+    assert len(looked) == 1 and looked[0] < 20 * len(docs)
